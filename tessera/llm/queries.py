@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import op1_order_minhash, op2_toxicity, op3_language_id, op4_secret_scan, op5_url_filter, op8_pii
+from tessera.llm import op1_order_minhash, op2_toxicity, op3_language_id, op4_secret_scan, op5_url_filter, op6_ngram_jaccard, op8_pii, op10_packing
 
 QUERIES = {
     "op1_order_minhash": op1_order_minhash.query,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_language_id": op3_language_id.query,
     "op4_secret_scan": op4_secret_scan.query,
     "op5_url_filter": op5_url_filter.query,
+    "op6_ngram_jaccard": op6_ngram_jaccard.query,
     "op8_pii": op8_pii.query,
+    "op10_packing": op10_packing.query,
 }
 
 #: Models and lexers have no SQL; tests hold these queries against plain versions.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard": op6_ngram_jaccard.ORACLE}
