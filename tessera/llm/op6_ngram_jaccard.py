@@ -71,9 +71,13 @@ def word_hashes(data: bytes) -> np.ndarray:
     sizes = ends - starts
     longest = int(sizes.max())
     if longest > len(_power):
-        _power = np.multiply.accumulate(np.concatenate([[1], np.full(longest, _G | 1, np.uint64)]).astype(np.uint64))
-    at = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b)))) if starts[0] == 0 else np.arange(len(b)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(b))))])
-    value = np.where(word, (b.astype(np.uint64) + np.uint64(1)) * _power[np.minimum(at, longest - 1)], np.uint64(0))
+        steps = np.full(2 * longest, _G, np.uint64)
+        steps[0] = 1
+        _power = np.multiply.accumulate(steps)
+    b = b[word].astype(np.uint64)  # words without the gaps between them
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    at = np.arange(len(b)) - np.repeat(starts, sizes)
+    value = (b + np.uint64(1)) * _power[at]
     return mix(np.add.reduceat(value, starts) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -270,11 +274,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 with recursive words as (
   select row_number() over () as r, doc_id,
-         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents),
 sets as materialized (
   select r, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-         else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) end as s
+         else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end as s
   from words),
 grams as materialized (select r, unnest(s) as g from sets),
 pairs as (select a.r as x, b.r as y, count(*) as n from grams a join grams b on a.g = b.g and a.r < b.r group by all),
