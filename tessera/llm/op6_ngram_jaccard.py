@@ -61,13 +61,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of each word of lower-cased bytes, in order."""
-    global _power
     b = np.frombuffer(data, np.uint8)
-    word = ~_SPACE[b]
+    return hashed_runs(b, ~_SPACE[b])[0]
+
+
+def hashed_runs(b: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each run of bytes that `word` marks."""
+    global _power
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), starts, ends
     sizes = ends - starts
     longest = int(sizes.max())
     if longest > len(_power):
@@ -75,10 +79,9 @@ def word_hashes(data: bytes) -> np.ndarray:
         steps[0] = 1
         _power = np.multiply.accumulate(steps)
     b = b[word].astype(np.uint64)  # words without the gaps between them
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    at = np.arange(len(b)) - np.repeat(starts, sizes)
-    value = (b + np.uint64(1)) * _power[at]
-    return mix(np.add.reduceat(value, starts) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    first = np.cumsum(sizes) - sizes
+    value = (b + np.uint64(1)) * _power[np.arange(len(b)) - np.repeat(first, sizes)]
+    return mix(np.add.reduceat(value, first) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:

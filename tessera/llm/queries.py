@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import op1_order_minhash, op2_toxicity, op3_language_id, op4_secret_scan, op5_url_filter, op6_ngram_jaccard, op8_pii, op10_packing
+from tessera.llm import op1_order_minhash, op2_toxicity, op3_language_id, op4_secret_scan, op5_url_filter, op6_ngram_jaccard, op7_lattice_lm, op8_pii, op9_decontamination, op10_packing
 
 QUERIES = {
     "op1_order_minhash": op1_order_minhash.query,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan.query,
     "op5_url_filter": op5_url_filter.query,
     "op6_ngram_jaccard": op6_ngram_jaccard.query,
+    "op7_lattice_lm": op7_lattice_lm.query,
     "op8_pii": op8_pii.query,
+    "op9_decontamination": op9_decontamination.query,
     "op10_packing": op10_packing.query,
 }
 
