@@ -104,7 +104,7 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 def signature(grams: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
     m = mix(grams + np.uint64(_G))
-    value = mix(np.array([np.bitwise_xor.reduce(m) * _M1 + m.sum() + np.uint64(len(grams))], np.uint64))
+    value = mix(np.array([(int(np.bitwise_xor.reduce(m)) * int(_M1) + int(m.sum()) + len(grams)) & 0xFFFFFFFFFFFFFFFF], np.uint64))
     return int(value.view(np.int64)[0])
 
 
