@@ -18,8 +18,9 @@ partner that it could still miss goes too. No key is left out.
 Keys that several different sets share are candidates. The Hamming distance
 of a small parity sketch discards pairs whose sets differ too much, the rest
 are verified on the shingles. First every set of a key is held against the
-key's smallest; then, in keys whose sets are not yet all in one component,
-sets of different components are held against each other. Pairs inside one
+key's hub, the set that shares the most keys; then, in keys whose sets are not
+yet all in one component, sets of different components are held against each
+other. Pairs inside one
 component are never needed. Copies of one set are one node, named by a 64-bit
 hash of the set, throughout.
 
@@ -32,10 +33,11 @@ different texts link only by their texts. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_batches, materialize, table
@@ -46,7 +48,10 @@ WIDTH, P, Q = 5, 4, 5
 SAMPLED, WIDESPREAD, KEPT = 16, 3, 300_000
 #: Rows up to which a table of ids is broadcast; beyond, it is a shuffled join.
 BROADCAST_ROWS = 500_000
+#: Rows of sizes and sketches (some 200 bytes each) up to which they are broadcast.
+BROADCAST_MEMBERS = 60_000
 SKETCH_WORDS = 16
+_PARTS = [f"s{i}" for i in range(SKETCH_WORDS)]
 _M1, _M2, _G = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -152,24 +157,25 @@ def segment_keys(grams: np.ndarray, widespread: np.ndarray, p: int = P, q: int =
 
 
 def _prints(docs: DataFrame, width: int, widespread, p: int, q: int) -> DataFrame:
-    """(key, n_shingles, node, keys); each task gives the keys of a set once."""
+    """(key, n_shingles, node, sketch, keys); each task gives the sketch and keys of a set once."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, seen = widespread.value, set()
         for batch in batches:
-            sizes, nodes, keys, none = [], [], [], np.empty(0, np.int64)
+            sizes, nodes, keys, sketches, none = [], [], [], [], np.empty(0, np.int64)
             for text in batch.column(1).to_pylist():
                 grams = shingle_set(text, width)
                 node = signature(grams) if len(grams) else 0
                 sizes.append(len(grams))
                 nodes.append(node)
-                keys.append(none if node in seen else segment_keys(grams, hot, p, q))
+                new = len(grams) > 0 and node not in seen
+                keys.append(segment_keys(grams, hot, p, q) if new else none)
+                sketches.append(sketch(grams) if new else none)
                 seen.add(node)
-            offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate([none, *keys])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["_key", "n_shingles", "node", "keys"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate([none, *x]))) for x in (sketches, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists], names=["_key", "n_shingles", "node", "sketch", "keys"])
 
-    return docs.mapInArrow(prints, f"_key {docs.schema['_key'].dataType.simpleString()}, n_shingles long, node long, keys array<long>")
+    return docs.mapInArrow(prints, f"_key {docs.schema['_key'].dataType.simpleString()}, n_shingles long, node long, sketch array<long>, keys array<long>")
 
 
 def widespread_shingles(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
@@ -188,7 +194,7 @@ def widespread_shingles(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, n, sketch, grams) of wanted (_key, node): their texts are read again."""
+    """(node, grams) of wanted (_key, node): their texts are read again."""
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,19 +203,25 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grams = shingle_set(text, width)
                 if len(grams) and signature(grams) == node:  # else a row with the same key but another text
-                    rows.append((node, len(grams), sketch(grams).tolist(), grams.tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["node", "n", "sketch", "grams"])
+                    rows.append((node, grams.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "grams"])
 
-    return docs.join(wanted, "_key").select("node", "_text").mapInArrow(sets, "node long, n long, sketch array<long>, grams binary")
+    return docs.join(wanted, "_key").select("node", "_text").mapInArrow(sets, "node long, grams binary")
+
+
+def _side(members: DataFrame, k: str) -> DataFrame:
+    """Sizes and sketches with the suffix of one side of a pair."""
+    return members.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", *_PARTS)])
+
+
+def _possible(p: int, q: int) -> Column:
+    """What sizes and the Hamming distance of two sketches leave possible; plain columns, so it runs in generated code."""
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _PARTS])
+    return (q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")) & ((q + p) * apart <= (q - p) * (F.col("n_a") + F.col("n_b")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
-    side = lambda k, *more: sets.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in more])
-    near = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = near.where(((q + p) * apart <= (q - p) * (F.col("n_a") + F.col("n_b"))) & (q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")))
 
     @F.arrow_udf("boolean")
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -221,7 +233,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
             out.append(q * both >= p * (len(x) + len(y) - both))
         return pa.array(out, pa.bool_())
 
-    return near.select("a", "b").distinct().join(side("a", "grams"), "a").join(side("b", "grams"), "b").where(linked("grams_a", "grams_b")).select("a", "b")
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("grams").alias(f"grams_{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(linked("grams_a", "grams_b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, p: int = P, q: int = Q) -> DataFrame:
@@ -233,31 +246,43 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     prints = materialize(_prints(rows, width, hot, p, q), "prints")
     classes = materialize(prints.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min("_key").alias("_key")), "classes")
 
-    # Keys that more than one set has, with the smallest of their sets.
+    # Keys that more than one set has.
     same = Window.partitionBy("key")
     emitted = prints.select(F.explode("keys").alias("key"), "node")
     shared = emitted.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same)).where(F.col("low") < F.col("high"))
-    buckets = materialize(shared.select("key", "node", "low"), "buckets")
-    wanted = buckets.select("node").distinct().join(classes, "node").where(F.col("_key").isNotNull())
-    sets = materialize(_sets(rows, wanted, width), "sets")
-
-    star = materialize(buckets.where(F.col("node") != F.col("low")).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    links = materialize(_verified(star, sets, p, q), "links")
+    buckets = materialize(shared.select("key", "node").distinct(), "buckets")
+    drawn = prints.where(F.size("sketch") > 0).select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
+    drawn = drawn.select("node", "n", *[F.element_at("sketch", i + 1).alias(c) for i, c in enumerate(_PARTS)])
+    members = materialize(buckets.select("node").distinct().join(classes.where(F.col("_key").isNotNull()), "node").join(drawn, "node"), "members")
+    few = F.broadcast if members.count() <= BROADCAST_MEMBERS else (lambda df: df)
+
+    # Every set of a key against the key's hub: the set that shares the most keys, the likeliest to be what the others are copies of.
+    hubs = buckets.withColumn("fame", F.count(F.lit(1)).over(Window.partitionBy("node"))).withColumn("hub", F.max(F.struct("fame", "node")).over(same)["node"])
+    star = hubs.where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    near = materialize(star.join(few(_side(members, "a")), "a").join(few(_side(members, "b")), "b").where(_possible(p, q)).select("a", "b"), "near")
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = materialize(_sets(rows, ends(near).join(members.select("node", "_key"), "node"), width), "sets")
+    links = materialize(_verified(near, sets, p, q), "links")
     labels = components(links)
 
     # What one key holds of several components: hold these against each other.
-    named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")).distinct()
-    open_ = named.withColumn("low", F.min("label").over(same)).withColumn("high", F.max("label").over(same)).where(F.col("low") < F.col("high")).select("key", "node", "label")
-    open_ = materialize(open_, "open")
-    left = open_.select("key", F.col("node").alias("a"), F.col("label").alias("_la"))
-    right = open_.select("key", F.col("node").alias("b"), F.col("label").alias("_lb"))
-    across = left.join(right, "key").where((F.col("_la") != F.col("_lb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    across = materialize(across.join(star, ["a", "b"], "left_anti"), "across")
-    more = materialize(_verified(across, sets, p, q), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-
-    whole = classes.join(labels, "node", "left").select("node", "_key", F.coalesce("label", "node").alias("label"))
+    tags = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
+    named = buckets.select("key", "node").join(tags, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    open_ = named.withColumn("low", F.min("label").over(same)).withColumn("high", F.max("label").over(same)).where(F.col("low") < F.col("high")).select("key", "node", "label").distinct()
+    open_ = materialize(open_.join(few(members.drop("_key")), "node"), "open")
+    left = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in ("label", "n", *_PARTS)], F.col("node").alias("a"))
+    right = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("label", "n", *_PARTS)], F.col("node").alias("b"))
+    meet = (left["key"] == right["key"]) & (F.col("label_a") != F.col("label_b")) & (F.col("a") < F.col("b")) & _possible(p, q)
+    across = materialize(left.join(right, meet).select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), "across")
+    if not across.isEmpty():
+        more = ends(across).join(sets.select("node"), "node", "left_anti").join(members.select("node", "_key"), "node")
+        sets = sets.unionByName(materialize(_sets(rows, more, width), "sets"))
+        found = materialize(_verified(across, sets, p, q), "links")
+        if not found.isEmpty():
+            labels = components(links.unionByName(found))
+
+    tags = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
+    whole = classes.join(tags, "node", "left").select("node", "_key", F.coalesce("label", "node").alias("label"))
     least = whole.groupBy("label").agg(F.min("_key").alias("component_id"))
     named = whole.join(least, "label").select("node", "component_id")
     return prints.select("_key", "n_shingles", "node").join(named, (prints["node"] == named["node"]) & (F.col("n_shingles") > 0), "left").select(F.col("_key").alias(key), "n_shingles", F.coalesce("component_id", "_key").alias("component_id"))
