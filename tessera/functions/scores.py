@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def r4(x: Column) -> Column:
@@ -62,16 +64,26 @@ def rouge_n(predicted: Column, gold: Column, n: int) -> Column:
     return F.when((F.size(p) == 0) & (F.size(g) == 0), whole).otherwise(multiset_overlap(p, g)["f1"])
 
 
-def lcs_length(left: Column, right: Column) -> Column:
-    """Length of the longest common subsequence, a row of the table at a time, inside the JVM."""
-    zero = F.transform(right, lambda _: F.lit(0))
+@F.arrow_udf(T.IntegerType())
+def _lcs(left: pa.Array, right: pa.Array) -> pa.Array:
+    return pa.array([None if a is None or b is None else lcs(a, b) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.int32())
+
 
-    def row(above: Column, word: Column) -> Column:
-        cells = F.arrays_zip(right.alias("w"), above.alias("up"), F.concat(F.array(F.lit(0)), F.slice(above, 1, F.greatest(F.size(above) - 1, F.lit(0)))).alias("corner"))
-        step = lambda done, c: F.concat(done, F.array(F.when(c["w"] == word, c["corner"] + 1).otherwise(F.greatest(c["up"], F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0))))))
-        return F.aggregate(cells, F.array().cast("array<int>"), step)
+def lcs(left: list, right: list) -> int:
+    """Longest common subsequence; a row of the table is the bits of one number."""
+    places: dict = {}
+    for i, w in enumerate(left):
+        places[w] = places.get(w, 0) | 1 << i
+    row, full = (1 << len(left)) - 1, (1 << len(left)) - 1
+    for w in right:
+        hit = row & places.get(w, 0)
+        row = (row + hit | row - hit) & full
+    return len(left) - row.bit_count()
 
-    return F.when(F.size(right) == 0, 0).otherwise(F.coalesce(F.try_element_at(F.aggregate(left, zero, row), F.lit(-1)), F.lit(0)))
+
+def lcs_length(left: Column, right: Column) -> Column:
+    """Length of the longest common subsequence of two arrays; it has no built-in form that is fast."""
+    return _lcs(left, right)
 
 
 def rouge_l(predicted: Column, gold: Column) -> Column:

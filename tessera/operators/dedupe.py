@@ -41,10 +41,21 @@ def sequential_dedupe(df: DataFrame, position: str, question: str, query: str) -
     return rows.select(F.col("p").alias(position), (F.col("state") == 1).alias("kept"))
 
 
-@F.arrow_udf(T.DoubleType())
-def sequence_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Matching-blocks similarity of two texts, left first; it isn't symmetric."""
-    return pa.array([difflib.SequenceMatcher(None, a.as_py() or "", b.as_py() or "").ratio() for a, b in zip(left, right, strict=True)], pa.float64())
+def sequence_ratio(threshold: float):
+    """Matching-blocks similarity of two texts, left first (it isn't symmetric); 0 where a cheap upper bound is below the threshold."""
+
+    @F.arrow_udf(T.DoubleType())
+    def ratio(left: pa.Array, right: pa.Array) -> pa.Array:
+        out, matcher, last = [], difflib.SequenceMatcher(None), None
+        for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            if b != last:  # what a matcher knows of its second text is kept
+                matcher.set_seq2(b)
+                last = b
+            matcher.set_seq1(a)
+            out.append(matcher.ratio() if matcher.quick_ratio() >= threshold else 0.0)
+        return pa.array(out, pa.float64())
+
+    return ratio
 
 
 def near_pairs(left: DataFrame, right: DataFrame, key: str, text: str, threshold: float = 0.92) -> DataFrame:
@@ -69,7 +80,7 @@ def near_pairs(left: DataFrame, right: DataFrame, key: str, text: str, threshold
     b = b.withColumn("s", F.explode(F.flatten(F.array_compact(F.array(*every))))).select("b", "t_b", "n_b", "s.in", "s.g")
     same = a.join(b, "g").where((F.abs(F.col("at") - F.col("in")) <= F.col("d")) & (F.col("t_a") != F.col("t_b")) & (2 * F.least("n_a", "n_b") >= t * (F.col("n_a") + F.col("n_b"))) & (F.col("a") != F.col("b")))
     pairs = same.select("a", "b", "t_a", "t_b").distinct()
-    scored = pairs.withColumn("ratio", sequence_ratio("t_a", "t_b")).where(F.col("ratio") >= t)
+    scored = pairs.withColumn("ratio", sequence_ratio(t)("t_a", "t_b")).where(F.col("ratio") >= t)
     return scored.select(F.col("a").alias(key), F.col("b").alias("other"), F.bround("ratio", 4).alias("ratio"))
 
 

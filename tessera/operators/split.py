@@ -53,7 +53,7 @@ def expand_paraphrases(df: DataFrame, key: str, question: str, paraphrases: str,
     Ids are `{key}__para_{nn}`, numbered in order.
     """
     low = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    rows = df.withColumn("_p", F.posexplode(paraphrases).alias("_at", "_text")) if False else df.select("*", F.posexplode(paraphrases).alias("_at", "_text"))
+    rows = df.select("*", F.posexplode(paraphrases).alias("_at", "_text"))
     rows = rows.withColumn("_low", low(F.col("_text"))).where((F.col("_low") != "") & (F.col("_low") != low(F.col(question))))
     first = Window.partitionBy(key, "_low").orderBy("_at")
     rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1)

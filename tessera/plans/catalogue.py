@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tessera.plans import scores  # noqa: F401
+from tessera.plans import datasets, graph, scores  # noqa: F401
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
