@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import arrow_batches, fold, materialize, table
 
 #: Rounds of expectation maximisation, what each piece's count gets added, and the discount of a word's count.
-ROUNDS, ADDED, DISCOUNT = 2, 0.05, 0.75
+ROUNDS, ADDED, DISCOUNT = 1, 0.05, 0.75
 _START = "▁"
 
 
@@ -61,12 +61,17 @@ def load_vocabulary(path: str) -> tuple[list[str], list[float], str]:
 
 
 class Lattice:
-    """Log probabilities of pieces, and sums over all cuts of a word."""
+    """Log probabilities of pieces, and sums over all cuts of a word.
+
+    Pieces are read along a tree of characters, so each place of a word costs
+    a step for each character that some piece still matches.
+    """
 
     def __init__(self, pieces: list[str], log_p: list[float], end: str):
-        self.log_p = dict(zip(pieces, log_p, strict=True))
-        self.end = end
-        self.prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        self.log_p, self.end, self._root = dict(zip(pieces, log_p, strict=True)), end, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_root": None}
 
     @classmethod
     def from_scores(cls, pieces: list[str], scores: list[float], end: str) -> Lattice:
@@ -78,73 +83,104 @@ class Lattice:
         total = sum(weight)
         return cls(pieces, [math.log(w / total) for w in weight], end)
 
-    def _edges(self, s: str) -> list[list[tuple[int, float, str | None]]]:
-        """For each place the pieces that begin there: (where they end, log p, piece); None for a character in byte pieces."""
-        log_p, prefixes, n, out = self.log_p, self.prefixes, len(s), []
-        for i in range(n):
-            here = []
-            for j in range(i + 1, n + 1):
-                piece = s[i:j]
-                if piece not in prefixes:
-                    break
-                p = log_p.get(piece)
-                if p is not None:
-                    here.append((j, p, piece))
-            if not here or here[0][0] > i + 1:
-                here.append((i + 1, sum(log_p.get(f"<0x{b:02X}>", -20.0) for b in s[i].encode("utf-8", "surrogatepass")), None))
-            out.append(here)
-        return out
-
-    @staticmethod
-    def _forward(edges: list, n: int) -> list[float]:
-        into: list[list[float]] = [[] for _ in range(n + 1)]
-        alpha = [0.0] * (n + 1)
-        exp, log = math.exp, math.log
-        for i in range(n):
-            if i:
-                terms = into[i]
-                if len(terms) == 1:
-                    alpha[i] = terms[0]
-                elif terms:
-                    top = max(terms)
-                    alpha[i] = top + log(sum([exp(t - top) for t in terms]))
-                else:
-                    alpha[i] = -math.inf
-                    continue
-            a = alpha[i]
-            for j, p, _ in edges[i]:
-                into[j].append(a + p)
-        terms = into[n]
-        top = max(terms)
-        alpha[n] = top + log(sum([exp(t - top) for t in terms]))
-        return alpha
+    @property
+    def root(self) -> list:
+        """Nodes are [children by character, log p or None, p, piece]."""
+        if self._root is None:
+            self._root = [{}, None, 0.0, ""]
+            for piece, log_p in self.log_p.items():
+                node = self._root
+                for c in piece:
+                    node = node[0].setdefault(c, [{}, None, 0.0, ""])
+                node[1:] = log_p, math.exp(log_p), piece
+        return self._root
+
+    def _spelled(self, c: str) -> list[str]:
+        return [f"<0x{b:02X}>" for b in c.encode("utf-8", "surrogatepass")]
+
+    def _spelling(self, c: str) -> float:
+        return sum(self.log_p.get(b, -20.0) for b in self._spelled(c))
 
     def log_probability(self, word: str) -> float:
-        """ln of the sum over all cuts; 0 for an empty word."""
+        """ln of the sum over all cuts, forward in log space; 0 for an empty word."""
         if not word:
             return 0.0
-        s = _START + word
-        return self._forward(self._edges(s), len(s))[-1]
+        s, root, exp, log = _START + word, self.root, math.exp, math.log
+        n = len(s)
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        into[0].append(0.0)
+        for i in range(n + 1):
+            terms = into[i]
+            if len(terms) == 1:
+                a = terms[0]
+            elif terms:
+                top = max(terms)
+                a = top + log(sum([exp(t - top) for t in terms]))
+            else:
+                continue
+            if i == n:
+                return a
+            children, j, alone = root[0], i, False
+            while j < n:
+                node = children.get(s[j])
+                if node is None:
+                    break
+                j += 1
+                if node[1] is not None:
+                    into[j].append(a + node[1])
+                    alone |= j == i + 1
+                children = node[0]
+            if not alone:
+                into[i + 1].append(a + self._spelling(s[i]))
+        return -math.inf
 
     def expect(self, word: str, count: float, into: dict[str, float]) -> None:
-        """Add the expected uses of each piece in `count` such words."""
-        s = _START + word
-        n, edges = len(s), self._edges(s)
-        alpha = self._forward(edges, n)
-        beta = [-math.inf] * n + [0.0]
-        exp, log = math.exp, math.log
-        for i in range(n - 1, -1, -1):
-            terms = [p + beta[j] for j, p, _ in edges[i]]
-            top = max(terms)
-            beta[i] = top if len(terms) == 1 or top == -math.inf else top + log(sum([exp(t - top) for t in terms]))
-        whole = alpha[n]
+        """Add the expected uses of each piece in `count` such words.
+
+        Forward and backward by plain products, rescaled wherever they grow small.
+        """
+        s, root = _START + word, self.root
+        n = len(s)
+        forward, scale = [0.0] * (n + 1), [0.0] * (n + 1)  # true value: forward[i] * exp(scale[i])
+        forward[0] = 1.0
+        edges: list[tuple[int, int, float, str | None]] = []
+        shift = 0.0
         for i in range(n):
-            a = alpha[i] - whole
-            for j, p, piece in edges[i]:
-                share = a + p + beta[j]
-                if share > -30:
-                    for used in (piece,) if piece is not None else [f"<0x{b:02X}>" for b in s[i].encode("utf-8", "surrogatepass")]:
-                        into[used] = into.get(used, 0.0) + count * exp(share)
+            if 0.0 < forward[i] < 1e-100:  # move the scale: all that lies ahead grows alike
+                up = 1 / forward[i]
+                for j in range(i, min(n, i + 64) + 1):
+                    forward[j] *= up
+                shift -= math.log(up)
+            scale[i] = shift
+            a, children, j, alone = forward[i], root[0], i, False
+            while j < n:
+                node = children.get(s[j])
+                if node is None:
+                    break
+                j += 1
+                if node[1] is not None:
+                    forward[j] += a * node[2]
+                    edges.append((i, j, node[2], node[3]))
+                    alone |= j == i + 1
+                children = node[0]
+            if not alone:
+                p = math.exp(self._spelling(s[i]))
+                forward[i + 1] += a * p
+                edges.append((i, i + 1, p, None))
+        scale[n] = shift
+        if not forward[n]:
+            return
+        # share[j]: expected visits of place j; an edge's share is its part of what flows into its end.
+        share = [0.0] * n + [count]
+        for i, j, p, piece in reversed(edges):
+            if not share[j]:
+                continue
+            part = share[j] * forward[i] * p / forward[j]
+            if scale[i] != scale[j]:
+                part *= math.exp(scale[i] - scale[j])
+            share[i] += part
+            for used in (piece,) if piece is not None else self._spelled(s[i]):
+                into[used] = into.get(used, 0.0) + part
 
 
 def with_word(c: int, n: int, v: int, cuts: float) -> float:
