@@ -7,8 +7,8 @@ pieces. Each partition is packed by best-fit decreasing, and dual-feasible
 functions give a lower bound on its bins. Partitions that meet the bound are
 certified. The others put the pieces of their bins that are not full into a
 pool; the pool is dealt anew, so that partitions exchange documents, and is
-packed again; the new packing is taken if it needs fewer bins. This repeats
-until nothing is gained, `rounds` times at most.
+packed again; the new packing is taken if it needs fewer bins. This is tried
+`rounds` times, each time dealt in another way.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed each on its own; an empty table gives no rows. Keys may repeat.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_batches, drop, materialize, table
 
-CAPACITY, END_ID, PART_ROWS, ROUNDS = 1024, 2, 2500, 4
+CAPACITY, END_ID, PART_ROWS, ROUNDS = 1024, 2, 20_000, 3
 #: Chunks whose ids a worker keeps, and the longest it keeps.
 CACHED, CHUNK = 300_000, 48
 #: The pattern by which the byte-level tokenizer cuts a text before its merges: fixed value.
@@ -213,7 +213,7 @@ def pack(pieces: DataFrame, row: str, length: str = "length", capacity: int = CA
         again = materialize(_pack_parts(pool.select("_row", "length"), stage, part_rows, capacity), "packed")
         if again.select("sequence_id").distinct().count() >= before:
             drop(again)
-            break
+            continue
         settled = settled.unionByName(again.where(F.col("_settled")))
         pool = again.where(~F.col("_settled"))
     return settled.unionByName(pool).drop("_settled").withColumnRenamed("_row", row)
