@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera.plans.catalogue import ORACLE_SQL, QUERIES
@@ -27,10 +28,10 @@ def plain(df):
     for r in df.itertuples(index=False):
         row = []
         for v in r:
-            if v is None or isinstance(v, float) and math.isnan(v):
+            if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
                 row.append(None)
             elif isinstance(v, float):
-                row.append(round(float(v), 9))
+                row.append(int(v) if float(v).is_integer() else round(float(v), 9))
             else:
                 row.append(v.item() if hasattr(v, "item") else str(v) if not isinstance(v, (str, int, bool)) else v)
         rows.append(tuple(row))
