@@ -11,23 +11,27 @@ from tessera.plans.registry import query
 
 
 def as_triples(tables):
-    """Nations, regions, customers, suppliers and orders as triples of text."""
+    """Nations, regions, customers, suppliers and orders as triples of text.
+
+    One branch of a union for each predicate, with the predicate a literal: a
+    pattern's constant predicate folds all other branches away, so a pattern
+    reads the two columns of the one table that it is about.
+    """
+    iri = lambda prefix, c: F.concat(F.lit(f"{prefix}:"), F.col(c).cast("string"))
 
     def of(table, key, prefix, columns):
-        df = tables(table)
-        s = F.concat(F.lit(f"{prefix}:"), F.col(key).cast("string"))
-        parts = [F.struct(F.lit("rdf:type").alias("p"), F.lit(f"t:{table}").alias("o"))]
+        df, s = tables(table), iri(prefix, key).alias("s")
+        yield df.select(s, F.lit("rdf:type").alias("p"), F.lit(f"t:{table}").alias("o"))
         for p, c in columns.items():
-            o = F.concat(F.lit(f"{c[0]}:"), F.col(c[1]).cast("string")) if isinstance(c, tuple) else F.col(c).cast("string")
-            parts.append(F.struct(F.lit(p).alias("p"), o.alias("o")))
-        return df.select(s.alias("s"), F.inline(F.array(*parts))).where(F.col("o").isNotNull())
+            o = iri(*c) if isinstance(c, tuple) else F.col(c).cast("string")
+            yield df.where(F.col(c[1] if isinstance(c, tuple) else c).isNotNull()).select(s, F.lit(p).alias("p"), o.alias("o"))
 
     return reduce(lambda a, b: a.unionByName(b), [
-        of("region", "r_regionkey", "region", {"t:name": "r_name"}),
-        of("nation", "n_nationkey", "nation", {"t:name": "n_name", "t:in": ("region", "n_regionkey")}),
-        of("supplier", "s_suppkey", "supplier", {"t:name": "s_name", "t:nation": ("nation", "s_nationkey"), "t:balance": "s_acctbal"}),
-        of("customer", "c_custkey", "customer", {"t:name": "c_name", "t:nation": ("nation", "c_nationkey"), "t:segment": "c_mktsegment", "t:balance": "c_acctbal"}),
-        of("orders", "o_orderkey", "order", {"t:by": ("customer", "o_custkey"), "t:status": "o_orderstatus", "t:price": "o_totalprice", "t:priority": "o_orderpriority"}),
+        *of("region", "r_regionkey", "region", {"t:name": "r_name"}),
+        *of("nation", "n_nationkey", "nation", {"t:name": "n_name", "t:in": ("region", "n_regionkey")}),
+        *of("supplier", "s_suppkey", "supplier", {"t:name": "s_name", "t:nation": ("nation", "s_nationkey"), "t:balance": "s_acctbal"}),
+        *of("customer", "c_custkey", "customer", {"t:name": "c_name", "t:nation": ("nation", "c_nationkey"), "t:segment": "c_mktsegment", "t:balance": "c_acctbal"}),
+        *of("orders", "o_orderkey", "order", {"t:by": ("customer", "o_custkey"), "t:status": "o_orderstatus", "t:price": "o_totalprice", "t:priority": "o_orderpriority"}),
     ])
 
 
