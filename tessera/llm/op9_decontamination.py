@@ -11,16 +11,27 @@ differences between the walks. A window is a candidate when, in one of
 `repeats` samples, all `bits` sampled steps agree. The repeats follow from the
 target recall: a sample agrees with chance (1-h)^bits where the walks differ
 in a share h of their steps, 0.45 being taken for the most edited copies.
-Candidates are verified by the exact edit distance, in characters of the words
-joined by spaces, of the item to its best place around the window; at most
-`share` of the item's characters may be edited.
+Copies whose edits leave no seed are met by their characters: every run of
+GRAM bytes of every item is looked up at every place of the text and votes,
+with the weight one over the root of its uses in the items, for the item and
+the place where that would begin. Places within a fifth of the item's length
+vote together, and VOTES of the item's whole weight make a candidate. The
+votes know no words, so they also serve scripts without spaces.
+
+Candidates of both kinds are verified by the exact edit distance, in bytes of
+the words joined by spaces, of the item to its best place around the window;
+at most `share` of the item's may be edited. Edits as regular as one in every
+GRAM characters leave no run and can be missed.
 
 Items are a stated query set; they are sent to the tasks in blocks of BLOCK.
 
-Defined results: null and empty texts have no match; items of fewer than
-LEAST words carry too little to be recognised and match nothing; repeated rows
-of either table give repeated results; rows with a null item text go. Offsets
-are code points of the text, the end exclusive.
+Defined results: null and empty texts have no match, nor have items without a
+letter or digit. Items of fewer than EXACT characters do not vote; each is
+searched for as it stands, at the edges of words (anywhere in scripts without
+spaces), and with edits as well if it has LEAST words. Repeated rows of either
+table give repeated results; rows with a null item text go. Offsets are code
+points of the text, the end exclusive; spans are whole words, but for items of
+fewer than LEAST words the characters themselves.
 """
 
 from __future__ import annotations
@@ -39,9 +50,13 @@ from tessera.llm.common import arrow_batches, materialize, table
 from tessera.llm.op6_ngram_jaccard import BROADCAST_ROWS, hashed_runs, mix
 
 SHARE, RECALL, BITS, SEEDS, LEAST, BLOCK, WALKS = 0.2, 0.99, 3, 10, 4, 20_000, 4
+#: Bytes of a run that votes, the share of an item's weight that makes a candidate, and the characters from which an item votes.
+GRAM, VOTES, EXACT = 6, 0.12, 20
 _WORDS = np.zeros(256, bool)
 _WORDS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _RUN = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Thai to Lao, Myanmar, Khmer, and from the CJK radicals on: written without spaces.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\uabff\uac00-\ud7ff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,6 +75,39 @@ def pairs_of(words: np.ndarray) -> np.ndarray:
     return mix(words[:-1] * _G + words[1:]) if len(words) > 1 else words[:0]
 
 
+def grams_of(data: bytes) -> np.ndarray:
+    """The GRAM bytes from each place on, as a number."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint64)
+    n = max(0, len(b) - GRAM + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(GRAM):
+        out = out << np.uint64(8) | b[j : j + n]
+    return out
+
+
+def least_edits(item: bytes, region: bytes) -> int:
+    """The least edit distance of the item to a part of the region, by Myers' bit vectors."""
+    n = len(item)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    masks: dict[int, int] = defaultdict(int)
+    for i, c in enumerate(item):
+        masks[c] |= 1 << i
+    up, down, edits, least = full, 0, n, n
+    for c in region:
+        same = masks.get(c, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        plus, minus = down | (full & ~(level | up)), up & level
+        if plus & top:
+            edits += 1
+        elif minus & top:
+            edits -= 1
+            if edits < least:
+                least = edits
+        plus, minus = plus << 1 & full, minus << 1 & full
+        up, down = minus | (full & ~(same | down | plus)), plus & (same | down)
+    return least
+
+
 def walk(words: np.ndarray, steps: int, seed: int) -> list[int]:
     """The embedding of `words`: `steps` of them put out, 0 after the last.
 
@@ -84,11 +132,24 @@ class Benchmark:
         self.share, self.bits, self.repeats = share, bits, repeats_for(recall, bits)
         self.items: list[tuple[int, np.ndarray, bytes]] = []
         seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.short: dict[int, list[int]] = defaultdict(list)
+        self.loose: list[int] = []
+        voters: list[int] = []
         for key, text in items:
             data, words, starts, ends = read_words(text)
             if len(words) < LEAST:
                 continue
             joined = b" ".join(data[s:e] for s, e in zip(starts, ends, strict=True))
+            plain = joined.decode("utf-8", "surrogatepass")
+            if len(plain) >= EXACT:
+                voters.append(len(self.items))
+            elif _UNSPACED.search(plain):
+                self.loose.append(len(self.items))
+            else:
+                self.short[int(words[0])].append(len(self.items))
+            if len(words) < LEAST:
+                self.items.append((key, words, joined))
+                continue
             pairs = pairs_of(words)
             letters = (ends - starts)[:-1] + (ends - starts)[1:]
             for o in np.lexsort((np.arange(len(pairs)), -letters))[:SEEDS].tolist():
@@ -97,9 +158,76 @@ class Benchmark:
         self.seeds = dict(seeds)
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[[s & 0xFFFFF for s in seeds]] = True
+        self._index(voters)
         self._samples: dict[tuple[int, int], np.ndarray] = {}
         self._drawn: dict[tuple[int, int, int], np.ndarray] = {}
 
+    def _index(self, voters: list[int]) -> None:
+        """The runs of all items that vote, in order, with where each stands and what it weighs."""
+        runs = [grams_of(self.items[i][2]) for i in voters]
+        size = [len(x) for x in runs]
+        every = np.concatenate([np.zeros(0, np.uint64), *runs])
+        order = np.argsort(every, kind="stable")
+        self.codes, first, uses = np.unique(every[order], return_index=True, return_counts=True)
+        self.first, self.uses = first.astype(np.int64), uses.astype(np.int64)
+        self.owner = np.repeat(np.array(voters, np.int64), size)[order]
+        self.offset = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in size]])[order]
+        self.weight = np.repeat(uses**-0.5, uses)
+        self.length = np.array([len(x[2]) for x in self.items], np.int64)
+        self.span = np.maximum(8, (self.length * self.share).astype(np.int64))
+        self.needed = VOTES * np.bincount(self.owner, self.weight, len(self.items))
+        self.needed[self.needed == 0] = np.inf  # items that do not vote
+        self.known = np.zeros(1 << 20, bool)
+        self.known[(self.codes * _G >> np.uint64(44)).astype(np.int64)] = True
+
+    def voted(self, joined: bytes) -> list[tuple[int, int, int]]:
+        """(item, low, high): the parts of a text's joined words that enough runs of the item vote for."""
+        runs = grams_of(joined)
+        at = np.flatnonzero(self.known[(runs * _G >> np.uint64(44)).astype(np.int64)])
+        if not len(at) or not len(self.codes):
+            return []
+        row = np.minimum(np.searchsorted(self.codes, runs[at]), len(self.codes) - 1)
+        right = self.codes[row] == runs[at]
+        at, row = at[right], row[right]
+        uses = self.uses[row]
+        if not len(at):
+            return []
+        each = np.repeat(self.first[row] - np.cumsum(uses) + uses, uses) + np.arange(int(uses.sum()))
+        owner = self.owner[each]
+        bucket = (np.repeat(at, uses) - self.offset[each] + self.length[owner]) // self.span[owner]
+        wide = int(bucket.max()) + 2
+        keys = owner * wide + bucket
+        if len(self.items) * wide <= 1 << 16 or len(self.items) * wide <= 4 * len(keys):
+            count = np.bincount(keys, self.weight[each], len(self.items) * wide)
+            count[:-1] += count[1:]
+            enough = np.flatnonzero(count.reshape(-1, wide) >= self.needed[:, None])
+        else:
+            met, back = np.unique(keys, return_inverse=True)
+            count = np.bincount(back, self.weight[each])
+            count = count + np.where(np.append(met[1:] == met[:-1] + 1, False), np.append(count[1:], 0.0), 0.0)
+            enough = met[count >= self.needed[met // wide]]
+        out: list[tuple[int, int, int]] = []
+        for i, b in zip((enough // wide).tolist(), (enough % wide).tolist(), strict=True):
+            n, w = int(self.length[i]), int(self.span[i])
+            low, high = max(0, b * w - n - w), (b + 2) * w + w
+            if out and out[-1][0] == i and low <= out[-1][1] + 2 * w:  # neighbours of one place
+                out[-1] = (i, out[-1][1], high)
+            else:
+                out.append((i, low, high))
+        return out
+
+    def stands(self, item: int, joined: bytes) -> int:
+        """Where a short item stands in a text's joined words, -1 if nowhere."""
+        own = self.items[item][2]
+        plain, at = own.decode("utf-8", "surrogatepass"), joined.find(own)
+        while at >= 0:
+            before = joined[max(0, at - 4) : at].decode("utf-8", "ignore")[-1:]
+            after = joined[at + len(own) : at + len(own) + 4].decode("utf-8", "ignore")[:1]
+            if (not before.isalnum() or _UNSPACED.match(plain[0])) and (not after.isalnum() or _UNSPACED.match(plain[-1])):
+                return at
+            at = joined.find(own, at + 1)
+        return -1
+
     def places(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(place, item, offset) wherever the text has a seed."""
         pairs = pairs_of(words)
@@ -155,6 +283,34 @@ class Benchmark:
                 first = low + region[:a].count(b" ")
                 last = low + region[: max(a, b - 1)].count(b" ")
                 best[item] = (edits, int(starts[first]), int(ends[last]))
+        joined_text = b" ".join([data[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+        sizes = ends - starts + 1
+        begins = np.cumsum(sizes) - sizes
+
+        def spanned(item: int, a: int, b: int) -> tuple[int, int]:
+            """The bytes of the text that the part a to b of its joined words covers."""
+            first = int(np.searchsorted(begins, a, "right")) - 1
+            last = int(np.searchsorted(begins, max(a, b - 1), "right")) - 1
+            if len(self.items[item][1]) >= LEAST:
+                return int(starts[first]), int(ends[last])
+            s, e = (int(min(starts[w] + x - begins[w], ends[w])) for w, x in ((first, a), (last, b)))
+            while s and data[s] & 0xC0 == 0x80:
+                s -= 1
+            while e < len(data) and data[e] & 0xC0 == 0x80:
+                e += 1
+            return s, e
+
+        for item, low, high in self.voted(joined_text):
+            own, least = self.items[item][2], best[item][0] if item in best else int(self.share * self.length[item]) + 1
+            region = joined_text[low:high]
+            if least and (own in region or least_edits(own, region) < least):
+                edits, a, b = best_place(own, region)
+                best[item] = (edits, *spanned(item, low + a, low + b))
+        if self.short or self.loose:
+            for item in [*self.loose, *(i for w in dict.fromkeys(words.tolist()) for i in self.short.get(w, ()))]:
+                at = self.stands(item, joined_text)
+                if at >= 0 and (item not in best or best[item][0]):
+                    best[item] = (0, *spanned(item, at, at + len(self.items[item][2])))
         raw = text.encode("utf-8", "surrogatepass")
         offset_of = lambda at: len(raw[:at].decode("utf-8", "surrogatepass"))
         return [(self.items[i][0], e, offset_of(s), offset_of(t)) for i, (e, s, t) in sorted(best.items())]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.llm import op7_lattice_lm as op7
+from tessera.llm import op9_decontamination as op9
 
 
 # --- lattice ---------------------------------------------------------------
@@ -17,3 +20,53 @@ def test_lattice_default_is_two_rounds(spark):
     own, two, one = score(), score(rounds=2), score(rounds=1)
     assert all(abs(own[k] - two[k]) < 1e-9 for k in two)
     assert abs(two[9] - one[9]) > 1e-6
+
+
+# --- decontamination -------------------------------------------------------
+
+
+def plain_edits(item, region):
+    row = [0] * (len(region) + 1)
+    for i, x in enumerate(item):
+        new = [i + 1]
+        for j, y in enumerate(region):
+            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+        row = new
+    return min(row)
+
+
+def copies(r, words, text, kind, rate):
+    """A copy with a share `rate` of its words replaced, or of its characters edited."""
+    if kind == "word":
+        return " ".join(r.choice(words) if r.random() < rate else w for w in text.split())
+    if kind == "every second word":
+        return " ".join(w[:-1] + "z" if i % 2 else w for i, w in enumerate(text.split()))
+    out = list(text)
+    for _ in range(int(rate * len(text))):
+        i, what = r.randrange(len(out)), r.random()
+        out[i : i + (what < 0.8)] = [r.choice("bcdfgaeiou")] * (what > 0.2)
+    return "".join(out)
+
+
+def test_recall_up_to_the_accepted_edits():
+    r = random.Random(11)
+    words = ["".join(r.choice("bcdfgaeiou") for _ in range(r.randint(2, 8))) for _ in range(600)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(14, 60))) for _ in range(40)]
+    bench = op9.Benchmark(list(enumerate(texts)))
+    fill = lambda: " ".join(r.choice(words) for _ in range(30))
+    for kind, rate in (("every second word", 0), ("word", 0.1), ("word", 0.15), ("word", 0.2), ("character", 0.1), ("character", 0.15), ("character", 0.2)):
+        held = found = 0
+        for k, t in enumerate(texts):
+            doc = f"{fill()} {copies(r, words, t, kind, rate)} {fill()}"
+            if plain_edits(t, doc) <= 0.2 * len(t):
+                held += 1
+                found += any(h[0] == k for h in bench.matches(doc))
+        print(kind, rate, found, "of", held)
+        assert held and found >= 0.97 * held, (kind, rate, found, held)
+
+
+def test_least_edits_by_brute_force():
+    r = random.Random(12)
+    for _ in range(200):
+        item, region = (bytes(r.choice(b"ab ") for _ in range(n)) for n in (r.randint(1, 80), r.randint(0, 100)))
+        assert op9.least_edits(item, region) == plain_edits(item, region)
