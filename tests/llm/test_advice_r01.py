@@ -70,3 +70,14 @@ def test_least_edits_by_brute_force():
     for _ in range(200):
         item, region = (bytes(r.choice(b"ab ") for _ in range(n)) for n in (r.randint(1, 80), r.randint(0, 100)))
         assert op9.least_edits(item, region) == plain_edits(item, region)
+
+
+def test_items_of_few_words_are_searched():
+    chinese, thai = "机器学习模型在训练时不应该看到测试集里的题目。", "แบบจำลองภาษาไม่ควรเห็นข้อสอบก่อน"
+    bench = op9.Benchmark([(1, chinese), (2, thai), (3, "Too short"), (4, "题目"), (5, "!?"), (6, "")])
+    found = lambda text: [(k, e, text[a:b]) for k, e, a, b in bench.matches(text)]
+    assert found(f"前文如下{chinese}后文") == [(1, 0, chinese), (4, 0, "题目")]
+    assert found(f"x {thai}ครับ") == [(2, 0, thai)]
+    assert [h[0] for h in found("前文" + chinese.replace("测试", "考试").replace("题目", "问题") + "后文")] == [1]
+    assert found("it is too  SHORT, yes") == [(3, 0, "too  SHORT")]
+    assert found("tattoo shorts !?") == [] and found("机器") == []
