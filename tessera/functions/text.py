@@ -81,8 +81,8 @@ def mask_literals_and_comments(query: Column) -> Column:
 def comparison_form(query: Column) -> Column:
     """One spelling for queries that differ in fences, comments, spacing or prefix order."""
     text = strip_fences(query)
-    # Literals and IRIs are consumed first, so that a # inside them is no comment.
-    text = F.regexp_replace(text, r'("(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)*'|<[^>\s]*>)|#[^\n]*", "$1")
+    # Literals and IRIs are consumed first, so that a # inside them is no comment; possessively, as a long literal would exhaust the stack.
+    text = F.regexp_replace(text, r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|' + r"'[^'\\]*+(?:\\.[^'\\]*+)*+'|<[^>\s]*>)|#[^\n]*", "$1")
     declared = r"(?i)\b(?:BASE\s+<[^>]*>|PREFIX\s+[A-Za-z_][\w-]*:\s*<[^>]*>)"
     heads = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(declared), F.lit(0)), squeeze)))
     body = F.regexp_replace(text, declared, " ")

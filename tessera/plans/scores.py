@@ -265,7 +265,10 @@ def decimal_forms(tables):
 
 @query("extract_query_text")
 def extract_query_text(tables):
-    raw = F.concat(F.lit("```sparql\n# note\nPREFIX x: <http://x/>\nselect ?d where { ?d x:text \""), F.translate(F.substring("text", 1, 60), '"\\\n', "   "), F.lit('" . }\n```'))
+    escaped = F.regexp_replace("text", r'(["\\])', r"\\$1")
+    for end, name in (("\n", "n"), ("\r", "r"), ("\u0085", "u0085"), ("\u2028", "u2028"), ("\u2029", "u2029")):
+        escaped = F.replace(escaped, F.lit(end), F.lit("\\" + name))
+    raw = F.concat(F.lit("```sparql\n# note\nPREFIX x: <http://x/>\nselect ?d where { ?d x:text \""), escaped, F.lit('" . }\n```'))
     return tables("documents").select("doc_id", text.extract_query(raw).alias("query"), text.query_form(text.extract_query(raw)).alias("form"), text.comparison_form(raw).alias("compared"))
 
 
