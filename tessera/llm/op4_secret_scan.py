@@ -7,7 +7,8 @@ table of constants, so that a literal stored under a harmless name is scored
 again when that name reaches a sensitive one. A literal's score is the
 sensitivity of the target name times the quality of the literal; spans of
 literals that score `threshold` or more are added as kind `literal`, unless a
-base span holds them.
+base span holds them. Names, blanks, literals and bare values may be of any
+length; they are read without backtracking.
 
 Offsets are code points, the end exclusive. Defined results: a null text is
 empty and has no spans; repeated rows give repeated results; other columns
@@ -38,9 +39,10 @@ _HINT = re.compile(r"(?i:passw|secret|token|api_?key)", re.A)
 #: Words of a name, alone or in pairs, and how sensitive they make it.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.8, "auth": 0.6, "authorization": 0.7, "api key": 1.0, "access key": 1.0, "private key": 1.0, "signing key": 0.9, "encryption key": 0.9, "client secret": 1.0, "connection string": 0.8}
 _PLACEHOLDER = re.compile(r"(?i)^(?:change_?me|example|placeholder|none|null|true|false|todo|your[_-].*|x+|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(?\w+.*)$")
-_TARGET = re.compile(r"""(["']?)([A-Za-z_][A-Za-z0-9_.\-]{0,99})\1\s{0,8}$""", re.A)
-_PART = re.compile(r"""\s{0,8}(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|([A-Za-z_][A-Za-z0-9_.]{0,99})(?![A-Za-z0-9_.+/=-])|([A-Za-z0-9+/_.=-]{1,4096}))""", re.A)
-_PLUS = re.compile(r"[ \t]{0,8}\+")
+_BLANKS = frozenset(" \t\n\r\f\v")
+_NAMED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_PART = re.compile(r"""\s*+(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|([A-Za-z_][A-Za-z0-9_.]*+)(?![A-Za-z0-9_.+/=-])|([A-Za-z0-9+/_.=-]++))""", re.A)
+_PLUS = re.compile(r"[ \t]*+\+")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -75,6 +77,22 @@ def quality(value: str) -> float:
     return min(1.0, entropy / 4) * (1.0 if kinds >= 2 else 0.6 if n >= 20 else 0.4)
 
 
+def target_before(text: str, low: int, end: int) -> str | None:
+    """The name, plain or quoted, that stands before `end` and any blanks; read backwards, not beyond `low`."""
+    while end > low and text[end - 1] in _BLANKS:
+        end -= 1
+    quote = text[end - 1] if end > low and text[end - 1] in "\"'" else ""
+    end -= len(quote)
+    start = end
+    while start > low and text[start - 1] in _NAMED:
+        start -= 1
+    if quote and text[max(low, start - 1) : start] != quote:
+        return None
+    while not quote and start < end and not (text[start].isalpha() or text[start] == "_"):
+        start += 1
+    return text[start:end] if start < end and (text[start].isalpha() or text[start] == "_") else None
+
+
 def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     """(target name, value, spans of the literals in it), constants propagated."""
     constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
@@ -82,9 +100,8 @@ def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     for m in re.finditer(r":=|=>|[=:]", text):
         if m.start() < last or text[m.end() : m.end() + 1] == "=" or text[m.start() - 1 : m.start()] in ("=", "!", "<", ">"):
             continue
-        low = max(last, m.start() - 120)
-        target = _TARGET.search(text[low : m.start()])
-        if not target:
+        target = target_before(text, last, m.start())
+        if target is None:
             continue
         value, spans, at, whole = "", [], m.end(), True
         while part := _PART.match(text, at):
@@ -106,8 +123,8 @@ def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
             at = plus.end()
         if spans and whole:
             last = max(m.end(), max(e for _, e in spans) if spans[-1][0] >= m.end() else m.end())
-            constants[target[2]] = (value, spans)
-            yield target[2], value, spans
+            constants[target] = (value, spans)
+            yield target, value, spans
 
 
 def scan(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
+from tessera.llm import op4_secret_scan as op4
 from tessera.llm import op7_lattice_lm as op7
 from tessera.llm import op9_decontamination as op9
 from tessera.plans.scores import extract_query_text
@@ -102,3 +104,17 @@ def test_extract_query_text_wraps_the_whole_text(spark):
         spaced = re.sub(r"([{}();,])", r" \1 ", query)
         assert (got[k]["query"], got[k]["form"]) == (query, "select")
         assert got[k]["compared"] == "PREFIX x: <http://x/> " + re.sub(r"\s+", " ", spaced, flags=re.A).strip()
+
+
+# --- secrets ---------------------------------------------------------------
+
+
+def test_lexer_reads_any_length():
+    key = "aB3+/x9Zq7Lm2" * 700
+    for text in (f'private_key = "{key}"', f"credentials: '{key}'", f"signing_key = {key}", f"access_key{' ' * 40}={' ' * 40}{key}", f'"connection_string" :\n{" " * 30}"{key}"', f'passphrase = "aB3x9Zq7"{" " * 20}+ "{key}"', f"{'long_' * 40}private_key = {key}"):
+        spans = [text[s:e] for s, e, k in op4.scan(text) if k == "literal"]
+        assert spans and spans[-1] == key, text[:40]
+    assert [n for n, _, _ in op4.assignments("1abc = x; \"q\" : y; \"bad : z; o' = w; a.b-c := v")] == ["abc", "q", "bad", "a.b-c"]
+    began = time.monotonic()
+    op4.scan('a = "' * 100_000 + " " * 1_000_000 + "\\" * 1_000_001 + "=" * 100_000 + "x" * 1_000_000)
+    assert time.monotonic() - began < 20
