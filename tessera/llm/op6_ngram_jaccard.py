@@ -294,9 +294,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: the document with the smallest id of each component stays."""
-    found = near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The pipeline's stage: one row of each component stays, the one with the smallest id.
+
+    Null ids come last, and texts that share an id are apart by their hash.
+    Rows equal in id and text are one; rows without a word have no partner, and
+    all stay.
+    """
+    wordless = F.coalesce("text", F.lit("")).rlike(r"\A[ \t-\r]*\z")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.xxhash64("text").alias("hash"))
+    keyed = docs.where(~wordless).withColumn("_own", own)
+    found = near_duplicates(keyed.select("_own", "text"), "_own").where(F.col("_own") == F.col("component_id")).select("_own").distinct()
+    kept = keyed.join(found, "_own", "left_semi").dropDuplicates(["_own"])
+    return kept.select(*docs.columns).unionByName(docs.where(wordless))
 
 
 ORACLE = r"""

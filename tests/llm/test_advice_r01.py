@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm import op4_secret_scan as op4
 from tessera.llm import op7_lattice_lm as op7
 from tessera.llm import op9_decontamination as op9
+from tessera.llm.op6_ngram_jaccard import keep_one
 from tessera.plans.scores import extract_query_text
 
 
@@ -118,3 +119,14 @@ def test_lexer_reads_any_length():
     began = time.monotonic()
     op4.scan('a = "' * 100_000 + " " * 1_000_000 + "\\" * 1_000_001 + "=" * 100_000 + "x" * 1_000_000)
     assert time.monotonic() - began < 20
+
+
+# --- near duplicates -------------------------------------------------------
+
+
+def test_keep_one_loses_no_document_without_partner(spark):
+    text = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " more"), (None, text("c")), (None, text("d")), (None, text("a")), (None, text("d")), (3, text("e")), (3, text("e")), (4, None), (None, None), (None, ""), (5, " \n")]
+    kept = keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    want = [(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (3, text("e")), (4, None), (None, None), (None, ""), (5, " \n")]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
