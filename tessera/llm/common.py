@@ -9,20 +9,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Whole texts cross in these batches, so they stay small.
-ARROW_ROWS = 1000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; any store that Spark can read."""
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the memory of a Python worker by the rows of a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def fold(key: str | Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo; null for a null key."""
     column = F.col(key) if isinstance(key, str) else key
@@ -81,16 +72,34 @@ def discard_shared(spark: SparkSession) -> None:
 
 
 def sampled(df: DataFrame, key: str, group: Column, size: int, seed: int) -> DataFrame:
-    """About `size` rows of each group, the same ones each time.
+    """Rows of about `size` distinct keys of each group, one row a key, the same ones each time.
 
-    Groups are counted first (a partial aggregate), then a hash of the key is
-    held against each group's share. No group is gathered in one task. Groups
-    must be few, such as classes or languages; rows of a null group go.
+    Distinct keys of a group are estimated first (a partial aggregate), then a
+    hash of the key is held against each group's share. So copies count once: a
+    group made of one key alone is drawn, and a hot key is no more than a row.
+    No group is gathered in one task. Groups must be few, such as classes or
+    languages; rows of a null group or a null key go.
     """
-    rows = df.withColumn("_group", group).where(F.col("_group").isNotNull())
-    counts = {r["_group"]: r["n"] for r in rows.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = df.withColumn("_group", group).where(F.col("_group").isNotNull() & F.col(key).isNotNull()).withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed)))
+    counts = {r["_group"]: max(1, r["n"]) for r in rows.groupBy("_group").agg(F.approx_count_distinct("_hash", 0.02).alias("n")).collect()}
     if not counts:
         return rows.where(F.lit(False))
     scale = 1 << 30
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(scale, -(-scale * size // n)))])
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(scale)) < F.element_at(share, F.col("_group")))
+    return rows.where(F.pmod("_hash", F.lit(scale)) < F.element_at(share, F.col("_group"))).dropDuplicates(["_group", "_hash"])
+
+
+def row_name(df: DataFrame, key: str = "doc_id", text: str = "text") -> Column:
+    """A name for rows whose keys may be null or repeat: the key (nulls last) and a hash of the text, never null."""
+    some = F.lit("0").cast(df.schema[key].dataType)
+    return F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.col(key), some).alias("id"), F.xxhash64(text).alias("hash"))
+
+
+def covers(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts of spans in order, and the farthest end of all up to each; for looking up what lies in or over a span."""
+    starts, ends, far = [], [], -1
+    for low, high in sorted(spans):
+        far = max(far, high)
+        starts.append(low)
+        ends.append(far)
+    return starts, ends

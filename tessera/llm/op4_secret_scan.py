@@ -11,8 +11,11 @@ base span holds them. Names, blanks, literals and bare values may be of any
 length; they are read without backtracking.
 
 Offsets are code points, the end exclusive. Defined results: a null text is
-empty and has no spans; repeated rows give repeated results; other columns
-pass through, outputs come in one struct.
+empty and has no spans; an empty table gives no rows; very long texts are read
+whole, in time that grows with the text; literals that several targets reach
+count once; repeated rows give repeated results. Other columns pass through;
+outputs come in one array, `secrets`, which takes the place of a column of that
+name.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, table
+from tessera.llm.common import covers, table
 
 KINDS = ("assign", "access", "hex", "literal")
 THRESHOLD = 0.5
@@ -134,16 +138,17 @@ def scan(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int,
     if "=" not in text and ":" not in text:
         return base
     added = set()
+    starts, ends = covers([(a, b) for a, b, _ in base])
+    held = lambda s, e: (i := bisect_right(starts, s)) and ends[i - 1] >= e
     for name, value, spans in assignments(text):
         weight = sensitivity(name)
         if weight and weight * quality(value) >= threshold:
-            added |= {(s, e, "literal") for s, e in spans if e > s and not any(a <= s and e <= b for a, b, _ in base)}
+            added |= {(s, e, "literal") for s, e in spans if e > s and not held(s, e)}
     return sorted([*base, *added], key=_order)
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add `secrets`: an array of (kind, start, end) over the whole text."""
-    arrow_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     @F.arrow_udf("array<struct<kind string, start long, end long>>")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, materialize, table
+from tessera.llm.common import drop, materialize, row_name, table
 from tessera.llm.components import components
 
 WIDTH, P, Q = 5, 4, 5
@@ -240,7 +240,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, p: int = P, q: int = Q) -> DataFrame:
     """(key, n_shingles, component_id) of every row; component_id is the smallest key that links reach."""
     spark = docs.sparkSession
-    arrow_batches(spark, 500)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     hot = spark.sparkContext.broadcast(widespread_shingles(rows, width))
     prints = materialize(_prints(rows, width, hot, p, q), "prints")
@@ -301,8 +300,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     all stay.
     """
     wordless = F.coalesce("text", F.lit("")).rlike(r"\A[ \t-\r]*\z")
-    own = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.xxhash64("text").alias("hash"))
-    keyed = docs.where(~wordless).withColumn("_own", own)
+    keyed = docs.where(~wordless).withColumn("_own", row_name(docs))
     found = near_duplicates(keyed.select("_own", "text"), "_own").where(F.col("_own") == F.col("component_id")).select("_own").distinct()
     kept = keyed.join(found, "_own", "left_semi").dropDuplicates(["_own"])
     return kept.select(*docs.columns).unionByName(docs.where(wordless))
