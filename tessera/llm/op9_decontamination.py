@@ -1,37 +1,45 @@
 """Benchmark decontamination by CGK embeddings and bit-sampling LSH.
 
-Texts are read as words (runs of letters and digits, A-Z lower-cased). Windows
-of an item's size are laid where the text has one of the item's seeds, its
-`SEEDS` pairs of neighbouring words that have the most letters, so that item
-and window agree on a place. From there both are embedded by the
-random walk of Chakraborty, Goldenberg and Koucky, to the right and to the
-left: at each step the current word is put out, and a random bit of step and
-word decides whether to go on, so few edits between the words mean few
-differences between the walks. A window is a candidate when, in one of
-`repeats` samples, all `bits` sampled steps agree. The repeats follow from the
-target recall: a sample agrees with chance (1-h)^bits where the walks differ
-in a share h of their steps, 0.45 being taken for the most edited copies.
-Copies whose edits leave no seed are met by their characters: every run of
-GRAM bytes of every item is looked up at every place of the text and votes,
-with the weight one over the root of its uses in the items, for the item and
-the place where that would begin. Places within a fifth of the item's length
-vote together, and VOTES of the item's whole weight make a candidate. The
-votes know no words, so they also serve scripts without spaces.
-
-Candidates of both kinds are verified by the exact edit distance, in bytes of
-the words joined by spaces, of the item to its best place around the window;
-at most `share` of the item's may be edited. Edits as regular as one in every
-GRAM characters leave no run and can be missed.
-
-Items are a stated query set; they are sent to the tasks in blocks of BLOCK.
+Texts are read as words (runs of letters and digits, A-Z lower-cased) joined by
+single spaces, in code points. Windows of an item's size are laid where the
+text has one of the item's seeds, its `SEEDS` pairs of neighbouring words that
+have the most letters, so that item and window agree on a place. From there
+both are embedded by the random walk of Chakraborty, Goldenberg and Koucky, to
+the right and to the left: at each step the current word is put out, and a
+random bit of step and word decides whether to go on, so few edits between the
+words mean few differences between the walks. A window is a candidate when, in
+one of `repeats` samples, all `bits` sampled steps agree. The repeats follow
+from the target recall: a sample agrees with chance (1-h)^bits where the walks
+differ in a share h of their steps, 0.45 being taken for the most edited copies.
+
+A walk over words loses its way where letters within the words are edited, and
+a walk over letters never finds back at the accepted 20 %. So windows are also
+laid at every place of the text by its characters: every run of GRAM code
+points of an item is looked up at every place of the text and votes, with the
+weight one over the root of its uses in the items, for the item and the window
+that would begin there. Places within a fifth of the item's length vote
+together. A window where the runs of the item that it holds, each counted once,
+have VOTES of the item's whole weight is a candidate. The votes know no words,
+so they also serve scripts without spaces.
+
+Candidates of both kinds are verified by the exact edit distance, in code
+points of the joined words, of the item to its best place around the window; at
+most `share` of the item's may be edited. Edits as regular as one in every GRAM
+characters leave no run and can be missed.
+
+Items are a stated query set; they are sent to the tasks in blocks of BLOCK
+items and BLOCK_CHARS characters at most (a longer item is a block).
 
 Defined results: null and empty texts have no match, nor have items without a
-letter or digit. Items of fewer than EXACT characters do not vote; each is
-searched for as it stands, at the edges of words (anywhere in scripts without
-spaces), and with edits as well if it has LEAST words. Repeated rows of either
-table give repeated results; rows with a null item text go. Offsets are code
-points of the text, the end exclusive; spans are whole words, but for items of
-fewer than LEAST words the characters themselves.
+letter or digit; an empty table of either kind gives no rows. Very long texts
+are read whole, in memory that grows with the text. Items of fewer than EXACT
+characters do not vote; each is searched for as it stands, at the edges of
+words (anywhere in scripts without spaces), and with edits as well if it has
+LEAST words. Of several places with the least edits, the first that is found
+counts. Repeated rows of either table give repeated results; rows with a null
+item text go. Other columns are not read. Offsets are code points of the text,
+the end exclusive; spans are whole words, but for items of fewer than LEAST
+words the characters themselves.
 """
 
 from __future__ import annotations
@@ -46,15 +54,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, materialize, table
+from tessera.llm.common import materialize, row_name, table
 from tessera.llm.op6_ngram_jaccard import BROADCAST_ROWS, hashed_runs, mix
 
-SHARE, RECALL, BITS, SEEDS, LEAST, BLOCK, WALKS = 0.2, 0.99, 3, 10, 4, 20_000, 4
-#: Bytes of a run that votes, the share of an item's weight that makes a candidate, and the characters from which an item votes.
+SHARE, RECALL, BITS, SEEDS, LEAST, WALKS = 0.2, 0.99, 3, 10, 4, 4
+BLOCK, BLOCK_CHARS = 20_000, 16 << 20
+#: Code points of a run that votes, the share of an item's weight that makes a candidate, and the characters from which an item votes.
 GRAM, VOTES, EXACT = 6, 0.12, 20
-_WORDS = np.zeros(256, bool)
-_WORDS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_RUN = re.compile(rb"[0-9a-z\x80-\xff]+")
+_WORDS = np.zeros(129, bool)
+_WORDS[[*range(0x30, 0x3A), *range(0x61, 0x7B), 0x80]] = True
 #: Thai to Lao, Myanmar, Khmer, and from the CJK radicals on: written without spaces.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\uabff\uac00-\ud7ff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -64,28 +72,56 @@ def repeats_for(recall: float = RECALL, bits: int = BITS, differ: float = 0.45)
     return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
 
 
-def read_words(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, and the hash, start and end of each word."""
-    data = text.encode("utf-8", "surrogatepass").lower()
-    b = np.frombuffer(data, np.uint8)
-    return data, *hashed_runs(b, _WORDS[b])
+class Words:
+    """A text's words: joined by single spaces, as code points, with the place of each in the text."""
+
+    def __init__(self, text: str):
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = c + (c - np.uint32(65) < 26) * np.uint32(32)
+        word = _WORDS[np.minimum(c, 128)]
+        self.hashes, starts, ends = hashed_runs(c, word)
+        keep = word.copy()
+        keep[ends[:-1]] = True
+        self.at = np.flatnonzero(keep)
+        self.joined = np.where(word, c, np.uint32(32))[self.at]
+        sizes = ends - starts + 1
+        self.ends = np.cumsum(sizes) - 1  # of each word, in the joined words
+        self.begins = self.ends + 1 - sizes
+
+    def word_at(self, place: int) -> int:
+        return int(np.searchsorted(self.begins, place, "right")) - 1
+
+    def whole(self, low: int, high: int) -> tuple[int, int]:
+        """The part of the text from the word that holds `low` to the one that holds `high` - 1."""
+        first, last = self.word_at(low), self.word_at(max(low, high - 1))
+        return int(self.at[self.begins[first]]), int(self.at[self.ends[last] - 1]) + 1
+
+    def exact(self, low: int, high: int) -> tuple[int, int]:
+        return int(self.at[low]), int(self.at[max(low, high - 1)]) + 1
+
+    def string(self) -> str:
+        return as_string(self.joined)
+
+
+def as_string(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def pairs_of(words: np.ndarray) -> np.ndarray:
     return mix(words[:-1] * _G + words[1:]) if len(words) > 1 else words[:0]
 
 
-def grams_of(data: bytes) -> np.ndarray:
-    """The GRAM bytes from each place on, as a number."""
-    b = np.frombuffer(data, np.uint8).astype(np.uint64)
-    n = max(0, len(b) - GRAM + 1)
-    out = np.zeros(n, np.uint64)
-    for j in range(GRAM):
-        out = out << np.uint64(8) | b[j : j + n]
-    return out
+def grams_of(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the GRAM (6) code points from each place on."""
+    c = codes.astype(np.uint64)
+    if len(c) < GRAM:
+        return c[:0]
+    two = c[:-1] * np.uint64(0xD6E8FEB86659FD93) + c[1:]
+    four = two[:-2] * np.uint64(0xFF51AFD7ED558CCD) + two[2:]
+    return (four[:-2] * np.uint64(0xC4CEB9FE1A85EC53) + two[4:]) * _G
 
 
-def least_edits(item: bytes, region: bytes) -> int:
+def least_edits(item: Sequence[int], region: Sequence[int]) -> int:
     """The least edit distance of the item to a part of the region, by Myers' bit vectors."""
     n = len(item)
     full, top = (1 << n) - 1, 1 << (n - 1)
@@ -130,31 +166,33 @@ class Benchmark:
 
     def __init__(self, items: Sequence[tuple[int, str]], share: float = SHARE, recall: float = RECALL, bits: int = BITS):
         self.share, self.bits, self.repeats = share, bits, repeats_for(recall, bits)
-        self.items: list[tuple[int, np.ndarray, bytes]] = []
+        self.items: list[tuple[int, np.ndarray, np.ndarray]] = []  # key, hashes of the words, joined words
+        self.plain: dict[int, str] = {}  # of items that are searched for as they stand
         seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.short: dict[int, list[int]] = defaultdict(list)
         self.loose: list[int] = []
         voters: list[int] = []
         for key, text in items:
-            data, words, starts, ends = read_words(text)
+            read = Words(text)
+            words, number = read.hashes, len(self.items)
             if not len(words):
                 continue
-            joined = b" ".join(data[s:e] for s, e in zip(starts, ends, strict=True))
-            plain = joined.decode("utf-8", "surrogatepass")
-            if len(plain) >= EXACT:
-                voters.append(len(self.items))
-            elif _UNSPACED.search(plain):
-                self.loose.append(len(self.items))
+            self.items.append((key, words, read.joined))
+            if len(read.joined) >= EXACT:
+                voters.append(number)
             else:
-                self.short[int(words[0])].append(len(self.items))
+                plain = self.plain[number] = read.string()
+                if _UNSPACED.search(plain):
+                    self.loose.append(number)
+                else:
+                    self.short[int(words[0])].append(number)
             if len(words) < LEAST:
-                self.items.append((key, words, joined))
                 continue
             pairs = pairs_of(words)
-            letters = (ends - starts)[:-1] + (ends - starts)[1:]
+            sizes = read.ends - read.begins
+            letters = sizes[:-1] + sizes[1:]
             for o in np.lexsort((np.arange(len(pairs)), -letters))[:SEEDS].tolist():
-                seeds[int(pairs[o])].append((len(self.items), o))
-            self.items.append((key, words, joined))
+                seeds[int(pairs[o])].append((number, o))
         self.seeds = dict(seeds)
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[[s & 0xFFFFF for s in seeds]] = True
@@ -163,67 +201,95 @@ class Benchmark:
         self._drawn: dict[tuple[int, int, int], np.ndarray] = {}
 
     def _index(self, voters: list[int]) -> None:
-        """The runs of all items that vote, in order, with where each stands and what it weighs."""
+        """The runs of all items that vote, in a table by hash, with where each stands and what its vote counts; 1 elects."""
         runs = [grams_of(self.items[i][2]) for i in voters]
         size = [len(x) for x in runs]
         every = np.concatenate([np.zeros(0, np.uint64), *runs])
         order = np.argsort(every, kind="stable")
-        self.codes, first, uses = np.unique(every[order], return_index=True, return_counts=True)
-        self.first, self.uses = first.astype(np.int64), uses.astype(np.int64)
-        self.owner = np.repeat(np.array(voters, np.int64), size)[order]
+        self.codes, first, back, uses = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+        self.first, self.uses = np.cumsum(uses) - uses, uses
+        owner = np.repeat(np.array(voters, np.int64), size)
+        weight = (uses**-0.5)[back]
+        vote = weight / np.maximum(VOTES * np.bincount(owner, weight, len(self.items)), 1e-9)[owner]
+        self.owner, self.vote = owner[order], vote[order]
         self.offset = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in size]])[order]
-        self.weight = np.repeat(uses**-0.5, uses)
+        ends = np.cumsum(size)
+        self.own = {i: (back[e - n : e], vote[e - n : e]) for i, e, n in zip(voters, ends.tolist(), size, strict=True)}
         self.length = np.array([len(x[2]) for x in self.items], np.int64)
         self.span = np.maximum(8, (self.length * self.share).astype(np.int64))
-        self.needed = VOTES * np.bincount(self.owner, self.weight, len(self.items))
-        self.needed[self.needed == 0] = np.inf  # items that do not vote
-        self.known = np.zeros(1 << 20, bool)
-        self.known[(self.codes * _G >> np.uint64(44)).astype(np.int64)] = True
+        # Of each vote: what makes a place of the text the end of a window, and the windows' span.
+        self.back, self.step = (self.length[self.owner] - self.offset).astype(np.int32), self.span[self.owner].astype(np.int32)
+        # The table: runs are in order, so those of one slot follow each other; a slot has the first of them.
+        self.shift = np.uint64(64 - max(16, (16 * len(self.codes)).bit_length()))
+        slots = (self.codes >> self.shift).astype(np.int64)
+        self.slot = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.slot[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]
+        self.chain = int(np.unique(slots, return_counts=True)[1].max(initial=0))
+
+    def _hits(self, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, run): where the joined words have a run of an item."""
+        runs = grams_of(joined)
+        row = self.slot[(runs >> self.shift).astype(np.int64)]
+        at = np.flatnonzero(row >= 0)
+        row, runs = row[at], runs[at]
+        for _ in range(1, self.chain):
+            other = self.codes[row] != runs
+            if not other.any():
+                break
+            row[other] = np.minimum(row[other] + 1, len(self.codes) - 1)
+        same = self.codes[row] == runs if len(self.codes) else np.zeros(len(row), bool)
+        return at[same], row[same]
 
-    def voted(self, joined: bytes) -> list[tuple[int, int, int]]:
+    def voted(self, joined: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, low, high): the parts of a text's joined words that enough runs of the item vote for."""
-        runs = grams_of(joined)
-        at = np.flatnonzero(self.known[(runs * _G >> np.uint64(44)).astype(np.int64)])
-        if not len(at) or not len(self.codes):
-            return []
-        row = np.minimum(np.searchsorted(self.codes, runs[at]), len(self.codes) - 1)
-        right = self.codes[row] == runs[at]
-        at, row = at[right], row[right]
-        uses = self.uses[row]
+        at, row = self._hits(joined)
         if not len(at):
             return []
+        uses = self.uses[row]
         each = np.repeat(self.first[row] - np.cumsum(uses) + uses, uses) + np.arange(int(uses.sum()))
         owner = self.owner[each]
-        bucket = (np.repeat(at, uses) - self.offset[each] + self.length[owner]) // self.span[owner]
-        wide = int(bucket.max()) + 2
-        keys = owner * wide + bucket
-        if len(self.items) * wide <= 1 << 16 or len(self.items) * wide <= 4 * len(keys):
-            count = np.bincount(keys, self.weight[each], len(self.items) * wide)
+        bucket = (np.repeat(at.astype(np.int32), uses) + self.back[each]) // self.step[each]
+        wide = (len(joined) + self.length) // self.span + 2  # windows of an item, and an empty one
+        base = np.cumsum(wide) - wide
+        total = int(base[-1] + wide[-1])
+        keys = base[owner] + bucket
+        if total <= 1 << 18 or total <= 8 * len(keys):
+            count = np.bincount(keys, self.vote[each], total)
             count[:-1] += count[1:]
-            enough = np.flatnonzero(count.reshape(-1, wide) >= self.needed[:, None])
+            enough = np.flatnonzero(count >= 1)
         else:
             met, back = np.unique(keys, return_inverse=True)
-            count = np.bincount(back, self.weight[each])
+            count = np.bincount(back, self.vote[each])
             count = count + np.where(np.append(met[1:] == met[:-1] + 1, False), np.append(count[1:], 0.0), 0.0)
-            enough = met[count >= self.needed[met // wide]]
+            enough = met[count >= 1]
+        if not len(enough):
+            return []
+        items = np.searchsorted(base, enough, "right") - 1
         out: list[tuple[int, int, int]] = []
-        for i, b in zip((enough // wide).tolist(), (enough % wide).tolist(), strict=True):
+        mark = np.zeros(len(self.codes), bool)
+        for i, b in zip(items.tolist(), (enough - base[items]).tolist(), strict=True):
             n, w = int(self.length[i]), int(self.span[i])
             low, high = max(0, b * w - n - w), (b + 2) * w + w
+            met = row[slice(*np.searchsorted(at, (low, high)))]
+            mark[met] = True
+            rows, votes = self.own[i]
+            once = float(votes[mark[rows]].sum())  # each run of the item counts once, however often the text repeats it
+            mark[met] = False
+            if once < 1:
+                continue
             if out and out[-1][0] == i and low <= out[-1][1] + 2 * w:  # neighbours of one place
                 out[-1] = (i, out[-1][1], high)
             else:
                 out.append((i, low, high))
         return out
 
-    def stands(self, item: int, joined: bytes) -> int:
+    def stands(self, item: int, joined: str) -> int:
         """Where a short item stands in a text's joined words, -1 if nowhere."""
-        own = self.items[item][2]
-        plain, at = own.decode("utf-8", "surrogatepass"), joined.find(own)
+        own = self.plain[item]
+        at = joined.find(own)
         while at >= 0:
-            before = joined[max(0, at - 4) : at].decode("utf-8", "ignore")[-1:]
-            after = joined[at + len(own) : at + len(own) + 4].decode("utf-8", "ignore")[:1]
-            if (not before.isalnum() or _UNSPACED.match(plain[0])) and (not after.isalnum() or _UNSPACED.match(plain[-1])):
+            before, after = joined[max(0, at - 1) : at], joined[at + len(own) : at + len(own) + 1]
+            if (before in ("", " ") or _UNSPACED.match(own[0])) and (after in ("", " ") or _UNSPACED.match(own[-1])):
                 return at
             at = joined.find(own, at + 1)
         return -1
@@ -265,73 +331,60 @@ class Benchmark:
         """(item key, edits, start, end) of each item that the text holds, at its best place."""
         if not text or not self.items:
             return []
-        data, words, starts, ends = read_words(text)
+        read = Words(text)
+        words = read.hashes
+        if not len(words):
+            return []
         best: dict[int, tuple[int, int, int]] = {}
         tried: set[tuple[int, int]] = set()
-        for place, item, offset in self.places(words):
+
+        def verify(item: int, low: int, high: int) -> None:
             key, own, joined = self.items[item]
+            limit = best[item][0] if item in best else int(self.share * len(joined)) + 1
+            region = read.joined[max(0, low) : high]
+            if not limit or not len(region) or least_edits(joined.tolist(), region.tolist()) >= limit:
+                return
+            edits, a, b = best_place(joined, region)
+            spanned = read.whole if len(own) >= LEAST else read.exact
+            best[item] = (edits, *spanned(low + a, low + b))
+
+        for place, item, offset in self.places(words):
+            own = self.items[item][1]
             slack = int(self.share * len(own)) + 1
             low, high = max(0, place - offset - slack), min(len(words), place - offset + len(own) + slack)
-            if (item, low // (slack + 1)) in tried or item in best and best[item][0] == 0:
+            if (item, low) in tried or item in best and best[item][0] == 0:
                 continue
-            if not self.candidate(words, place, item, offset):
-                continue
-            tried.add((item, low // (slack + 1)))
-            region = b" ".join([data[s:e] for s, e in zip(starts[low:high].tolist(), ends[low:high].tolist(), strict=True)])
-            edits, a, b = best_place(joined, region)
-            if edits <= self.share * len(joined) and (item not in best or edits < best[item][0]):
-                first = low + region[:a].count(b" ")
-                last = low + region[: max(a, b - 1)].count(b" ")
-                best[item] = (edits, int(starts[first]), int(ends[last]))
-        joined_text = b" ".join([data[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
-        sizes = ends - starts + 1
-        begins = np.cumsum(sizes) - sizes
-
-        def spanned(item: int, a: int, b: int) -> tuple[int, int]:
-            """The bytes of the text that the part a to b of its joined words covers."""
-            first = int(np.searchsorted(begins, a, "right")) - 1
-            last = int(np.searchsorted(begins, max(a, b - 1), "right")) - 1
-            if len(self.items[item][1]) >= LEAST:
-                return int(starts[first]), int(ends[last])
-            s, e = (int(min(starts[w] + x - begins[w], ends[w])) for w, x in ((first, a), (last, b)))
-            while s and data[s] & 0xC0 == 0x80:
-                s -= 1
-            while e < len(data) and data[e] & 0xC0 == 0x80:
-                e += 1
-            return s, e
-
-        for item, low, high in self.voted(joined_text):
-            own, least = self.items[item][2], best[item][0] if item in best else int(self.share * self.length[item]) + 1
-            region = joined_text[low:high]
-            if least and (own in region or least_edits(own, region) < least):
-                edits, a, b = best_place(own, region)
-                best[item] = (edits, *spanned(item, low + a, low + b))
-        if self.short or self.loose:
+            if self.candidate(words, place, item, offset):
+                tried.add((item, low))
+                verify(item, int(read.begins[low]), int(read.ends[high - 1]))
+        for item, low, high in self.voted(read.joined):
+            verify(item, low, high)
+        if self.plain:
+            joined = None
             for item in [*self.loose, *(i for w in dict.fromkeys(words.tolist()) for i in self.short.get(w, ()))]:
-                at = self.stands(item, joined_text)
+                joined = read.string() if joined is None else joined
+                at = self.stands(item, joined)
                 if at >= 0 and (item not in best or best[item][0]):
-                    best[item] = (0, *spanned(item, at, at + len(self.items[item][2])))
-        raw = text.encode("utf-8", "surrogatepass")
-        offset_of = lambda at: len(raw[:at].decode("utf-8", "surrogatepass"))
-        return [(self.items[i][0], e, offset_of(s), offset_of(t)) for i, (e, s, t) in sorted(best.items())]
+                    spanned = read.whole if len(self.items[item][1]) >= LEAST else read.exact
+                    best[item] = (0, *spanned(at, at + len(self.plain[item])))
+        return [(self.items[i][0], e, s, t) for i, (e, s, t) in sorted(best.items())]
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_samples": {}, "_drawn": {}}
 
 
-def best_place(item: bytes, region: bytes) -> tuple[int, int, int]:
+def best_place(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """(edits, start, end): the exact least edit distance of the item to a part of the region, and that part."""
-    at = region.find(item)
+    at = as_string(region).find(as_string(item))
     if at >= 0:
         return 0, at, at + len(item)
-    q, t = np.frombuffer(item, np.uint8), np.frombuffer(region, np.uint8)
-    m = len(t)
+    m = len(region)
     steps = np.arange(m + 1)
     row, origin = np.zeros(m + 1, np.int64), steps.copy()
-    for i in range(len(q)):
+    for i in range(len(item)):
         # From above and from the diagonal; then along the row by a running minimum.
         new, come = row + 1, origin.copy()
-        diagonal = row[:-1] + (t != q[i])
+        diagonal = row[:-1] + (region != item[i])
         better = diagonal < new[1:]
         new[1:] = np.where(better, diagonal, new[1:])
         come[1:] = np.where(better, origin[:-1], come[1:])
@@ -346,11 +399,10 @@ def best_place(item: bytes, region: bytes) -> tuple[int, int, int]:
 def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = SHARE, recall: float = RECALL) -> DataFrame:
     """(key, item key, edits, start, end) for each item that a text holds."""
     spark = docs.sparkSession
-    arrow_batches(spark, 500)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
     schema = f"`{key}` {kind}, `{item_key}` long, edits long, start long, end long"
-    block, found = [], None
+    block, held, found = [], 0, None
 
     def against(block: list[tuple[int, str]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(Benchmark(block, share, recall))
@@ -365,9 +417,10 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         return rows.mapInArrow(match, schema)
 
     for row in items.where(F.col(item_text).isNotNull()).select(F.col(item_key).cast("long"), item_text).toLocalIterator():
+        if block and (len(block) == BLOCK or held + len(row[1]) > BLOCK_CHARS):
+            found, block, held = (against(block) if found is None else found.unionByName(against(block))), [], 0
         block.append((row[0], row[1]))
-        if len(block) == BLOCK:
-            found, block = (against(block) if found is None else found.unionByName(against(block))), []
+        held += len(row[1])
     if block or found is None:
         found = against(block) if found is None else found.unionByName(against(block))
     return found
@@ -379,11 +432,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: documents that hold an item go.
+    """The pipeline's stage: rows that hold an item go, whatever other rows have their id.
 
-    Their ids are written first and counted, and broadcast if they are few, so
-    that the texts need no shuffle.
+    The names of rows are written first and counted, and broadcast if they are
+    few, so that the texts need no shuffle.
     """
-    leaks = materialize(find_items(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).select("doc_id").distinct(), "leaks")
+    named = docs.withColumn("_own", row_name(docs))
+    leaks = materialize(find_items(named, table(spark, sf_dir, "benchmark").select("item_id", "text"), "_own").select("_own").distinct(), "leaks")
     leaks = F.broadcast(leaks) if leaks.count() <= BROADCAST_ROWS else leaks
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return named.join(leaks, "_own", "left_anti").select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import time
@@ -47,10 +48,11 @@ def copies(r, words, text, kind, rate):
     if kind == "every second word":
         return " ".join(w[:-1] + "z" if i % 2 else w for i, w in enumerate(text.split()))
     out = list(text)
+    fixed = {"substitution": 0.5, "insertion": 0.9, "deletion": 0.1}.get(kind)
     for _ in range(int(rate * len(text))):
-        i, what = r.randrange(len(out)), r.random()
+        i, what = r.randrange(len(out)), r.random() if fixed is None else fixed
         out[i : i + (what < 0.8)] = [r.choice("bcdfgaeiou")] * (what > 0.2)
-    return "".join(out)
+    return " ".join("".join(out).split())  # the distance is that of words joined by single spaces
 
 
 def test_recall_up_to_the_accepted_edits():
@@ -59,17 +61,40 @@ def test_recall_up_to_the_accepted_edits():
     texts = [" ".join(r.choice(words) for _ in range(r.randint(14, 60))) for _ in range(40)]
     bench = op9.Benchmark(list(enumerate(texts)))
     fill = lambda: " ".join(r.choice(words) for _ in range(30))
-    for kind, rate in (("every second word", 0), ("word", 0.1), ("word", 0.15), ("word", 0.2), ("character", 0.1), ("character", 0.15), ("character", 0.2)):
+    kinds = [("every second word", 0), *itertools.product(("word", "character", "substitution", "insertion", "deletion"), (0.05, 0.1, 0.15, 0.2))]
+    for kind, rate in kinds:
         held = found = 0
         for k, t in enumerate(texts):
             doc = f"{fill()} {copies(r, words, t, kind, rate)} {fill()}"
             if plain_edits(t, doc) <= 0.2 * len(t):
                 held += 1
                 found += any(h[0] == k for h in bench.matches(doc))
-        print(kind, rate, found, "of", held)
         assert held and found >= 0.97 * held, (kind, rate, found, held)
 
 
+def test_query_by_brute_force_both_ways(spark):
+    """Every pair that the exact distance accepts is found, and no other."""
+    r = random.Random(21)
+    words = ["".join(r.choice("bcdfgaeiouéß") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(k, say(r.randint(8, 24))) for k in range(12)]
+    rows = [(100, None), (101, ""), (102, "!?")]
+    for n in range(40):
+        copy = copies(r, words, r.choice(items)[1], r.choice(("word", "character", "insertion", "deletion")), r.choice((0.0, 0.05, 0.1, 0.3, 0.4)))
+        rows.append((n, f"{say(12)} {copy} {say(12)}" if n % 4 else say(40)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["edits"] for x in op9.find_items(docs, bench).collect()}
+    want = {(d, k): e for d, t in rows if t for k, i in items for e in [plain_edits(i, t)] if e <= 0.2 * len(i)}
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and len(want) > 15
+    assert all(e == want[k] for k, e in got.items())
+
+
+def test_spans_are_code_points_of_the_text(spark):
+    item = "Größe über alles, sagt der Bär im Wald"
+    text = f"🙂🙂 Vorwort. {item.upper().replace('SS', 'ß')} — Ende. " + "wort " * 200_000 + item.replace("Wald", "Walt")
+    assert [(k, e, text[s:t]) for k, e, s, t in op9.Benchmark([(5, item)]).matches(text)] == [(5, 1, item.replace("Wald", "Walt"))]
+
+
 def test_least_edits_by_brute_force():
     r = random.Random(12)
     for _ in range(200):
