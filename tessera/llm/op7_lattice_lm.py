@@ -2,47 +2,53 @@
 
 A fixed vocabulary of pieces (a sentencepiece file with scores; it is not
 trained here) spans a lattice over each word: every way to cut the word into
-pieces is a path. A piece's probability starts from its score in the file and
-is re-estimated on the training words by expectation maximisation, over all
-cuts. A word's probability is the sum over all its cuts, by the forward
-recursion in log space; a text's is the product over its words and one end
-piece. No piece joins two words, so that is the sum over all segmentations of
-the whole text. Characters without a piece are spelled in byte pieces.
-
-Training words span an edge of their own over the whole word, with their
-discounted relative frequency (c-d)/N; the mass dV/N that the discounts free
-weighs the cuts into pieces. So the sum stays a probability, a frequent word is
-worth its count, and a word never seen is worth its pieces.
+pieces is a path, and every path is such a cut. A piece's probability starts
+from its score in the file (see Lattice.from_scores) and is re-estimated on all
+words of the training texts, each as often as it occurs, by `ROUNDS` rounds of
+expectation maximisation over all cuts. A word's probability is the sum over
+all its cuts, by the forward recursion in log space; a text's is the product
+over its words and one end piece. No piece joins two words, so that is the sum
+over all segmentations of the whole text. Characters without a piece are
+spelled in byte pieces.
 
 Beside it stands a word model: log10((c+1)/(N+V+1)) of each token, with c its
 count, N all and V distinct tokens in training; the end counts as a token.
 
-Word counts are never gathered or broadcast. Documents are dealt into blocks;
-each block sends its distinct words with their counts, one shuffle by word
-adds them up, each distinct word is scored once, and the answers go back to
-the block, where its documents are scored from a table of that block's words
-alone. Pieces, whose number is fixed, are all that the driver sees.
+Word counts are never gathered or broadcast. Tasks deal the documents into
+blocks of BLOCK_BYTES and write, in one pass, each document as the numbers of
+its words within its block, and each block's distinct words with their numbers
+and counts. Counts are added up by word with a partial aggregate before the
+shuffle, each distinct word is scored once, and the answers are joined back to
+the blocks, where documents are scored by their numbers alone. Block numbers
+are written with the rows, so a task that is run again reads the same blocks.
+Pieces, whose number is fixed, are all that the driver sees.
 
 Defined results: null and empty texts are the end alone; repeated rows count
-each and give repeated results; a null key is not held out. Without training
-rows N and V are 0 and pieces keep the file's scores.
+each and give repeated results; a null key is not held out. Very long texts are
+read whole (a longer text is a block of its own), and so are very long words.
+Without training rows N and V are 0 and pieces keep the file's scores; an empty
+table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, fold, materialize, table
+from tessera.llm.common import fold, materialize, table
 
-#: Rounds of expectation maximisation, what each piece's count gets added, and the discount of a word's count.
-ROUNDS, ADDED, DISCOUNT = 2, 0.05, 0.75
+#: Rounds of expectation maximisation, and what each piece's count gets added.
+ROUNDS, ADDED = 2, 0.05
+#: Bytes of text and distinct words that close a block; letters from which a word is read alone; words read side by side.
+BLOCK_BYTES, BLOCK_WORDS, LONG, TOGETHER = 32 << 20, 2_000_000, 48, 20_000
 _START = "▁"
+_G = 0x9E3779B97F4A7C15
 
 
 def default_vocabulary() -> str:
@@ -60,6 +66,45 @@ def load_vocabulary(path: str) -> tuple[list[str], list[float], str]:
     return [model.id_to_piece(i) for i in kept], [model.get_score(i) for i in kept], model.id_to_piece(model.eos_id())
 
 
+class PieceTable:
+    """Pieces by a hash of their code points, for many substrings at a time."""
+
+    def __init__(self, pieces: list[str]):
+        self.longest = max(map(len, pieces), default=1)
+        self.powers = np.array([pow(_G, i, 1 << 64) for i in range(LONG + 2)], np.uint64)
+        hashes = np.zeros(len(pieces), np.uint64)
+        for k, piece in enumerate(pieces):
+            hashes[k] = self.of([ord(c) for c in piece])
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+        self.shift = np.uint64(64 - max(12, (8 * len(pieces)).bit_length()))
+        slots = (self.hashes >> self.shift).astype(np.int64)
+        self.slot = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.slot[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]
+        self.chain = int(np.unique(slots, return_counts=True)[1].max(initial=0))
+
+    @staticmethod
+    def of(codes: list[int]) -> int:
+        value = 0
+        for c in codes:
+            value = (value * _G + c + 1) & 0xFFFFFFFFFFFFFFFF
+        return value * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The piece of each hash, -1 where there is none."""
+        out = np.full(len(hashes), -1, np.int32)
+        row = self.slot[(hashes >> self.shift).astype(np.int64)]
+        at = np.flatnonzero(row >= 0)
+        row, want = row[at], hashes[at]
+        for _ in range(self.chain):
+            same = self.hashes[row] == want
+            out[at[same]] = self.order[row[same]]
+            at, row, want = at[~same], row[~same] + 1, want[~same]
+            inside = row < len(self.hashes)
+            at, row, want = at[inside], row[inside], want[inside]
+        return out
+
+
 class Lattice:
     """Log probabilities of pieces, and sums over all cuts of a word.
 
@@ -68,14 +113,22 @@ class Lattice:
     """
 
     def __init__(self, pieces: list[str], log_p: list[float], end: str):
-        self.log_p, self.end, self._root = dict(zip(pieces, log_p, strict=True)), end, None
+        self.pieces, self.weights, self.end = pieces, np.array(log_p, np.float64), end
+        self.log_p, self.number = dict(zip(pieces, log_p, strict=True)), {p: i for i, p in enumerate(pieces)}
+        self._root, self._table = None, None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_root": None}
+        return self.__dict__ | {"_root": None, "_table": None}
 
     @classmethod
     def from_scores(cls, pieces: list[str], scores: list[float], end: str) -> Lattice:
-        """The file orders pieces by score; by Zipf's law a piece's weight falls with its rank."""
+        """The one mapping of scores to probabilities.
+
+        The file's scores are merge ranks, not log probabilities: they order
+        the pieces. By Zipf's law a piece's weight is 1 / (rank + 10), rank 0
+        being the highest score and equal scores following the file's order;
+        weights are divided by their sum.
+        """
         order = sorted(range(len(pieces)), key=lambda i: -scores[i])
         weight = [0.0] * len(pieces)
         for rank, i in enumerate(order):
@@ -182,16 +235,101 @@ class Lattice:
             for used in (piece,) if piece is not None else self._spelled(s[i]):
                 into[used] = into.get(used, 0.0) + part
 
-
-def with_word(c: int, n: int, v: int, cuts: float) -> float:
-    """ln of a token's probability: its own edge and its cuts together."""
-    if not n:
-        return cuts
-    below = math.log(DISCOUNT * v / n) + cuts
-    if c <= DISCOUNT:
-        return below
-    own = math.log((c - DISCOUNT) / n)
-    return max(own, below) + math.log1p(math.exp(-abs(own - below)))
+    @property
+    def table(self) -> PieceTable:
+        if self._table is None:
+            self._table = PieceTable(self.pieces)
+        return self._table
+
+    def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, int]]]:
+        """Words of one length side by side: their numbers, code points, the piece that starts at each place with each length (-1: none), and the spelling's log p of letters without a piece."""
+        codes = np.frombuffer("\n".join(map(_as_text, words)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.append(np.flatnonzero(codes == 10), len(codes))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        sizes = ends - starts
+        for size in np.unique(sizes[(sizes > 0) & (sizes <= LONG)]).tolist():
+            members = np.flatnonzero(sizes == size)
+            for low in range(0, len(members), TOGETHER):
+                who = members[low : low + TOGETHER]
+                s = np.empty((size + 1, len(who)), np.uint64)
+                s[0] = ord(_START)
+                s[1:] = codes[starts[who][None, :] + np.arange(size)[:, None]]
+                n, longest, powers = size + 1, self.table.longest, self.table.powers
+                piece = np.full((n, longest + 1, len(who)), -1, np.int32)
+                prefix = np.zeros((n + 1, len(who)), np.uint64)
+                for i in range(n):
+                    prefix[i + 1] = prefix[i] * np.uint64(_G) + s[i] + np.uint64(1)
+                for l in range(1, min(longest, n) + 1):
+                    part = (prefix[l:] - prefix[: n + 1 - l] * powers[l]) * np.uint64(0xD6E8FEB86659FD93)
+                    piece[: n + 1 - l, l] = self.table.find(part.ravel()).reshape(part.shape)
+                alone = piece[:, 1] < 0
+                spelled = np.zeros((n, len(who)))
+                if alone.any():
+                    letters, back = np.unique(s[alone], return_inverse=True)
+                    spelled[alone] = np.array([self._spelling(chr(c)) for c in letters.tolist()])[back]
+                yield who, s, piece, alone, spelled
+
+    def _edges(self, piece: np.ndarray, alone: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        log_p = np.where(piece >= 0, self.weights[piece], -np.inf)
+        log_p[:, 1] = np.where(alone, spelled, log_p[:, 1])
+        return log_p
+
+    @staticmethod
+    def _forward(log_p: np.ndarray) -> np.ndarray:
+        """ln of the sum over all cuts of each word's beginnings, for words side by side."""
+        n, longest = log_p.shape[0], log_p.shape[1] - 1
+        a = np.full((n + 1, log_p.shape[2]), -np.inf)
+        a[0] = 0.0
+        for j in range(1, n + 1):
+            terms = np.stack([a[j - l] + log_p[j - l, l] for l in range(1, min(longest, j) + 1)])
+            top = terms.max(axis=0)
+            a[j] = top + np.log(np.exp(terms - top).sum(axis=0))
+        return a
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """ln of the sum over all cuts of each word."""
+        out = np.zeros(len(words))
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self.log_probability(_as_text(w))
+        for who, _, piece, alone, spelled in self._groups([w if len(w) <= LONG else b"" for w in words]):
+            out[who] = self._forward(self._edges(piece, alone, spelled))[-1]
+        return out
+
+    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """The expected uses of each piece, in order, in so many of each word, over all cuts."""
+        out, other = np.zeros(len(self.pieces)), {}
+        for w, c in zip(words, counts.tolist(), strict=True):
+            if len(w) > LONG:
+                self.expect(_as_text(w), c, other)
+        for who, s, piece, alone, spelled in self._groups([w if len(w) <= LONG else b"" for w in words]):
+            log_p = self._edges(piece, alone, spelled)
+            a = self._forward(log_p)
+            b = self._forward(_mirrored(log_p))[::-1]  # the sum over all cuts of each word's endings
+            n, longest = piece.shape[0], piece.shape[1] - 1
+            whole = a[-1] - np.log(counts[who])
+            for l in range(1, min(longest, n) + 1):
+                uses = np.exp(a[: n + 1 - l] + log_p[: n + 1 - l, l] + b[l:] - whole)
+                own = piece[: n + 1 - l, l]
+                out += np.bincount(own[own >= 0], uses[own >= 0], len(out))
+                if l == 1 and alone.any():
+                    letters, back = np.unique(s[alone], return_inverse=True)
+                    for c, u in zip(letters.tolist(), np.bincount(back, uses[alone]).tolist(), strict=True):
+                        for byte in self._spelled(chr(c)):
+                            other[byte] = other.get(byte, 0.0) + u
+        for piece, u in other.items():
+            if piece in self.number:
+                out[self.number[piece]] += u
+        return out
+
+
+def _mirrored(log_p: np.ndarray) -> np.ndarray:
+    """The edges of the words read from their ends."""
+    n, longest = log_p.shape[0], log_p.shape[1] - 1
+    out = np.full_like(log_p, -np.inf)
+    for l in range(1, min(longest, n) + 1):
+        out[: n + 1 - l, l] = log_p[: n + 1 - l, l][::-1]
+    return out
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -203,30 +341,66 @@ def _as_text(word: bytes) -> str:
     return word.decode("utf-8", "surrogatepass")
 
 
-def _block_words(rows: DataFrame) -> DataFrame:
-    """(block, word, n): each block's distinct words, with their count in its training rows."""
+class _Numbers(dict):
+    """A number for each word, in order of first use."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train: dict[int, Counter] = {}
-        other: dict[int, set] = {}
-        for batch in batches:
-            for block, held, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if held:
-                    other.setdefault(block, set()).update(words_of(text))
-                else:
-                    train.setdefault(block, Counter()).update(words_of(text))
-        for block in {*train, *other}:
-            known = train.get(block, Counter())
-            items = [*known.items(), *((w, 0) for w in other.get(block, ()) if w not in known)]
-            for at in range(0, len(items), 50_000):
-                part = items[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["block", "word", "n"])
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+class _Block:
+    def __init__(self, number: int):
+        self.number, self.words, self.counts, self.bytes = number, _Numbers(), np.zeros(0, np.int64), 0
 
-    return rows.select("_block", "_held", "_text").mapInArrow(count, "block long, word binary, n long")
+    def read(self, texts: list[str | None], held: list[bool]) -> list[bytes]:
+        """Each text as the numbers of its words; words of texts that are not held out are counted."""
+        parts, look = [], self.words.__getitem__
+        for text in texts:
+            words = words_of(text)
+            parts.append(np.fromiter(map(look, words), np.int32, len(words)))
+            self.bytes += len(text or "")
+        seen = np.concatenate([np.zeros(0, np.int32), *(p for p, h in zip(parts, held, strict=True) if not h)])
+        grown = np.bincount(seen, minlength=len(self.words))
+        grown[: len(self.counts)] += self.counts
+        self.counts = grown
+        return [p.tobytes() for p in parts]
+
+
+def _deal(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """Documents (_key, _held, block, ids) and, where word is not null, blocks' words (block, id, word, n)."""
+    kind = rows.schema["_key"].dataType.simpleString()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_key", "_held", "block", "ids", "word", "id", "n"]
+        block = _Block(TaskContext.get().partitionId() << 32)
+        key_type = None
+
+        def words() -> Iterator[pa.RecordBatch]:
+            known = list(block.words)
+            for at in range(0, len(known), 50_000):
+                part = known[at : at + 50_000]
+                size = len(part)
+                yield pa.RecordBatch.from_arrays([pa.nulls(size, key_type), pa.nulls(size, pa.bool_()), pa.array(np.full(size, block.number)), pa.nulls(size, pa.binary()), pa.array(part, pa.binary()), pa.array(np.arange(at, at + size, dtype=np.int32)), pa.array(block.counts[at : at + size])], names=names)
+
+        for whole in batches:
+            key_type = whole.schema.field(0).type
+            for at in range(0, len(whole), 200):
+                batch = whole.slice(at, 200)
+                ids = block.read(batch.column(2).to_pylist(), batch.column(1).to_pylist())
+                size = len(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(size, block.number)), pa.array(ids, pa.binary()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())], names=names)
+                if block.bytes > block_bytes or len(block.words) > BLOCK_WORDS:
+                    yield from words()
+                    block = _Block(block.number + 1)
+        if block.words:
+            yield from words()
+
+    return rows.select("_key", "_held", "_text").mapInArrow(deal, f"_key {kind}, _held boolean, block long, ids binary, word binary, id int, n long")
 
 
 def train(words: DataFrame, documents: int, vocabulary: str, rounds: int = ROUNDS) -> Lattice:
-    """Re-estimate the pieces on a row for each distinct word: the cuts mostly serve words that are rare."""
+    """Re-estimate the pieces on (word, c): the training words with their counts. A training text ends once."""
     pieces, scores, end = load_vocabulary(vocabulary)
     model = Lattice.from_scores(pieces, scores, end)
     spark = words.sparkSession
@@ -234,86 +408,81 @@ def train(words: DataFrame, documents: int, vocabulary: str, rounds: int = ROUND
         shared = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, into = shared.value, {}
+            own, uses = shared.value, 0.0
             for batch in batches:
-                for word in batch.column(0).to_pylist():
-                    own.expect(_as_text(word), 1.0, into)
-            yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.float64())], names=["piece", "n"])
-
-        used = words.select("word").mapInArrow(expect, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-        counts = {r["piece"]: r["n"] for r in used.collect()}  # pieces of the fixed vocabulary at most
-        counts[end] = 1.0
-        total = sum(counts.values()) + ADDED * len(pieces)
-        model = Lattice(pieces, [math.log((counts.get(p, 0.0) + ADDED) / total) for p in pieces], end)
+                uses = uses + own.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64))
+            used = np.flatnonzero(uses) if isinstance(uses, np.ndarray) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(uses[used] if len(used) else [], pa.float64())], names=["piece", "n"])
+
+        used = words.select("word", "c").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        counts = np.full(len(pieces), ADDED)
+        for r in used.collect():  # pieces of the fixed vocabulary at most
+            counts[r["piece"]] += r["n"]
+        counts[pieces.index(end)] += documents
+        model = Lattice(pieces, np.log(counts / counts.sum()).tolist(), end)
         shared.unpersist()
     return model
 
 
-def file_block() -> Column:
-    """A number for the part of a file that a task reads: a block that needs no shuffle to be counted."""
-    return F.xxhash64(F.input_file_name(), F.input_file_block_start())
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each run of `sizes` values."""
+    out, starts = np.zeros(len(sizes)), np.cumsum(sizes) - sizes
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, starts[some])
+    return out
 
 
-def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, rounds: int = ROUNDS, by_file: bool = False) -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; `held_out` rows train nothing.
-
-    by_file: docs come straight from files, and a block is the part of a file
-    that one task reads; otherwise blocks are dealt by a hash. A block's words
-    and texts fit in a worker's memory as long as a task's input does.
-    """
+def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; `held_out` rows train nothing."""
     spark = docs.sparkSession
-    arrow_batches(spark, 500)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    block = file_block() if by_file else F.pmod(F.xxhash64(key, text), F.lit(parts))
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"), block.alias("_block"))
-    same = Window.partitionBy("word")
-    counted = _block_words(rows if by_file else rows.repartition(parts, "_block"))
-    counted = counted.withColumn("c", F.sum("n").over(same)).withColumn("once", F.row_number().over(same.orderBy("block")) == 1).drop("n")
-    counted = materialize(counted, "words")
-    distinct = counted.where(F.col("once") & (F.col("c") > 0))
-    found = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    documents = rows.where(~F.col("_held")).count()
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
+    dealt = materialize(_deal(rows, block_bytes), "dealt")
+    texts, words = dealt.where(F.col("word").isNull()).select("_key", "_held", "block", "ids"), dealt.where(F.col("word").isNotNull()).select("block", "id", "word", "n")
+    known = texts.groupBy("block").agg(F.count_if(~F.col("_held")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("blocks")).first()
+    documents, parts = known["n"], max(int(spark.conf.get("spark.sql.shuffle.partitions")), known["blocks"])
+
+    distinct = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    learned = distinct.where(F.col("c") > 0)
+    found = learned.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = found["n"] + documents, found["v"] + (documents > 0)
-    model = spark.sparkContext.broadcast(train(distinct, documents, vocabulary or default_vocabulary(), rounds))
+    model = spark.sparkContext.broadcast(train(learned, documents, vocabulary or default_vocabulary(), rounds))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last, value = model.value, None, 0.0
+        own = model.value
         for batch in batches:
-            values = []
-            for word, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):  # rows of one word follow each other
-                if word != last:
-                    last, value = word, with_word(c, n, v, own.log_probability(_as_text(word)))
-                values.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(values, pa.float64())], names=["block", "word", "c", "log_p"])
-
-    answers = counted.select("block", "word", "c").mapInArrow(answer, "block long, word binary, c long, log_p double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.log_probabilities(batch.column(0).to_pylist()))], names=["word", "c", "log_p"])
+
+    answers = words.drop("n").join(distinct.mapInArrow(answer, "word binary, c long, log_p double"), "word").select(F.col("block").alias("_of"), "id", "c", "log_p")
     kind = rows.schema["_key"].dataType.simpleString()
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    ten = math.log(10)
 
     def score(answers_: pa.Table, docs_: pa.Table) -> pa.Table:
         own = model.value
-        end = with_word(documents, n, v, own.log_p[own.end])
-        words = answers_.column("word").to_pylist()
-        counts = answers_.column("c").to_pylist()
-        known = dict(zip(words, zip(counts, [math.log10(c + 1) for c in counts], answers_.column("log_p").to_pylist(), strict=True), strict=True))
-        below, base_end = math.log10(n + v + 1), math.log10(documents + 1)
-        out: list[list] = [[] for _ in names]
-        keys, held = docs_.column("_key").to_pylist(), docs_.column("_held").to_pylist()
-        for i, k in enumerate(keys):
-            tokens = [known[w] for w in words_of(docs_.column("_text")[i].as_py())]
-            size = len(tokens) + 1
-            row = (k, held[i], size, sum([t[0] > 0 for t in tokens]) + (documents > 0), n, math.fsum([t[1] for t in tokens]) + base_end - size * below, (math.fsum([t[2] for t in tokens]) + end) / ten)
-            for column, value in zip(out, row, strict=True):
-                column.append(value)
-        kinds = (docs_.schema.field("_key").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
-
-    dealt = rows.withColumnRenamed("_block", "block").groupBy("block")
-    return answers.groupBy("block").cogroup(dealt).applyInArrow(score, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        size = answers_.num_rows
+        order, counts, log_p = np.empty(size, np.int64), np.empty(size), np.empty(size)
+        order[:] = answers_.column("id").to_numpy()
+        counts[order], log_p[order] = answers_.column("c").to_numpy(), answers_.column("log_p").to_numpy()
+        base, seen = np.log10(counts + 1), (counts > 0).astype(np.float64)
+        ids = [np.frombuffer(x, np.int32) for x in docs_.column("ids").to_pylist()]
+        sizes, every = np.array([len(x) for x in ids], np.int64), np.concatenate([np.zeros(0, np.int32), *ids])
+        tokens = sizes + 1
+        columns = [
+            docs_.column("_key").combine_chunks(),
+            docs_.column("_held").combine_chunks(),
+            pa.array(tokens),
+            pa.array(_sums(seen[every], sizes).astype(np.int64) + (documents > 0)),
+            pa.array(np.full(len(ids), n, np.int64)),
+            pa.array(_sums(base[every], sizes) + math.log10(documents + 1) - tokens * math.log10(n + v + 1)),
+            pa.array((_sums(log_p[every], sizes) + own.log_p[own.end]) / math.log(10)),
+        ]
+        return pa.Table.from_arrays(columns, names=names)
+
+    grouped = answers.repartition(parts, "_of").groupBy("_of").cogroup(texts.repartition(parts, "block").groupBy("block"))
+    return grouped.applyInArrow(score, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: scores of every document, learned off the fold that is held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_documents(docs, fold("doc_id", 7) == 2, by_file=True)
+    return score_documents(docs, fold("doc_id", 7) == 2)
