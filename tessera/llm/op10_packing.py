@@ -11,7 +11,10 @@ packed again; the new packing is taken if it needs fewer bins. This is tried
 `rounds` times, each time dealt in another way.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
-packed each on its own; an empty table gives no rows. Keys may repeat.
+packed each on its own; an empty table gives no rows. Keys may repeat or be
+null. Very long texts are read whole and cut into pieces. Of bins that fit
+equally well the one opened or filled last is taken; pieces of equal length go
+by their numbers. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, drop, materialize, table
+from tessera.llm.common import drop, materialize, table
 
 CAPACITY, END_ID, PART_ROWS, ROUNDS = 1024, 2, 20_000, 3
 #: Chunks whose ids a worker keeps, and the longest it keeps.
@@ -74,18 +77,31 @@ class _Known(dict):
 class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer's pattern never joins what stands on both sides of a single
-    space, so a text is cut there and the ids of its chunks are kept. The
-    merges of chunks not seen before are run by tiktoken over the tokenizer
-    file's own vocabulary; tests hold the ids against the tokenizers library.
+    As in the tokenizers library, added tokens (such as an end mark) are found
+    first and have their own ids; what stands between them is encoded by
+    itself. The tokenizer's pattern never joins what stands on both sides of a
+    single space, so a text is cut there and the ids of its chunks are kept.
+    The merges of chunks not seen before are run by tiktoken over the tokenizer
+    file's own vocabulary; tests hold the ids against the library's.
     """
 
     def __init__(self, spec: str):
         ranks = byte_ranks(spec)
+        added = json.loads(spec).get("added_tokens", ())
+        if any(t.get(f) for t in added for f in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         encode = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.first, self.later, self.any = _Known(encode, ""), _Known(encode, " "), _Known(encode, "")
 
     def encode(self, text: str) -> bytes:
+        if any(mark in text for mark in self.added):
+            return b"".join([self.added[part] if i % 2 else self.plain(part) for i, part in enumerate(self.cut.split(text)) if part])
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if "  " in text:
             return b"".join(map(self.any.__getitem__, _CUT.split(text)))
         chunks = text.split(" ")
@@ -106,7 +122,6 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer
     executors; it is a fixed vocabulary of a few MB.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 500)
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
@@ -197,12 +212,12 @@ def _pack_parts(rows: DataFrame, stage: int, part_rows: int, capacity: int) -> D
         number = (stage << 56) | (int(part["_part"].iloc[0]) << 26)
         return pd.DataFrame({"_row": part["_row"], "length": lengths, "sequence_id": bins + number, "offset": offsets, "certified": certified, "_settled": certified | (fill[bins] == capacity)})
 
-    return dealt.groupBy("_part").applyInPandas(pack_part, "_row string, length long, sequence_id long, offset long, certified boolean, _settled boolean")
+    return dealt.groupBy("_part").applyInPandas(pack_part, f"_row {rows.schema['_row'].dataType.simpleString()}, length long, sequence_id long, offset long, certified boolean, _settled boolean")
 
 
 def pack(pieces: DataFrame, row: str, length: str = "length", capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """(row, length, sequence_id, offset, certified) of pieces named by a unique `row`."""
-    rows = pieces.select(F.col(row).cast("string").alias("_row"), F.col(length).cast("long").alias("length"))
+    """(row, length, sequence_id, offset, certified) of pieces named by a unique `row`, which is not null."""
+    rows = pieces.select(F.col(row).alias("_row"), F.col(length).cast("long").alias("length"))
     packed = materialize(_pack_parts(rows, 0, part_rows, capacity), "packed")
     pool = packed.where(~F.col("_settled"))
     settled = packed.where(F.col("_settled"))
@@ -219,18 +234,15 @@ def pack(pieces: DataFrame, row: str, length: str = "length", capacity: int = CA
     return settled.unionByName(pool).drop("_settled").withColumnRenamed("_row", row)
 
 
-def pack_pieces(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """Add sequence_id, offset and certified to every piece.
 
-    Repeated rows need names of their own: equal pieces are numbered, which
-    joins them one to one with their places.
+    Pieces are written once with a number of their own, so keys may be null or
+    repeat, and no key is gathered anywhere.
     """
-    from pyspark.sql import Window
-
-    same = Window.partitionBy(key, "piece").orderBy("start")
-    named = materialize(pieces.withColumn("_copy", F.row_number().over(same)).withColumn("_row", F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("null")), "piece", "_copy")), "pieces")
+    named = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     packed = pack(named, "_row", "length", capacity, part_rows, rounds)
-    return named.join(packed.select("_row", "sequence_id", "offset", "certified"), "_row").drop("_row", "_copy")
+    return named.join(packed.select("_row", "sequence_id", "offset", "certified"), "_row").drop("_row")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
