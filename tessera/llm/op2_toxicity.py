@@ -1,28 +1,35 @@
 """Toxicity by compression distance: two zstandard dictionaries, compared window by window.
 
 A text is brought to lower-case letters and cut into overlapping windows. The
-ordinary dictionary is trained on windows of ordinary documents. The toxic one
-holds segments trained on toxic documents (beginnings of words that are far
-more frequent there than in ordinary ones, the strongest last), then the
-ordinary content, so that the two differ by what is typical of toxic text
-alone. A window's distance is the bytes that the toxic dictionary saves over
-the ordinary one. Thresholds on the distances give the features of a text
-(shares and counts of windows beyond each, the mean and the largest), and a
-logistic calibration on texts that trained no dictionary weighs them.
+library's trainer makes both dictionaries: the ordinary one from all windows of
+ordinary documents, the toxic one from windows of toxic documents. Most windows
+of a toxic document are ordinary, so the toxic dictionary is trained in ROUNDS:
+first on all its windows, then on those alone that it shortens by as many bytes
+as sets them best apart from windows of ordinary documents that trained
+nothing. Whole windows are chosen, by compression lengths; no words are. In
+front of the ordinary content, so that the two differ by what is typical of
+toxic text alone, the toxic one's content gives the toxic side. A window's
+distance is the bytes that the toxic side saves over the ordinary one.
+Thresholds on the distances give the features of a text (shares and counts of
+windows beyond each, the mean and the largest), and a logistic calibration on
+texts that trained no dictionary weighs them.
 
 Training rows are a bounded sample: about `sample` labelled documents of each
-class. Labels, language, source and ids are no inputs of a score.
+class, and at most PIECE characters, at a hashed place, of each. Labels,
+language, source and ids are no inputs of a score.
 
 Defined results: null and empty texts have no window beyond any threshold and
-get the score of that; without training rows of both classes every score is 0.
-Where a document has several labels the highest counts. Repeated rows give
-repeated results; other columns pass through, outputs come in one column.
+get the score of that; without training rows of both classes every score is 0;
+with windows too few for the trainer they are taken raw. Where a document has
+several labels the highest counts. Very long texts are scored whole. Repeated
+rows give repeated results, and texts count once in training; an empty table
+gives no rows. Other columns pass through; the output takes the place of a
+column of its name.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,13 +38,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, fold, sampled, table
-from tessera.llm.op3_language_id import SEARCH, letters
+from tessera.llm.common import fold, sampled, table
+from tessera.llm.op3_language_id import letters
 
-#: Labelled documents of a class, bytes of a window and between windows, of the dictionaries, and saved bytes that count.
-SAMPLE, WINDOW, STEP, ORDINARY_BYTES, TOXIC_BYTES, CUTS = 2000, 80, 64, 8000, 2000, (2, 3, 4, 6)
-#: A segment: its characters, its least z-score, and how much more frequent it is in toxic documents.
-SEGMENT, LEAST_Z, RATIO = (5, 11), 5.0, 6
+#: Labelled documents of a class and characters of each, bytes of a window and between windows, and saved bytes that count.
+SAMPLE, PIECE, WINDOW, STEP, CUTS = 3000, 16_384, 80, 64, (2, 3, 4, 6)
+#: Bytes of the dictionaries, the trainer's segments and the strings it counts, and rounds of training the toxic one.
+ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, COUNTED, ROUNDS = 100_000, 8000, (16, 12), 6, 3
+#: Bytes at the head of a trained dictionary that are tables of codes rather than content.
+TABLES = 160
+#: As for languages, with tables for the larger dictionary.
+SEARCH = {"strategy": zstandard.STRATEGY_LAZY, "min_match": 4, "window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 4, "target_length": 16}
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -54,11 +65,15 @@ class Distances:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_made": None}
 
-    def of(self, text: str | None) -> np.ndarray:
+    def between(self, parts: Sequence[bytes]) -> np.ndarray:
+        """Of each window, the bytes that the toxic side saves."""
         if self._made is None:
             self._made = [_compressor(self.ordinary), _compressor(self.toxic + self.ordinary)]
         plain, toxic = self._made
-        return np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)], np.float64)
+        return np.array([len(plain(w)) - len(toxic(w)) for w in parts], np.float64)
+
+    def of(self, text: str | None) -> np.ndarray:
+        return self.between(windows(text))
 
     def features(self, text: str | None) -> list[float]:
         d = np.sort(self.of(text))[::-1]
@@ -79,41 +94,49 @@ def _compressor(content: bytes):
     return zstandard.ZstdCompressor(compression_params=how, dict_data=d).compress
 
 
-def segments(texts: Sequence[str]) -> Counter:
-    """Documents that hold each beginning of a word, with the space before it."""
-    found: Counter = Counter()
-    for text in texts:
-        own = set()
-        for word in letters(text).split():
-            word = b" " + word + b" "
-            own.update(word[:k] for k in range(SEGMENT[0], min(SEGMENT[1], len(word)) + 1))
-        found.update(own)
-    return found
-
-
-def ordinary_content(texts: Sequence[str]) -> bytes:
-    samples = [w for t in texts for w in windows(t)][:60_000]
+def trained(samples: Sequence[bytes], size: int, segment: int) -> bytes:
+    """The content of a dictionary that the library trains on samples; the samples themselves where they are too few."""
     try:
-        trained = zstandard.train_dictionary(ORDINARY_BYTES, samples, k=32, d=6).as_bytes()
-    except zstandard.ZstdError:  # too few windows to train on
-        trained = b"".join(samples)
-    return trained[-ORDINARY_BYTES + 200 :]
-
-
-def toxic_content(toxic: Sequence[str], ordinary: Sequence[str]) -> bytes:
-    a, b = segments(toxic), segments(ordinary)
-    n, m = len(toxic), len(ordinary)
-    ranked = []
-    for s, x in a.items():
-        y = b.get(s, 0)
-        z = (x / n - y / m) / math.sqrt((x + y + 1) * 2 * min(n, m) / (n + m)) * min(n, m)
-        if x >= 4 and z > min(LEAST_Z, math.sqrt(min(n, m)) / 4) and y * RATIO * n <= x * m:
-            ranked.append((z, s))
-    kept: list[bytes] = []
-    for _, s in sorted(ranked, reverse=True):
-        if not any(s in k or k in s for k in kept) and sum(map(len, kept)) < TOXIC_BYTES:
-            kept.append(s)
-    return b"".join(reversed(kept))[-TOXIC_BYTES:]
+        return zstandard.train_dictionary(size, list(samples), k=segment, d=COUNTED).as_bytes()[TABLES:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def toxic_content(toxic: Sequence[bytes], ordinary: bytes, held: Sequence[bytes], rounds: int = ROUNDS) -> bytes:
+    """Train on windows of toxic documents, then on those alone that the dictionary sets apart from `held` ordinary windows."""
+    chosen = list(toxic)
+    for left in reversed(range(rounds)):
+        content = trained(chosen, TOXIC_BYTES, SEGMENT[1])
+        if not left or not held:
+            return content
+        model = Distances(ordinary, content)
+        near, far = model.between(toxic), model.between(held)
+        cuts = np.arange(1, max(2, int(near.max()) + 1))
+        a, b = ((d[None, :] >= cuts[:, None]).mean(axis=1) for d in (near, far))
+        cut = int(cuts[np.argmax((a - b) / np.sqrt(a + b + 1e-4))])
+        chosen = [w for w, d in zip(toxic, near, strict=True) if d >= cut] or chosen
+    return b""
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of a logistic model with a small ridge, by Newton's method with halved steps; the first column is the constant."""
+    scale = x.std(axis=0)
+    z = x / np.where(scale > 1e-6, scale, np.maximum(1.0, np.abs(x).max(axis=0)))
+    ridge = np.array([1e-6, *[1.0] * (x.shape[1] - 1)])
+    worth = lambda b: float((weight * (y * (z @ b) - np.logaddexp(0, z @ b))).sum() - (ridge * b * b).sum() / 2)
+    beta = np.zeros(x.shape[1])
+    at = worth(beta)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ beta))
+        step = np.linalg.solve(z.T @ ((weight * p * (1 - p))[:, None] * z) + np.diag(ridge), z.T @ (weight * (y - p)) - ridge * beta)
+        size = 1.0
+        while worth(beta + size * step) < at and size > 1e-6:
+            size /= 2
+        new = worth(beta + size * step)
+        if new <= at + 1e-9:
+            break
+        beta, at = beta + size * step, new
+    return beta / np.where(scale > 1e-6, scale, np.maximum(1.0, np.abs(x).max(axis=0)))
 
 
 def fit(toxic: Sequence[str], ordinary: Sequence[str], prior: float = 0.5) -> Distances:
@@ -122,21 +145,13 @@ def fit(toxic: Sequence[str], ordinary: Sequence[str], prior: float = 0.5) -> Di
     split = lambda rows, own: [t for i, t in enumerate(rows) if (i % 3 == 0) is own]
     if len(toxic) < 3 or len(ordinary) < 3:
         return Distances(b"", b"")
-    model = Distances(ordinary_content(split(ordinary, False)), toxic_content(split(toxic, False), split(ordinary, False)))
+    cut = lambda rows: [w for t in rows for w in windows(t)]
+    plain = trained(cut(split(ordinary, False)), ORDINARY_BYTES, SEGMENT[0])
+    model = Distances(plain, toxic_content(cut(split(toxic, False)), plain, cut(split(ordinary, True))))
     held = [(t, 1) for t in split(toxic, True)] + [(t, 0) for t in split(ordinary, True)]
     x, y = np.array([model.features(t) for t, _ in held]), np.array([v for _, v in held], float)
     weight = np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum())) * len(y)
-    scale = np.maximum(x.std(axis=0), 1e-6)
-    scale[0] = 1
-    beta = np.zeros(x.shape[1])
-    for _ in range(60):  # Newton's method with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x / scale @ beta, -30, 30)))
-        ridge = np.diag([1e-6, *[1.0] * (x.shape[1] - 1)])
-        step = np.linalg.solve((x / scale).T @ ((weight * p * (1 - p))[:, None] * (x / scale)) + ridge, (x / scale).T @ (weight * (y - p)) - ridge @ beta)
-        beta += np.clip(step, -2, 2)
-        if abs(step).max() < 1e-6:
-            break
-    model.weights = beta / scale
+    model.weights = logistic(x, y, weight)
     return model
 
 
@@ -152,8 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, key:
     rows = rows.groupBy("_key").agg(F.max("_toxic").alias("_toxic"))
     chosen = sampled(rows, "_key", F.col("_toxic"), sample, 2).select("_key", "_toxic").collect()
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "_key long, _toxic int")
-    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key").where(F.col("_text").isNotNull()).collect()
-    texts = [[r["_text"] for r in found if r["_toxic"] == k] for k in (0, 1)]
+    place = F.pmod(F.xxhash64("_text", F.lit(7)), F.greatest(F.lit(1), F.char_length("_text") - PIECE + 1)) + 1
+    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key").where(F.col("_text").isNotNull())
+    found = found.select("_toxic", F.substring(F.col("_text"), place.cast("int"), F.lit(PIECE)).alias("piece")).distinct().collect()
+    texts = [[r["piece"] for r in found if r["_toxic"] == k] for k in (0, 1)]
     if prior is None:
         total = rows.agg(F.avg("_toxic")).first()[0] or 0.5
         prior = math.sqrt(total / 2)  # between the share that is toxic and a half: misses weigh more than false alarms
@@ -162,7 +179,6 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, key:
 
 def score_toxicity(docs: DataFrame, model: Distances, text: str = "text", out: str = "toxicity") -> DataFrame:
     """Add the column `out`, 0 to 1."""
-    arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
