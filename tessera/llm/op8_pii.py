@@ -2,36 +2,50 @@
 
 The base patterns find emails, addresses, cards and phones. Beside them, a
 lexer proposes candidate segments (runs around `@`, and runs of digits with
-the separators people write between them, cut at their parts). A semi-Markov
-model scores each whole segment under each type, by features of the span and
-its surroundings, and the type that came before; dynamic programming over the
-candidates picks boundaries and types together. Segments that it picks are
-added unless they touch a base span.
-
-Its weights are learned from the data: an averaged structured perceptron over
-a bounded sample of documents (`sample`), whose reference segmentation is that
-of the base patterns, starting at the prior weights below. Entities are
+the separators people write between them, cut at their parts). The model gives
+every set of candidates that don't overlap, with a type for each, the weight
+exp(sum of the segments' features and of the types that follow each other).
+The features are of the whole span and its surroundings. Dynamic programming
+over the candidates gives the sum over all such sets (the partition function),
+each segment's marginal probability, and the best set, which chooses
+boundaries and types together. Segments of the best set are added, with their
+marginal as score, unless they touch a base span.
+
+Its weights maximise the conditional likelihood of a bounded sample (about
+`sample` distinct texts that hold a digit or an `@`, WINDOW characters at a
+hashed place of each), with a Gaussian prior around PRIOR. The reference
+segments are those of the base patterns, and rewritten ones: half of them are
+put, before learning, into forms that people write and no base pattern takes
+(` (at) ` for `@`, a phone without `+` behind a cue, a card or a phone in other
+groups), so that the model learns more than the patterns say. Entities are
 bounded: at most MAX_PARTS parts and MAX_SPAN characters.
 
 Offsets are code points, the end exclusive. Defined results: a null text is
-empty and has no spans; repeated rows give repeated results; other columns
-pass through, outputs come in one column.
+empty and has no spans; an empty table gives no rows; with nothing to learn
+from, weights are PRIOR. Very long texts are read whole, in time that grows
+with the text. Of sets of equal weight the one whose segments end first is
+taken. Repeated rows give repeated results, and count once in training. Other
+columns pass through; outputs come in one array, `pii`, which takes the place
+of a column of that name.
 """
 
 from __future__ import annotations
 
+import random
 import re
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, sampled, table
+from tessera.llm.common import covers, sampled, table
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, MAX_PARTS, MAX_SPAN = 2000, 8, 64
+#: Texts to learn from and characters of each, bounds of an entity, steps of learning, and the precision of the prior.
+SAMPLE, WINDOW, MAX_PARTS, MAX_SPAN, STEPS, RIDGE = 800, 1500, 8, 64, 40, 0.5
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]", re.A)
 _LOCAL_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.A)
@@ -41,7 +55,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]", re.A)
 _ANY = re.compile(r"[0-9@]", re.A)
 _CLUSTER = re.compile(r"[+(]?[0-9](?:[\x20().+-]{0,2}[0-9])+", re.A)
 _PARTS = re.compile(r"[0-9]+", re.A)
-_MAILISH = re.compile(r"[A-Za-z0-9._%+-]{1,40}(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]{1,40}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,20}){1,4}", re.A)
+_MAILISH = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++", re.A)
 _CUE = {"phone": re.compile(r"(?i)(?:phone|tel|call|mobile|cell|fax|ring)\W{0,4}$"), "card": re.compile(r"(?i)(?:card|visa|credit|debit|amex|mastercard)(?: (?:no|number))?\W{0,4}$"), "ip": re.compile(r"(?i)(?:\bip|address|host|server)\W{0,4}$"), "email": re.compile(r"(?i)(?:e-?mail|contact|write to)\W{0,4}$")}
 
 #: What a segment's features say before any data does.
@@ -96,7 +110,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Segments that may be entities, by end; bounded in length and in parts."""
-    found = {m.span() for m in _MAILISH.finditer(text)} if "@" in text or "at)" in text or "at]" in text else set()
+    found = {m.span() for m in _MAILISH.finditer(text) if m.end() - m.start() <= MAX_SPAN} if "@" in text or "at)" in text or "at]" in text else set()
     for cluster in _CLUSTER.finditer(text):
         parts = [m.span() for m in _PARTS.finditer(text, *cluster.span())]
         for i, (low, _) in enumerate(parts):
@@ -141,95 +155,216 @@ def features(text: str, low: int, high: int) -> dict[str, list[str]]:
     return out
 
 
-def decode(text: str, weights: dict[tuple[str, str], float]) -> list[tuple[str, int, int]]:
-    """The best set of segments that don't overlap, with their types.
-
-    best[kind] is the best score of a segmentation whose last entity has that
-    type; a segment extends the best one that ends at or before its start.
-    """
-    spans = candidates(text)
-    if not spans:
+class Chain:
+    """The candidates of a text in order of their ends, and the segmentations that they make."""
+
+    def __init__(self, text: str):
+        self.spans = candidates(text)
+        ends = [high for _, high in self.spans]
+        self.before = [bisect_right(ends, low) for low, _ in self.spans]  # candidates that end where this one may begin
+        self.named = [features(text, low, high) for low, high in self.spans]
+
+    def own(self, weights: dict[tuple[str, str], float]) -> np.ndarray:
+        """(candidate, type): what the features of a segment weigh."""
+        return np.array([[sum(weights.get((k, f), 0.0) for f in named[k]) for k in KINDS] for named in self.named]).reshape(-1, len(KINDS))
+
+    def forward(self, own: np.ndarray, follow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln sums over the segmentations by the first k candidates whose last segment has each type (first: none), and over those that end in candidate k."""
+        n = len(self.spans)
+        whole = np.full((n + 1, len(KINDS) + 1), -np.inf)
+        whole[:, 0] = 0.0
+        ending = np.empty((n, len(KINDS)))
+        for k, j in enumerate(self.before):
+            ending[k] = own[k] + _log_sum(whole[j][:, None] + follow)
+            whole[k + 1, 1:] = np.logaddexp(whole[k, 1:], ending[k])
+        return whole, ending
+
+    def marginals(self, own: np.ndarray, follow: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(ln partition function, probability of each candidate as each type, expected times that a type follows another)."""
+        whole, ending = self.forward(own, follow)
+        total = float(_log_sum(whole[-1]))
+        share = np.zeros_like(whole)  # how much of the weight of all passes through each sum
+        share[-1] = np.exp(whole[-1] - total)
+        each, pairs = np.zeros_like(ending), np.zeros_like(follow)
+        for k in range(len(self.spans) - 1, -1, -1):
+            j = self.before[k]
+            with np.errstate(invalid="ignore"):
+                each[k] = share[k + 1, 1:] * np.exp(ending[k] - whole[k + 1, 1:])
+            share[k] += share[k + 1]
+            share[k, 1:] -= each[k]
+            came = each[k] * np.exp(whole[j][:, None] + follow + own[k] - ending[k])
+            share[j] += came.sum(axis=1)
+            pairs += came
+        return total, each, pairs
+
+    def best(self, own: np.ndarray, follow: np.ndarray) -> list[tuple[int, int]]:
+        """(candidate, type) of the segmentation of the greatest weight."""
+        score = np.full(len(KINDS) + 1, -np.inf)
+        score[0] = 0.0
+        scores, back = [score], []  # of segmentations by the first k candidates; the candidate that ends the best, and the type before
+        last: list[list[int]] = [[-1] * (len(KINDS) + 1)]
+        for k, j in enumerate(self.before):
+            reach = scores[j][:, None] + follow
+            came = reach.argmax(axis=0)
+            new = own[k] + reach[came, range(len(KINDS))]
+            score, at = scores[-1].copy(), list(last[-1])
+            for t in np.flatnonzero(new > score[1:]).tolist():
+                score[t + 1], at[t + 1] = new[t], k
+            back.append(came.tolist())
+            scores.append(score)
+            last.append(at)
+        out, k, t = [], len(self.spans), int(scores[-1].argmax())
+        while t:
+            at = last[k][t]
+            out.append((at, t - 1))
+            k, t = self.before[at], back[at][t - 1]
+        return out[::-1]
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=0)
+    return top + np.log(np.exp(x - top).sum(axis=0))
+
+
+def following(weights: dict[tuple[str, str], float]) -> np.ndarray:
+    """(type before or none, type): what it weighs that one follows the other."""
+    return np.array([[weights.get((k, f"after {j}"), 0.0) for k in KINDS] for j in ("", *KINDS)])
+
+
+def decode(text: str, weights: dict[tuple[str, str], float]) -> list[tuple[str, int, int, float]]:
+    """The best segments that don't overlap: type, start, end, and the marginal probability."""
+    chain = Chain(text)
+    if not chain.spans:
+        return []
+    own, follow = chain.own(weights), following(weights)
+    best = chain.best(own, follow)
+    if not best:
         return []
-    ends: list[int] = []
-    table_: list[dict[str, tuple[float, tuple]]] = []
-    best: dict[str, tuple[float, tuple]] = {"": (0.0, ())}
-    from bisect import bisect_right
-
-    for low, high in spans:
-        k = bisect_right(ends, low)
-        start = table_[k - 1] if k else {"": (0.0, ())}
-        named = features(text, low, high)
-        new = dict(best)
-        for kind in KINDS:
-            own = sum(weights.get((kind, f), 0.0) for f in named[kind])
-            score, path = max(((s + weights.get((kind, f"after {prev}"), 0.0), p) for prev, (s, p) in start.items()), key=lambda x: x[0])
-            if score + own > new.get(kind, (-1e18,))[0]:
-                new[kind] = (score + own, (path, (kind, low, high)))
-        best = new
-        ends.append(high)
-        table_.append(best)
-    path, out = max(best.values(), key=lambda x: x[0])[1], []
-    while path:
-        path, span = path
-        out.append(span)
-    return out[::-1]
-
-
-def learn(texts: list[str], rounds: int = 3) -> dict[tuple[str, str], float]:
-    """Averaged structured perceptron against the base segmentation."""
-    weights, total, seen = defaultdict(float, PRIOR), defaultdict(float), 0
-    rows = [(t, {s for s in base_spans(t) if s[2] - s[1] <= MAX_SPAN}) for t in texts if _ANY.search(t)]
-    for _ in range(rounds):
+    each = chain.marginals(own, follow)[1]
+    return [(KINDS[t], *chain.spans[k], min(1.0, float(each[k, t]))) for k, t in best]
+
+
+def rewritten(text: str, r: random.Random) -> tuple[str, set[tuple[str, int, int]]]:
+    """The text with half of its base spans in forms that no base pattern takes, and all reference segments."""
+    out, gold, at, size = [], set(), 0, 0
+    for low, high, kind in sorted((s, e, k) for k, s, e in base_spans(text)):
+        if low < at:
+            continue
+        span = text[low:high]
+        if r.random() < 0.5:
+            if kind == "email":
+                left, right = span.split("@", 1)
+                span = f"{left}{r.choice((' (at) ', ' [at] ', '(at)'))}{right}" if r.random() < 0.5 else f"{left} (at) {right.replace('.', ' (dot) ')}"
+            elif kind == "phone":
+                digits = re.sub(r"[^0-9]", "", span)
+                span = r.choice((f"{digits[:3]}-{digits[3:6]}-{digits[6:]}", f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"{digits[:3]}.{digits[3:6]}.{digits[6:]}"))
+                span = span if text[:low].rstrip().endswith((":", "phone", "call")) else r.choice(("phone: ", "call ", "tel. ")) + span
+            elif kind == "card":
+                digits = re.sub(r"[^0-9]", "", span)
+                span = r.choice(("", "card ", "card no: ")) + " ".join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        lead = re.match(r"(?:phone: |call |tel\. |card no: |card )?", span).end()
+        out += [text[at:low], span]
+        size += low - at
+        if len(span) - lead <= MAX_SPAN:
+            gold.add((kind, size + lead, size + len(span)))
+        size += len(span)
+        at = high
+    return "".join([*out, text[at:]]), gold
+
+
+class Likelihood:
+    """The penalised conditional log likelihood of reference segmentations, and its gradient."""
+
+    def __init__(self, rows: list[tuple[str, set[tuple[str, int, int]]]]):
+        self.rows = []
         for text, gold in rows:
-            guess = set(decode(text, weights))
-            possible = set(candidates(text))
-            for sign, wrong in ((0.1, gold - guess), (-0.1, guess - gold)):
-                for kind, low, high in wrong:
-                    if (low, high) in possible:
-                        for f in features(text, low, high)[kind]:
-                            weights[kind, f] += sign
-            for chain, sign in ((sorted(gold, key=lambda s: s[1:]), 0.02), (sorted(guess, key=lambda s: s[1:]), -0.02)):
-                if gold != guess:
-                    for a, b in zip(["", *[s[0] for s in chain]], [s[0] for s in chain], strict=False):
-                        weights[b, f"after {a}"] += sign
-            seen += 1
-            for k, v in weights.items():
-                total[k] += v
-    return {k: v / seen for k, v in total.items()} if seen else dict(PRIOR)
-
-
-def find(text: str | None, weights: dict[tuple[str, str], float]) -> list[tuple[str, int, int, bool]]:
-    """(kind, start, end, base?) by kind, then start: base spans, and segments that touch none."""
+            chain = Chain(text)
+            if chain.spans:
+                place = {s: k for k, s in enumerate(chain.spans)}
+                self.rows.append((chain, sorted((place[s, e], KINDS.index(k)) for k, s, e in gold if (s, e) in place)))
+        names = {(k, f) for chain, _ in self.rows for named in chain.named for k in KINDS for f in named[k]}
+        names |= {(k, f"after {j}") for k in KINDS for j in ("", *KINDS)} | set(PRIOR)
+        self.names = sorted(names)
+        number = {f: i for i, f in enumerate(self.names)}
+        self.center = np.array([PRIOR.get(f, 0.0) for f in self.names])
+        self.follow = np.array([[number[k, f"after {j}"] for k in KINDS] for j in ("", *KINDS)])
+        # Per text, the features that hold: candidate, type and feature, one entry each.
+        self.held = []
+        for chain, _ in self.rows:
+            held = [(c, t, number[k, f]) for c, named in enumerate(chain.named) for t, k in enumerate(KINDS) for f in named[k]]
+            self.held.append(tuple(np.array(x) for x in zip(*held, strict=True)))
+
+    def at(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        value, slope = -RIDGE / 2 * float(((w - self.center) ** 2).sum()), -RIDGE * (w - self.center)
+        follow = w[self.follow]
+        for (chain, gold), (c, t, f) in zip(self.rows, self.held, strict=True):
+            own = np.zeros((len(chain.spans), len(KINDS)))
+            np.add.at(own, (c, t), w[f])
+            total, each, pairs = chain.marginals(own, follow)
+            observed, before = np.zeros_like(each), 0
+            for k, kind in gold:
+                observed[k, kind] = 1.0
+                value += own[k, kind] + follow[before, kind]
+                slope[self.follow[before, kind]] += 1
+                before = kind + 1
+            value -= total
+            slope += np.bincount(f, (observed - each)[c, t], len(w))
+            slope -= np.bincount(self.follow.ravel(), pairs.ravel(), len(w))
+        return value, slope
+
+
+def learn(texts: list[str], steps: int = STEPS) -> dict[tuple[str, str], float]:
+    """Weights of the greatest penalised conditional likelihood, by steps that grow while a slope keeps its sign."""
+    r = random.Random(8)
+    target = Likelihood([rewritten(t, r) for t in texts if _ANY.search(t)])
+    if not target.rows:
+        return dict(PRIOR)
+    w, size, last = target.center.copy(), np.full(len(target.names), 0.1), np.zeros(len(target.names))
+    best, kept = -np.inf, w
+    for _ in range(steps):
+        value, slope = target.at(w)
+        if value > best:
+            best, kept = value, w.copy()
+        same = np.sign(slope) * np.sign(last)
+        size = np.clip(np.where(same > 0, size * 1.3, np.where(same < 0, size * 0.5, size)), 1e-4, 1.0)
+        last = np.where(same < 0, 0.0, slope)
+        w = w + np.sign(last) * size
+    return dict(zip(target.names, kept.tolist(), strict=True))
+
+
+def find(text: str | None, weights: dict[tuple[str, str], float]) -> list[tuple[str, int, int, bool, float]]:
+    """(kind, start, end, base?, score) by kind, then start: base spans, and segments that touch none."""
     text = text or ""
     if not _ANY.search(text) and "at)" not in text and "at]" not in text:
         return []
     base = base_spans(text)
-    added = [s for s in decode(text, weights) if not any(s[1] < e and b < s[2] for _, b, e in base)]
-    return sorted([*((*s, True) for s in base), *((*s, False) for s in added)], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+    starts, ends = covers([(s, e) for _, s, e in base])
+    touches = lambda s, e: (i := bisect_left(starts, e)) and ends[i - 1] > s
+    added = [(k, s, e, False, p) for k, s, e, p in decode(text, weights) if not touches(s, e)]
+    return sorted([*((*s, True, 1.0) for s in base), *added], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[tuple[str, str], float]:
-    """Weights from about `sample` documents that hold a digit or an `@`."""
+    """Weights from WINDOW characters each of about `sample` distinct texts that hold a digit or an `@`."""
     rows = sampled(docs.select(F.col(text).alias("_text")).where(F.col("_text").rlike("[0-9@]")), "_text", F.lit(1), sample, 8)
-    return learn(sorted(r["_text"] for r in rows.select("_text").collect()))
+    place = F.pmod(F.xxhash64("_text", F.lit(7)), F.greatest(F.lit(1), F.char_length("_text") - WINDOW + 1)) + 1
+    return learn(sorted(r[0] for r in rows.select(F.substring(F.col("_text"), place.cast("int"), F.lit(WINDOW))).collect()))
 
 
 def find_pii(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """Add `pii`: an array of (kind, start, end, base) over the whole text."""
-    arrow_batches(docs.sparkSession)
+    """Add `pii`: an array of (kind, start, end, base, score) over the whole text."""
     weights = fit(docs, text, sample)
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("score", pa.float64())]))
 
-    @F.arrow_udf("array<struct<kind string, start long, end long, base boolean>>")
+    @F.arrow_udf("array<struct<kind string, start long, end long, base boolean, score double>>")
     def spans(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"kind": k, "start": s, "end": e, "base": b} for k, s, e, b in find(t.as_py(), weights)] for t in texts], kind)
+        return pa.array([[{"kind": k, "start": s, "end": e, "base": b, "score": p} for k, s, e, b, p in find(t.as_py(), weights)] for t in texts], kind)
 
     return docs.withColumn("pii", spans(F.col(text)))
 
 
 def redact_pii(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Replace every span of the text by its kind in brackets; null stays null."""
-    arrow_batches(docs.sparkSession)
     weights = fit(docs, text, sample)
 
     @F.arrow_udf("string")
@@ -242,7 +377,7 @@ def redact_pii(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Dat
 
 def redact(text: str, weights: dict[tuple[str, str], float]) -> str:
     out, at = [], 0
-    for low, high, kind in sorted((s, e, k) for k, s, e, _ in find(text, weights)):
+    for low, high, kind in sorted((s, e, k) for k, s, e, _, _ in find(text, weights)):
         if low >= at:
             out += [text[at:low], f"[{kind.upper()}]"]
         at = max(at, high)
