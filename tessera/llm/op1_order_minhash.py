@@ -5,13 +5,21 @@ occurrence, so that repeats count. For each of `m` hash functions the `l`
 numbered k-mers with the smallest hashes are selected, put in text order, and
 hashed as a tuple. The hash functions are rotations of one hash: under each,
 the first k-mer of two texts together is any of theirs with equal chance, so
-the chance of equal choices is what independent functions give. The fingerprint is the m tuple hashes, 16 bits each, in
-hex; the likeness of two fingerprints is the share of equal places.
+the mean likeness is what independent functions give. Rotations of one hash are
+not independent, though, which shows in texts of few k-mers: the likeness after
+one edit has a standard deviation up to twice as large there (a test holds it
+to 0.12 at 30 characters and to 0.07 at 300). The fingerprint is the m tuple
+hashes, 16 bits each, in hex; the likeness of two fingerprints is the share of
+equal places.
 
 Defined results: a null text is empty; a text shorter than `k` is one k-mer;
 texts with fewer than `l` k-mers use those they have; an empty text's tuple is
 empty, so two empty texts have likeness 1. Equal hashes go to the earlier
-k-mer. Equal texts have equal fingerprints whatever their length.
+k-mer. Equal texts have equal fingerprints whatever their length; very long
+texts are read whole. Repeated rows each have a result, next to each other in
+the order; an empty table gives no rows. Other columns pass through
+order_minhash, whose output takes the place of a column of its name, and are
+not read by compare_neighbours.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_batches, table
+from tessera.llm.common import table
 
 #: Code points of a k-mer (a power of two), hash functions, k-mers of a tuple.
 K, M, L = 8, 64, 2
@@ -102,7 +110,6 @@ def to_hex(signature: np.ndarray) -> str:
 
 def order_minhash(docs: DataFrame, text: str = "text", k: int = K, m: int = M, l: int = L) -> DataFrame:  # noqa: E741
     """Add `fingerprint`, a hex string, to every row."""
-    arrow_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def signed(texts: pa.Array) -> pa.Array:
@@ -127,11 +134,10 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
     of the key cut it into as many ranges as there are shuffle partitions, the
     first row of each range also goes to the range before it (for the last
     range's end: the first row of all), and each range is read in order. The
-    text is shuffled once. Rows of equal keys are ordered by text; null keys
+    text is shuffled once, each range to a task of its own. Rows of equal keys are ordered by text; null keys
     come first.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 256)
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)] or [0.5], 20 * parts).alias("c")).first()["c"] or []
@@ -156,7 +162,7 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
         return pa.array(out, pa.list_(pa.struct([("part", pa.int32()), ("late", pa.bool_())])))
 
     dealt = rows.withColumn("_to", F.explode(targets("_key"))).select("_key", "_text", F.col("_to.part").alias("_part"), F.col("_to.late").alias("_late"))
-    dealt = dealt.repartition(parts, "_part").sortWithinPartitions("_part", "_late", "_key", "_text")
+    dealt = dealt.repartitionById(len(cuts) + 1, F.col("_part")).sortWithinPartitions("_part", "_late", "_key", "_text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
