@@ -9,11 +9,21 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of an Arrow batch. Whole texts cross in these batches, so they stay small; the same for all operators.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; any store that Spark can read."""
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python workers. Every operator sets the same bounds, so it doesn't matter which was built last."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def fold(key: str | Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo; null for a null key."""
     column = F.col(key) if isinstance(key, str) else key

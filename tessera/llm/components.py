@@ -38,4 +38,5 @@ def components(links: DataFrame) -> DataFrame:
         drop(labels)
         labels = new
         if new.where(F.col("label") != F.col("was")).isEmpty():
-            return labels.select("node", "label")
+            drop(edges)
+            return labels

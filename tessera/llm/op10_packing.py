@@ -31,7 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop, materialize, table
+from tessera.llm.common import bound_batches, drop, materialize, table
 
 CAPACITY, END_ID, PART_ROWS, ROUNDS = 1024, 2, 20_000, 3
 #: Chunks whose ids a worker keeps, and the longest it keeps.
@@ -122,6 +122,7 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer
     executors; it is a fixed vocabulary of a few MB.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))

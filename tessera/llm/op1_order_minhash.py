@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import bound_batches, table
 
 #: Code points of a k-mer (a power of two), hash functions, k-mers of a tuple.
 K, M, L = 8, 64, 2
@@ -110,6 +110,7 @@ def to_hex(signature: np.ndarray) -> str:
 
 def order_minhash(docs: DataFrame, text: str = "text", k: int = K, m: int = M, l: int = L) -> DataFrame:  # noqa: E741
     """Add `fingerprint`, a hex string, to every row."""
+    bound_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def signed(texts: pa.Array) -> pa.Array:
@@ -138,6 +139,7 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
     come first.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)] or [0.5], 20 * parts).alias("c")).first()["c"] or []

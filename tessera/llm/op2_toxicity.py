@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, sampled, table
+from tessera.llm.common import bound_batches, fold, sampled, table
 from tessera.llm.op3_language_id import letters
 
 #: Labelled documents of a class and characters of each, bytes of a window and between windows, and saved bytes that count.
@@ -179,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, key:
 
 def score_toxicity(docs: DataFrame, model: Distances, text: str = "text", out: str = "toxicity") -> DataFrame:
     """Add the column `out`, 0 to 1."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

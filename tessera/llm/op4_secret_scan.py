@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import covers, table
+from tessera.llm.common import bound_batches, covers, table
 
 KINDS = ("assign", "access", "hex", "literal")
 THRESHOLD = 0.5
@@ -149,6 +149,7 @@ def scan(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int,
 
 def scan_secrets(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add `secrets`: an array of (kind, start, end) over the whole text."""
+    bound_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     @F.arrow_udf("array<struct<kind string, start long, end long>>")

@@ -27,7 +27,11 @@ hash of the set, throughout.
 Defined results: null and empty texts, and texts without words, have an empty
 set and link with nothing; fewer words than `width` are one shingle. Rows are
 documents: repeated rows give repeated results, and rows with equal keys but
-different texts link only by their texts. Other columns are not read.
+different texts link only by their texts. A set whose rows all have a null key
+links as any other (null counts as the largest key, and as component only where
+no other key is reached). Very long texts are read whole; sizes and sketches
+that tie are told apart by the sets' names. An empty table gives no rows. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop, materialize, row_name, table
+from tessera.llm.common import bound_batches, drop, materialize, row_name, table
 from tessera.llm.components import components
 
 WIDTH, P, Q = 5, 4, 5
@@ -157,7 +161,7 @@ def segment_keys(grams: np.ndarray, widespread: np.ndarray, p: int = P, q: int =
 
 
 def _prints(docs: DataFrame, width: int, widespread, p: int, q: int) -> DataFrame:
-    """(key, n_shingles, node, sketch, keys); each task gives the sketch and keys of a set once."""
+    """(key, hash, n_shingles, node, sketch, keys); each task gives the sketch and keys of a set once."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, seen = widespread.value, set()
@@ -173,9 +177,9 @@ def _prints(docs: DataFrame, width: int, widespread, p: int, q: int) -> DataFram
                 sketches.append(sketch(grams) if new else none)
                 seen.add(node)
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate([none, *x]))) for x in (sketches, keys)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists], names=["_key", "n_shingles", "node", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists], names=["_key", "_hash", "n_shingles", "node", "sketch", "keys"])
 
-    return docs.mapInArrow(prints, f"_key {docs.schema['_key'].dataType.simpleString()}, n_shingles long, node long, sketch array<long>, keys array<long>")
+    return docs.mapInArrow(prints, f"_key {docs.schema['_key'].dataType.simpleString()}, _hash long, n_shingles long, node long, sketch array<long>, keys array<long>")
 
 
 def widespread_shingles(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
@@ -194,19 +198,22 @@ def widespread_shingles(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, grams) of wanted (_key, node): their texts are read again."""
+    """(node, grams) of wanted (_key, _hash, node), one row each: their texts are read again, by key and text, as keys may be null or repeat."""
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    wanted = wanted.select(F.col("_key").alias("_wanted"), F.col("_hash").alias("_of"), "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             rows = []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams = shingle_set(text, width)
-                if len(grams) and signature(grams) == node:  # else a row with the same key but another text
-                    rows.append((node, grams.tobytes()))
+                if node not in seen:
+                    seen.add(node)
+                    rows.append((node, shingle_set(text, width).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "grams"])
 
-    return docs.join(wanted, "_key").select("node", "_text").mapInArrow(sets, "node long, grams binary")
+    met = docs.join(wanted, docs["_key"].eqNullSafe(F.col("_wanted")) & (F.col("_hash") == F.col("_of")))
+    return met.select("node", "_text").mapInArrow(sets, "node long, grams binary").dropDuplicates(["node"])
 
 
 def _side(members: DataFrame, k: str) -> DataFrame:
@@ -240,10 +247,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, p: int = P, q: int = Q) -> DataFrame:
     """(key, n_shingles, component_id) of every row; component_id is the smallest key that links reach."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    bound_batches(spark)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
     hot = spark.sparkContext.broadcast(widespread_shingles(rows, width))
     prints = materialize(_prints(rows, width, hot, p, q), "prints")
-    classes = materialize(prints.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min("_key").alias("_key")), "classes")
+    classes = materialize(prints.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_hash")).alias("first")).select("node", "first._key", "first._hash"), "classes")
 
     # Keys that more than one set has.
     same = Window.partitionBy("key")
@@ -252,33 +260,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     buckets = materialize(shared.select("key", "node").distinct(), "buckets")
     drawn = prints.where(F.size("sketch") > 0).select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
     drawn = drawn.select("node", "n", *[F.element_at("sketch", i + 1).alias(c) for i, c in enumerate(_PARTS)])
-    members = materialize(buckets.select("node").distinct().join(classes.where(F.col("_key").isNotNull()), "node").join(drawn, "node"), "members")
+    members = materialize(buckets.select("node").distinct().join(classes, "node").join(drawn, "node"), "members")
     few = F.broadcast if members.count() <= BROADCAST_MEMBERS else (lambda df: df)
 
     # Every set of a key against the key's hub: the set that shares the most keys, the likeliest to be what the others are copies of.
-    hubs = buckets.withColumn("fame", F.count(F.lit(1)).over(Window.partitionBy("node"))).withColumn("hub", F.max(F.struct("fame", "node")).over(same)["node"])
+    famous = buckets.join(buckets.groupBy("node").agg(F.count(F.lit(1)).alias("fame")), "node")
+    hubs = buckets.join(famous.groupBy("key").agg(F.max(F.struct("fame", "node"))["node"].alias("hub")), "key")
     star = hubs.where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     near = materialize(star.join(few(_side(members, "a")), "a").join(few(_side(members, "b")), "b").where(_possible(p, q)).select("a", "b"), "near")
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(_sets(rows, ends(near).join(members.select("node", "_key"), "node"), width), "sets")
+    sets = materialize(_sets(rows, ends(near).join(members.select("node", "_key", "_hash"), "node"), width), "sets")
     links = materialize(_verified(near, sets, p, q), "links")
     labels = components(links)
+    done = [buckets, members, near, sets, links]
 
     # What one key holds of several components: hold these against each other.
     tags = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
-    named = buckets.select("key", "node").join(tags, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = named.withColumn("low", F.min("label").over(same)).withColumn("high", F.max("label").over(same)).where(F.col("low") < F.col("high")).select("key", "node", "label").distinct()
-    open_ = materialize(open_.join(few(members.drop("_key")), "node"), "open")
+    named = buckets.join(tags, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high")).select("key")
+    open_ = materialize(named.join(several, "key", "left_semi").join(few(members.drop("_key", "_hash")), "node"), "open")
     left = open_.select("key", *[F.col(c).alias(f"{c}_a") for c in ("label", "n", *_PARTS)], F.col("node").alias("a"))
     right = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("label", "n", *_PARTS)], F.col("node").alias("b"))
     meet = (left["key"] == right["key"]) & (F.col("label_a") != F.col("label_b")) & (F.col("a") < F.col("b")) & _possible(p, q)
     across = materialize(left.join(right, meet).select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), "across")
+    done += [open_, across]
     if not across.isEmpty():
-        more = ends(across).join(sets.select("node"), "node", "left_anti").join(members.select("node", "_key"), "node")
-        sets = sets.unionByName(materialize(_sets(rows, more, width), "sets"))
-        found = materialize(_verified(across, sets, p, q), "links")
+        more = ends(across).join(sets.select("node"), "node", "left_anti").join(members.select("node", "_key", "_hash"), "node")
+        new = materialize(_sets(rows, more, width), "sets")
+        found = materialize(_verified(across, sets.unionByName(new), p, q), "links")
+        done += [new, found]
         if not found.isEmpty():
+            drop(labels)
             labels = components(links.unionByName(found))
+    for temporary in done:
+        drop(temporary)
 
     tags = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
     whole = classes.join(tags, "node", "left").select("node", "_key", F.coalesce("label", "node").alias("label"))

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, materialize, table
+from tessera.llm.common import bound_batches, fold, materialize, table
 
 #: Rounds of expectation maximisation, and what each piece's count gets added.
 ROUNDS, ADDED = 2, 0.05
@@ -436,6 +436,7 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; `held_out` rows train nothing."""
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
     dealt = materialize(_deal(rows, block_bytes), "dealt")
     texts, words = dealt.where(F.col("word").isNull()).select("_key", "_held", "block", "ids"), dealt.where(F.col("word").isNotNull()).select("block", "id", "word", "n")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import covers, sampled, table
+from tessera.llm.common import bound_batches, covers, sampled, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Texts to learn from and characters of each, bounds of an entity, steps of learning, and the precision of the prior.
@@ -353,6 +353,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[tuple
 
 def find_pii(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Add `pii`: an array of (kind, start, end, base, score) over the whole text."""
+    bound_batches(docs.sparkSession)
     weights = fit(docs, text, sample)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("score", pa.float64())]))
 
@@ -365,6 +366,7 @@ def find_pii(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataF
 
 def redact_pii(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Replace every span of the text by its kind in brackets; null stays null."""
+    bound_batches(docs.sparkSession)
     weights = fit(docs, text, sample)
 
     @F.arrow_udf("string")

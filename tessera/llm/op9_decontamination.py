@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, row_name, table
+from tessera.llm.common import bound_batches, materialize, row_name, table
 from tessera.llm.op6_ngram_jaccard import BROADCAST_ROWS, hashed_runs, mix
 
 SHARE, RECALL, BITS, SEEDS, LEAST, WALKS = 0.2, 0.99, 3, 10, 4, 4
@@ -399,6 +399,7 @@ def best_place(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
 def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = SHARE, recall: float = RECALL) -> DataFrame:
     """(key, item key, edits, start, end) for each item that a text holds."""
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
     schema = f"`{key}` {kind}, `{item_key}` long, edits long, start long, end long"

@@ -93,3 +93,11 @@ def test_empty_table_and_repeated_rows(spark):
     rows = [(1, "a b c d e f")] * 3 + [(None, "a b c d e f"), (7, "q r s t u v"), (7, "a b c d e f")]
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, 1), (1, 1), (1, 1), (1, 1), (7, 1), (7, 7)]
+
+
+def test_null_and_repeated_keys_keep_their_links(spark):
+    text = lambda n, *more: " ".join([f"{n}{i}" for i in range(60)] + list(more))
+    rows = [(None, text("a")), (None, text("a", "x")), (None, text("b")), (None, text("a", "x")), (7, text("b", "y")), (7, text("c")), (9, text("c", "z")), (3, None), (None, "")]
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, 56, None), (None, 57, None), (None, 56, 7), (None, 57, None), (7, 57, 7), (7, 56, 7), (9, 57, 7), (3, 0, 3), (None, 0, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
