@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import drop, materialize, table
 from tessera.llm.op3_language_id import keep_identified
 from tessera.llm.op6_ngram_jaccard import keep_one
 from tessera.llm.op8_pii import redact_stage
@@ -38,5 +38,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the result of the last."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(before)  # the table of the stage before; documents themselves are not touched
     return STAGES[-1][1](spark, docs, sf_dir)
