@@ -101,13 +101,21 @@ def ngram_tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(NGRAM_TOKEN), F.lit(0)), F.lower)
 
 
+# How references are written, in any case of prefix and path.
+SHORT_REFERENCE = r"(?i)(?<![\w-])orkg[pcr]:[A-Za-z_][A-Za-z0-9_-]*"
+FULL_REFERENCE = r"(?i)https?://(?:www\.)?orkg\.org/orkg/(?:predicate|class|resource)/[A-Za-z_][A-Za-z0-9_-]*"
+
+
+def references_in_text(text: Column) -> Column:
+    """Distinct sorted references `prefix:id` of any text, prefixed or as full IRIs, literals included."""
+    short = F.transform(F.regexp_extract_all(text, F.lit(f"({SHORT_REFERENCE})"), F.lit(1)), lambda r: F.concat(F.lower(F.substring_index(r, ":", 1)), F.lit(":"), F.substring_index(r, ":", -1)))
+    full = F.transform(F.regexp_extract_all(text, F.lit(f"({FULL_REFERENCE})"), F.lit(1)), lambda r: F.concat(F.lit("orkg"), F.lower(F.substring(F.element_at(F.split(r, "/"), -2), 1, 1)), F.lit(":"), F.element_at(F.split(r, "/"), -1)))
+    return F.array_sort(F.array_union(short, full))
+
+
 def references(query: Column) -> Column:
-    """Distinct sorted references `prefix:id` of a query, prefixed or as full IRIs, outside literals and comments."""
-    masked = mask_literals_and_comments(query)
-    short = F.regexp_extract_all(masked, F.lit(r"\borkg[rcp]:[A-Za-z0-9_]+"), F.lit(0))
-    full = F.regexp_extract_all(masked, F.lit(r"<https?://(?:www\.)?orkg\.org/orkg/(resource|class|predicate)/([A-Za-z0-9_]+)>"), F.lit(0))
-    kind = lambda iri: F.concat(F.lit("orkg"), F.substring(F.regexp_extract(iri, r"/orkg/(\w)", 1), 1, 1), F.lit(":"), F.regexp_extract(iri, r"/([A-Za-z0-9_]+)>$", 1))
-    return F.array_sort(F.array_union(short, F.transform(full, kind)))
+    """Distinct sorted references of a query, outside literals and comments."""
+    return references_in_text(mask_literals_and_comments(query))
 
 
 def references_of(refs: Column, kind: str) -> Column:

@@ -39,3 +39,53 @@ def diagnostic_score(parts: Sequence[tuple[Column, int]], always: int = -8) -> C
     for flag, points in parts:
         total = total + F.when(flag, points).otherwise(0)
     return total
+
+
+def metric_value(record: Column) -> Column:
+    """A metric record's `value`, else its `f1`. record: a struct of both."""
+    return F.coalesce(record["value"], record["f1"])
+
+
+def metric_true(value: Column) -> Column:
+    return F.coalesce(value.cast("double") >= 1.0, F.lit(False))
+
+
+def metric_float(value: Column) -> Column:
+    return F.coalesce(value.cast("string").try_cast("double"), F.lit(0.0))
+
+
+def supervised_score(exact: Column, executed: Column, answer_f1: Column, reference_f1: Column, extracted: Column) -> Column:
+    """A struct that orders attempts by the gold: answers count only where the query ran, references where one was found."""
+    ran, found = metric_true(executed), metric_true(extracted)
+    return F.struct(metric_true(exact).cast("int").alias("exact"), ran.cast("int").alias("executed"), F.when(ran, metric_float(answer_f1)).otherwise(0.0).alias("answer_f1"), F.when(found, metric_float(reference_f1)).otherwise(0.0).alias("reference_f1"), found.cast("int").alias("extracted"))
+
+
+def gold_free_score(extracted: Column, extraction: Column, executed: Column, status: Column, error: Column, hallucinated: Column, unmapped: Column, result_type: Column, rows: Column) -> Column:
+    """An additive score of what can be known without the gold. Flags are booleans; `unmapped`: is there a record; rows: of the result, null without one."""
+    said, status, error = F.lower(F.coalesce(extraction, F.lit(""))), F.lower(F.coalesce(status, F.lit(""))), F.coalesce(error, F.lit(False))
+    # The points of each sign.
+    signs = [(extracted, 10), (said.contains("ok"), 8), (said.contains("missing") | said.contains("failure"), -6), (executed, 15), (status == "ok", 5), (status.contains("error"), -8), (error, -8), (~error, 2), (hallucinated, -8), (unmapped, -8), ((F.lower(result_type) == "select") & (rows == 0), -2)]
+    total = F.lit(0)
+    for sign, points in signs:
+        total = total + F.when(F.coalesce(sign, F.lit(False)), points).otherwise(0)
+    return total
+
+
+def good_enough(score: Column, gold_free: Column, refinement: Column) -> Column:
+    """Refinement wants an exact, executed, extracted query close to the gold's references; repair a high gold-free score."""
+    exact = (score["exact"] == 1) & (score["executed"] == 1) & (score["extracted"] == 1) & (score["reference_f1"] >= 0.90)
+    return F.when(refinement, exact).otherwise(gold_free >= 30)
+
+
+def first_accepted(log: DataFrame, item: str, attempt: str, accepted: Column, tokens: str) -> DataFrame:
+    """Of each item the first accepted attempt (null if none) and the tokens spent up to it, or on all."""
+    log = log.withColumn("_ok", accepted)
+    first = log.groupBy(item).agg(F.min(F.when(F.col("_ok"), F.col(attempt))).alias("accepted_attempt"))
+    spent = F.sum(F.when(F.col("accepted_attempt").isNull() | (F.col(attempt) <= F.col("accepted_attempt")), F.col(tokens)).otherwise(0)).alias("tokens")
+    return log.join(first, item).groupBy(item, "accepted_attempt").agg(spent)
+
+
+def not_yet_correct(items: DataFrame, correct: Column, position: str, most: int | None = None) -> DataFrame:
+    """Items that aren't correct yet, the first `most` of them in order."""
+    kept = items.where(~F.coalesce(correct, F.lit(False)))
+    return kept if most is None else kept.orderBy(position).limit(most)

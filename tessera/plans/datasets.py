@@ -36,12 +36,11 @@ def enum_distribution(tables):
 @query(
     "array_enum_distribution",
     """with allowed(value) as (values ('the'), ('and'), ('xyz')), w as (select conv_id, turn, unnest(list_distinct(string_split(text, ' '))) as value from conversations),
-    c as (select value, count(*) as n from w where value in ('the', 'and', 'of', 'la') group by 1)
+    c as (select value, count(*) as n from w group by 1)
     select coalesce(a.value, c.value) as value, a.value is not null as allowed, coalesce(n, 0) as n, round_even(coalesce(n, 0) * 100.0 / (select count(*) from conversations), 4) as percent from c full join allowed a on a.value = c.value""",
 )
 def array_enum_distribution(tables):
-    kept = F.filter(F.split("text", " "), lambda w: w.isin("the", "and", "of", "la"))
-    return profile.enum_distribution(tables("conversations"), kept, ["the", "and", "xyz"], "items")
+    return profile.enum_distribution(tables("conversations"), F.split("text", " "), ["the", "and", "xyz"], "items")
 
 
 @query("value_counts", "select 'lang' as field, lang as value, count(*) as n from documents group by lang union all select 'source', source, count(*) from documents group by source")
