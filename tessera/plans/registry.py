@@ -11,11 +11,15 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register f(tables) under a name; tables(t) reads one table of the data folder."""
+    """Register f(tables) under a name; tables(t) reads one table of the data folder, tables.spark is the session."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda t: spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{t}.parquet"))
+            def tables(t: str) -> DataFrame:
+                return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{t}.parquet")
+
+            tables.spark = spark
+            return f(tables)
 
         QUERIES[name] = run
         if sql:

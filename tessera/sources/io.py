@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,6 +26,23 @@ RESULT = T.StructType([T.StructField("boolean", T.BooleanType()), T.StructField(
 WRAPPERS = ("entries", "items", "data", "results", "examples", "raw_results")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; a local session without that setting gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+    return f"{named.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def write_wrapped(df: DataFrame, path: str, wrapper: str | None = "entries") -> None:
+    """One JSON file with all rows as a list, or in an object that wraps it; for datasets of a size that one file has."""
+    rows = F.collect_list(F.struct(*df.columns))
+    df.agg(F.to_json(rows if wrapper is None else F.struct(rows.alias(wrapper))).alias("value")).coalesce(1).write.text(path)
+
+
 def read_wrapped(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, wrappers: Sequence[str] = WRAPPERS) -> DataFrame:
     """Rows of JSON files that are a list, or an object that wraps one; unknown fields go.
 
