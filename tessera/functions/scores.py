@@ -34,10 +34,15 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), "\x1f"))).otherwise(F.array().cast("array<string>"))
 
 
+def numbered(values: Column) -> Column:
+    """Each value with the number of its occurrence, so that a multiset becomes a set."""
+    rows = F.array_sort(values)
+    return F.transform(rows, lambda v, i: F.struct(v.alias("v"), (i - F.array_position(rows, v)).alias("n")))
+
+
 def multiset_matches(predicted: Column, gold: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    return F.aggregate(F.array_intersect(predicted, gold), F.lit(0), lambda total, v: total + F.least(count(predicted, v), count(gold, v)))
+    """Size of the multiset intersection of two arrays, as the hashed intersection of numbered values."""
+    return F.size(F.array_intersect(numbered(predicted), numbered(gold)))
 
 
 def multiset_overlap(predicted: Column, gold: Column) -> Column:

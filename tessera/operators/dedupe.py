@@ -3,42 +3,48 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def duplicate_pairs(left: DataFrame, right: DataFrame, key: str, columns: tuple[str, str]) -> DataFrame:
-    """(key, other, kind) of rows equal in the first column, the second or both; empty keys match nothing.
+def duplicate_classes(left: DataFrame, right: DataFrame, key: str, columns: tuple[str, str]) -> DataFrame:
+    """(key, kind, first, n) of rows of the left that others equal in the first column, the second, or `both`.
 
-    One hash join for each column; a pair that both find is `both`.
+    first is the smallest key of the right that does and n how many do, so a
+    class of n rows gives n rows, not its pairs. A row that only itself equals
+    goes; empty values match nothing. The right is counted before it is joined.
     """
-    a, b = columns
-    one = lambda c, kind: left.where(F.col(c) != "").select(F.col(key), F.col(c)).join(right.where(F.col(c) != "").select(F.col(key).alias("other"), F.col(c)), c).where(F.col(key) != F.col("other")).select(key, "other", F.lit(kind).alias("kind"))
-    found = one(a, a).unionByName(one(b, b))
-    return found.groupBy(key, "other").agg(F.when(F.countDistinct("kind") == 2, "both").otherwise(F.min("kind")).alias("kind"))
+    found = []
+    for kind, by in ((columns[0], [columns[0]]), (columns[1], [columns[1]]), ("both", list(columns))):
+        filled = lambda df, by=by: df.where(" and ".join(f"`{c}` <> ''" for c in by))
+        classes = filled(right).groupBy(*by).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"))
+        found.append(filled(left).select(key, *by).join(classes, by).where((F.col("n") > 1) | (F.col("first") != F.col(key))).select(key, F.lit(kind).alias("kind"), "first", "n"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def sequential_dedupe(df: DataFrame, position: str, question: str, query: str) -> DataFrame:
-    """(position, kept): what a pass in order keeps, when only kept rows register their keys.
+    """(position, kept): what a pass in order keeps, when only kept rows register their keys; a null key is like no other. Positions are unique.
 
     A row is decided once it is the first undecided one of both its question
     and its query: it stays, and undecided rows that share either with it go.
-    Rounds repeat until all are decided; each is two windows and a checkpoint.
+    Rounds carry on the undecided rows alone, until none is left; the first of
+    each key are partial aggregates, so a hot key costs a row for each task.
     """
-    rows = df.select(F.col(position).alias("p"), F.col(question).alias("q"), F.col(query).alias("s"), F.lit(0).alias("state")).checkpoint()
-    of_q, of_s = Window.partitionBy("q"), Window.partitionBy("s")
-    open_ = F.when(F.col("state") == 0, F.col("p"))
-    while not rows.where(F.col("state") == 0).isEmpty():
-        first = rows.withColumn("fq", F.min(open_).over(of_q)).withColumn("fs", F.min(open_).over(of_s))
-        kept = first.withColumn("state", F.when((F.col("state") == 0) & (F.col("p") == F.col("fq")) & (F.col("p") == F.col("fs")), 1).otherwise(F.col("state"))).drop("fq", "fs")
-        holds = F.max((F.col("state") == 1).cast("int"))
-        beside = kept.withColumn("kq", holds.over(of_q)).withColumn("ks", holds.over(of_s))
-        rows = beside.withColumn("state", F.when((F.col("state") == 0) & ((F.col("kq") == 1) | (F.col("ks") == 1)), 2).otherwise(F.col("state"))).drop("kq", "ks").checkpoint()
-    return rows.select(F.col("p").alias(position), (F.col("state") == 1).alias("kept"))
+    undecided = df.select(F.col(position).alias("p"), F.col(question).alias("q"), F.col(query).alias("s")).checkpoint()
+    out = undecided.select("p", F.lit(False).alias("kept")).where(F.lit(False))
+    everything = undecided.select("p")
+    while not undecided.isEmpty():
+        first = lambda c, name: undecided.groupBy(c).agg(F.min("p").alias(name))  # noqa: B023, E731
+        is_first = (F.coalesce("fq", "p") == F.col("p")) & (F.coalesce("fs", "p") == F.col("p"))
+        stay = undecided.join(first("q", "fq"), "q", "left").join(first("s", "fs"), "s", "left").where(is_first).select("p", "q", "s").checkpoint()
+        out = out.unionByName(stay.select("p", F.lit(True).alias("kept")))
+        undecided = undecided.join(stay.select("p"), "p", "left_anti").join(stay.select("q"), "q", "left_anti").join(stay.select("s"), "s", "left_anti").checkpoint()
+    return everything.join(out, "p", "left").select(F.col("p").alias(position), F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def sequence_ratio(threshold: float):
@@ -90,26 +96,62 @@ def unit(vector):
     return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
 
 
-def cosine_pairs(df: DataFrame, key: str, vector: str, threshold: float = 0.9, block: int = 2048) -> DataFrame:
-    """(a, b, similarity) for a < b at or above the threshold.
+def cosine_matches(queries: DataFrame, df: DataFrame, key: str, vector: str, threshold: float = 0.9, block: int = 20_000) -> DataFrame:
+    """(query, other, similarity) of a stated set of queries against all other rows, at or above the threshold.
 
-    The rows are a stated set against all rows, in blocks: block i meets each
-    block j >= i in one task, as one matrix product, so memory is two blocks.
+    Queries go out in blocks of `block`, so what is sent is bounded; each block
+    is one pass over the rows, as matrix products over their batches. Vectors
+    are of one length; a null one matches nothing.
     """
-    n = max(1, -(-df.count() // block))
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).withColumn("at", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
-    meets = rows.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least("at", j).alias("i"), F.greatest("at", j).alias("j")))))
-
-    def product(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        at, keys = table["at"].to_numpy(), table["k"].to_numpy()
-        vectors = np.array(table["v"].to_pylist(), float)
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
-        s = vectors[left] @ vectors[right].T
-        x, y = np.nonzero(s >= threshold)
-        a, b = keys[left[x]], keys[right[y]]
-        keep = a < b if i == j else np.ones(len(a), bool)
-        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[x, y][keep]})
-
-    return meets.select("k", "v", "at", "pair.i", "pair.j").groupBy("i", "j").applyInArrow(product, "a long, b long, similarity double")
+    spark = df.sparkSession
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+
+    def scaled(vectors: np.ndarray) -> np.ndarray:
+        return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+
+    def against(held: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast((np.array([r["k"] for r in held], np.int64), scaled(np.array([r["v"] for r in held], float))))
+
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, left = shared.value
+            for batch in batches:
+                lists, keys = batch.column(1), batch.column(0).to_numpy()
+                if not len(keys):
+                    continue
+                right = scaled(lists.flatten().to_numpy().reshape(len(keys), -1))
+                s = left @ right.T
+                x, y = np.nonzero((s >= threshold) & (names[:, None] != keys[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(keys[y]), pa.array(s[x, y])], names=["query", "other", "similarity"])
+
+        return rows.mapInArrow(match, "query long, other long, similarity double")
+
+    held, found = [], None
+    for row in asked.toLocalIterator():
+        held.append(row)
+        if len(held) == block:
+            found, held = (against(held) if found is None else found.unionByName(against(held))), []
+    if held or found is None:
+        found = (against(held) if found is None else found.unionByName(against(held))) if held else spark.createDataFrame([], "query long, other long, similarity double")
+    return found
+
+
+def greedy_groups(links: DataFrame) -> DataFrame:
+    """(node, leader) of the nodes of links (a, b): in order, a node that no leader before it is linked to leads those linked to it.
+
+    Rounds settle all nodes whose smaller neighbours are settled; each is two
+    aggregates over the links that are still open. At the end a node joins its
+    smallest leader. Links are of different nodes, either way round.
+    """
+    pairs = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("low")).distinct().checkpoint()
+    nodes = pairs.select("node").unionByName(pairs.select(F.col("low").alias("node"))).distinct()
+    open_, leaders = nodes.checkpoint(), nodes.where(F.lit(False))
+    while not open_.isEmpty():
+        held = pairs.join(open_.withColumnRenamed("node", "low"), "low", "left_semi").select("node").distinct()
+        leads = open_.join(held, "node", "left_anti").checkpoint()  # no smaller neighbour is open: the settled ones are members
+        led = pairs.join(leads.withColumnRenamed("node", "low"), "low", "left_semi").select("node").distinct()
+        leaders = leaders.unionByName(leads)
+        open_ = open_.join(leads, "node", "left_anti").join(led, "node", "left_anti").checkpoint()
+    leaders = leaders.checkpoint()
+    members = pairs.join(leaders.withColumnRenamed("node", "low"), "low").groupBy("node").agg(F.min("low").alias("leader"))
+    return leaders.select("node", F.col("node").alias("leader")).unionByName(members)

@@ -46,9 +46,10 @@ def histogram(df: DataFrame, column: str, missing: str = "none") -> DataFrame:
     return df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit(missing)).alias(column)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def time_summary(df: DataFrame, seconds: str, by: Sequence[str] = ()) -> DataFrame:
+def time_summary(df: DataFrame, seconds: str, by: Sequence[str] = (), places: tuple[int, int] = (4, 4), rounded=F.bround) -> DataFrame:
+    """Count, mean, least, most and total; mean and total to so many places."""
     s = F.col(seconds)
-    return df.groupBy(*by).agg(F.count(s).alias("n"), F.bround(F.avg(s), 4).alias("mean_s"), F.min(s).alias("min_s"), F.max(s).alias("max_s"), F.bround(F.sum(s), 4).alias("total_s"))
+    return df.groupBy(*by).agg(F.count(s).alias("n"), rounded(F.avg(s), places[0]).alias("mean_s"), F.min(s).alias("min_s"), F.max(s).alias("max_s"), rounded(F.sum(s), places[1]).alias("total_s"))
 
 
 def top_examples(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

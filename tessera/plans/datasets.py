@@ -62,12 +62,13 @@ def required_field_violations(tables):
 @query(
     "exact_duplicates_three_keys",
     """with p as (select p_partkey as id, lower(p_name) as a, p_brand || p_type || p_size as b from part), m as (
-      select x.id, y.id as other, 'a' as kind from p x join p y on x.a = y.a and x.id <> y.id union all select x.id, y.id, 'b' from p x join p y on x.b = y.b and x.id <> y.id)
-    select id, other, case when count(distinct kind) = 2 then 'both' else min(kind) end as kind from m group by id, other""",
+      select id, 'a' as kind, min(id) over (partition by a) as first, count(*) over (partition by a) as n from p union all select id, 'b', min(id) over (partition by b), count(*) over (partition by b) from p
+      union all select id, 'both', min(id) over (partition by a, b), count(*) over (partition by a, b) from p)
+    select * from m where n > 1""",
 )
 def exact_duplicates_three_keys(tables):
     p = tables("part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("a"), F.concat("p_brand", "p_type", F.col("p_size").cast("string")).alias("b"))
-    return dedupe.duplicate_pairs(p, p, "id", ("a", "b"))
+    return dedupe.duplicate_classes(p, p, "id", ("a", "b"))
 
 
 @query("sequential_dedupe")
@@ -82,14 +83,22 @@ def near_duplicate_names(tables):
     return dedupe.near_pairs(p, p, "id", "name", 0.92)
 
 
-@query(
-    "cosine_similar_pairs",
-    """with v as (select vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as norm from embeddings)
-    select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id < b.vec_id
-    where list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: cast(z[1] as double) * cast(z[2] as double))) / (a.norm * b.norm) >= 0.9""",
-)
+COSINE = """(select a.vec_id as query, b.vec_id as other, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0)"""
+
+
+@query("cosine_similar_pairs", f"select query, other, round_even(similarity, 6) as similarity from {COSINE} where similarity >= 0.3")
 def cosine_similar_pairs(tables):
-    return dedupe.cosine_pairs(tables("embeddings"), "vec_id", "embedding", 0.9).select("a", "b")
+    """Every vector whose id is divisible by 100 against all others."""
+    e = tables("embeddings")
+    return dedupe.cosine_matches(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 0.3).select("query", "other", F.bround("similarity", 6).alias("similarity"))
+
+
+@query("cosine_similar_groups")
+def cosine_similar_groups(tables):
+    """Greedy groups over the links of the vectors whose ids are divisible by 100."""
+    e = tables("embeddings")
+    links = dedupe.cosine_matches(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 0.3)
+    return dedupe.greedy_groups(links.select(F.col("query").alias("a"), F.col("other").alias("b")))
 
 
 ELIGIBLE = "select d.doc_id, d.lang, d.n_chars, l.quality, l.toxic from documents d join labels l using (doc_id) where l.quality = 1 and d.lang in ('en', 'de', 'fr', 'es') and d.n_chars >= 200"
