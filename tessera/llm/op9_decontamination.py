@@ -32,7 +32,7 @@ items and BLOCK_CHARS characters at most (a longer item is a block).
 
 Defined results: null and empty texts have no match, nor have items without a
 letter or digit; an empty table of either kind gives no rows. Very long texts
-are read whole, in memory that grows with the text. Items of fewer than EXACT
+are read whole, their votes in stretches that overlap. Items of fewer than EXACT
 characters do not vote; each is searched for as it stands, at the edges of
 words (anywhere in scripts without spaces), and with edits as well if it has
 LEAST words. Of several places with the least edits, the first that is found
@@ -59,6 +59,8 @@ from tessera.llm.op6_ngram_jaccard import BROADCAST_ROWS, hashed_runs, mix
 
 SHARE, RECALL, BITS, SEEDS, LEAST, WALKS = 0.2, 0.99, 3, 10, 4, 4
 BLOCK, BLOCK_CHARS = 20_000, 16 << 20
+#: Code points of a text whose votes are counted at a time, so that memory is bounded for texts of any length.
+STRETCH = 1 << 15
 #: Code points of a run that votes, the share of an item's weight that makes a candidate, and the characters from which an item votes.
 GRAM, VOTES, EXACT = 6, 0.12, 20
 _WORDS = np.zeros(129, bool)
@@ -216,6 +218,7 @@ class Benchmark:
         ends = np.cumsum(size)
         self.own = {i: (back[e - n : e], vote[e - n : e]) for i, e, n in zip(voters, ends.tolist(), size, strict=True)}
         self.length = np.array([len(x[2]) for x in self.items], np.int64)
+        self.longest = int(self.length.max(initial=0))
         self.span = np.maximum(8, (self.length * self.share).astype(np.int64))
         # Of each vote: what makes a place of the text the end of a window, and the windows' span.
         self.back, self.step = (self.length[self.owner] - self.offset).astype(np.int32), self.span[self.owner].astype(np.int32)
@@ -357,8 +360,11 @@ class Benchmark:
             if self.candidate(words, place, item, offset):
                 tried.add((item, low))
                 verify(item, int(read.begins[low]), int(read.ends[high - 1]))
-        for item, low, high in self.voted(read.joined):
-            verify(item, low, high)
+        # Stretches overlap by more than any window is long, so each window lies in one of them.
+        step, over = max(STRETCH, 4 * self.longest), 2 * self.longest + 64
+        for at in range(0, len(read.joined), step):
+            for item, low, high in self.voted(read.joined[at : at + step + over]):
+                verify(item, at + low, at + high)
         if self.plain:
             joined = None
             for item in [*self.loose, *(i for w in dict.fromkeys(words.tolist()) for i in self.short.get(w, ()))]:

@@ -95,6 +95,19 @@ def test_spans_are_code_points_of_the_text(spark):
     assert [(k, e, text[s:t]) for k, e, s, t in op9.Benchmark([(5, item)]).matches(text)] == [(5, 1, item.replace("Wald", "Walt"))]
 
 
+def test_long_texts_are_read_in_stretches(monkeypatch):
+    r = random.Random(31)
+    words = ["".join(r.choice("bcdfgaeiou") for _ in range(r.randint(2, 8))) for _ in range(500)]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(k, say(r.randint(10, 40))) for k in range(30)]
+    text = " ".join(say(r.randint(5, 60)) + " " + copies(r, words, t, "character", 0.1) for _ in range(4) for _, t in items)
+    whole = op9.Benchmark(items).matches(text)
+    assert {k for k, *_ in whole} == set(range(30))
+    for size in (1, 1500, 5000):
+        monkeypatch.setattr(op9, "STRETCH", size)
+        assert [(k, e) for k, e, _, _ in op9.Benchmark(items).matches(text)] == [(k, e) for k, e, _, _ in whole]
+
+
 def test_least_edits_by_brute_force():
     r = random.Random(12)
     for _ in range(200):
