@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tessera.plans import curation, datasets, graph, parsed, reviews, scores  # noqa: F401
+from tessera.plans import curation, datasets, graph, parsed, reports, reviews, scores  # noqa: F401
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -84,10 +84,10 @@ def positional_pairs(tables):
     return review.paired(nations, nations, "n_nationkey", ("n_name", "n_regionkey"))
 
 
-@query("new_files", "select distinct source as path from documents where source <> 'src0' and source not in (select source from documents where doc_id < 50)")
+@query("new_files", "select distinct source as path from documents where source <> 'src0' and source not in (select source from documents where lang = 'es')")
 def new_files(tables):
     files = tables("documents").select(F.col("source").alias("path"))
-    return review.others(files.distinct(), "path", "src0", files.where(F.lit(False)).unionByName(tables("documents").where("doc_id < 50").select(F.col("source").alias("path"))))
+    return review.others(files.distinct(), "path", "src0", tables("documents").where("lang = 'es'").select(F.col("source").alias("path")))
 
 
 @query(
