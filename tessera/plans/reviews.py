@@ -84,10 +84,14 @@ def positional_pairs(tables):
     return review.paired(nations, nations, "n_nationkey", ("n_name", "n_regionkey"))
 
 
-@query("new_files", "select distinct source as path from documents where source <> 'src0' and source not in (select source from documents where lang = 'es')")
+RUN_FILE = "'runs/' || c_mktsegment || '/' || c_nationkey"
+
+
+@query("new_files", f"select distinct {RUN_FILE} as path from customer where c_mktsegment <> 'BUILDING' and {RUN_FILE} <> 'runs/FURNITURE/2' and {RUN_FILE} not in (select {RUN_FILE} from customer where c_acctbal < 0)")
 def new_files(tables):
-    files = tables("documents").select(F.col("source").alias("path"))
-    return review.others(files.distinct(), "path", "src0", tables("documents").where("lang = 'es'").select(F.col("source").alias("path")))
+    """Outputs of runs that are in no excluded folder and not done yet."""
+    files = tables("customer").withColumn("path", F.concat(F.lit("runs/"), "c_mktsegment", F.lit("/"), F.col("c_nationkey").cast("string")))
+    return review.others(files.select("path").distinct(), "path", "runs/FURNITURE/2", files.where("c_acctbal < 0"), ["BUILDING"])
 
 
 @query(
