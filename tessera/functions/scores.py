@@ -34,15 +34,24 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), "\x1f"))).otherwise(F.array().cast("array<string>"))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once: a column named in a lambda would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def repeats(values: Column) -> Column:
+    """What is left of an array, in order, when each distinct value goes once."""
+    return bound(F.array_sort(values), lambda rows: F.filter(rows, lambda v, i: v == F.get(rows, i - 1)))
+
+
 def numbered(values: Column) -> Column:
-    """Each value with the number of its occurrence, so that a multiset becomes a set."""
-    rows = F.array_sort(values)
-    return F.transform(rows, lambda v, i: F.struct(v.alias("v"), (i - F.array_position(rows, v)).alias("n")))
+    """Each value of an array in order with the number of its occurrence, so that a multiset becomes a set."""
+    return bound(values, lambda rows: F.transform(rows, lambda v, i: F.struct(v.alias("v"), (i - F.array_position(rows, v)).alias("n"))))
 
 
 def multiset_matches(predicted: Column, gold: Column) -> Column:
-    """Size of the multiset intersection of two arrays, as the hashed intersection of numbered values."""
-    return F.size(F.array_intersect(numbered(predicted), numbered(gold)))
+    """Size of the multiset intersection of two arrays: that of their sets, and of their repeats, which are few, by number."""
+    return F.size(F.array_intersect(predicted, gold)) + F.size(F.array_intersect(numbered(repeats(predicted)), numbered(repeats(gold))))
 
 
 def multiset_overlap(predicted: Column, gold: Column) -> Column:
