@@ -28,17 +28,18 @@ def set_overlap(predicted: Column, gold: Column) -> Column:
     return precision_recall_f1(both, F.size(F.array_distinct(predicted)), F.size(F.array_distinct(gold)))
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """Runs of n words, joined by a unit separator; empty if there are fewer."""
-    count = F.size(words) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), "\x1f"))).otherwise(F.array().cast("array<string>"))
-
-
 def bound(value: Column, body) -> Column:
     """body(value) with the value computed once: a column named in a lambda would be computed for every element."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def ngrams(words: Column, n: int) -> Column:
+    """Runs of n words, joined by a unit separator; empty if there are fewer."""
+    count = F.size(words) - (n - 1)
+    runs = bound(words, lambda own: F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(own, i, n), "\x1f")))
+    return F.when(count > 0, runs).otherwise(F.array().cast("array<string>"))
+
+
 def repeats(values: Column) -> Column:
     """What is left of an array, in order, when each distinct value goes once."""
     return bound(F.array_sort(values), lambda rows: F.filter(rows, lambda v, i: v == F.get(rows, i - 1)))
