@@ -66,8 +66,11 @@ def record(metric: str, family: str, value: Column, reason: Column | None = None
     return F.struct(F.lit(metric).alias("metric"), F.lit(family).alias("type"), (why.isNull() & value.isNotNull()).alias("comparable"), number(value).alias("value"), *parts, why.alias("reason"))
 
 
-def metric_long(items: DataFrame) -> DataFrame:
-    """(item_id, metric, type, comparable, value, precision, recall, f1, reason), and a label row primary_error_category in `reason`."""
+def metric_long(items: DataFrame, texts: bool = True) -> DataFrame:
+    """(item_id, metric, type, comparable, value, precision, recall, f1, reason), and a label row primary_error_category in `reason`.
+
+    Without `texts` the records of n-grams and of structure are left out, and nothing is computed for them.
+    """
     pq, gq, c = text.blank_to_null(F.col("pred_query")), text.blank_to_null(F.col("gold_query")), F.col
     rows = items.select("item_id", "pred", "gold", "evaluated", "allowed", "placeholder_mode", pq.alias("pq"), gq.alias("gq"))
     rows = rows.withColumns({"pf": text.query_form(c("pq")), "gf": text.query_form(c("gq")), "pk": answer_kind(c("pred")), "gk": answer_kind(c("gold")), "pn": text.comparison_form(c("pq")), "gn": text.comparison_form(c("gq")), "pr": text.references(c("pq")), "gr": text.references(c("gq"))})
@@ -106,6 +109,11 @@ def metric_long(items: DataFrame) -> DataFrame:
     ])
     no_endpoint = lambda side_, form: first_failure([("no_endpoint_configured", ~c("evaluated")), (f"unsupported_or_missing_{side_}_query", ~good(form))])
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
+    of_texts = [
+        record("query_bleu", "query", scores.bleu(c("pt"), c("gt")), F.coalesce(lost, first_failure([("too_short", F.size("pt") < 4)]))),
+        *[record(f"query_rouge{k}_f1", "query", v, lost) for k, v in rouge.items()],
+        record("sparql_structure_match", "query", structure["f1"], lost, structure),
+    ]
     records = [
         record("query_extracted", "structural", flag(c("pq").isNotNull())),
         record("supported_query_form", "structural", flag(good(c("pf"))), first_failure([("no_extracted_query", c("pq").isNull())])),
@@ -121,9 +129,7 @@ def metric_long(items: DataFrame) -> DataFrame:
         record("uri_hallucination", "query", flag(unknown > 0), first_failure([("prediction_query_missing", c("pq").isNull()), ("allowed_refs_missing", c("allowed").isNull())])),
         record("pgmr_unmapped_placeholders", "pgmr", flag(F.size("ph") > 0), unplaced),
         record("query_normalized_exact_match", "query", flag(c("pn") == c("gn")), lost),
-        record("query_bleu", "query", scores.bleu(c("pt"), c("gt")), F.coalesce(lost, first_failure([("too_short", F.size("pt") < 4)]))),
-        *[record(f"query_rouge{k}_f1", "query", v, lost) for k, v in rouge.items()],
-        record("sparql_structure_match", "query", structure["f1"], lost, structure),
+        *(of_texts if texts else []),
         F.struct(F.lit("primary_error_category").alias("metric"), F.lit("label").alias("type"), F.lit(False).alias("comparable"), *[F.lit(None).cast("double").alias(k) for k in ("value", "precision", "recall", "f1")], F.coalesce(ladder, F.lit("success")).alias("reason")),
     ]
     return rows.select("item_id", F.inline(F.array(*records)))

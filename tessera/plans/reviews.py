@@ -348,8 +348,7 @@ def predictions(tables):
 @query("metric_records", METRIC_SQL)
 def metric_records(tables):
     """The metric catalogue, all records but those of n-grams and of structure, which are in metric_catalogue."""
-    long = metrics.metric_long(predictions(tables))
-    return long.where(~F.col("metric").startswith("query_bleu") & ~F.col("metric").contains("rouge") & (F.col("metric") != "sparql_structure_match"))
+    return metrics.metric_long(predictions(tables), texts=False)
 
 
 @query("metric_catalogue")
