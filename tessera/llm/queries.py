@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import op1_order_minhash, op2_toxicity, op3_language_id, op4_secret_scan, op5_url_filter, op6_ngram_jaccard, op7_lattice_lm, op8_pii, op9_decontamination, op10_packing
+from tessera.llm import op1_order_minhash, op2_toxicity, op3_language_id, op4_secret_scan, op5_url_filter, op6_ngram_jaccard, op7_lattice_lm, op8_pii, op9_decontamination, op10_packing, op12_line_dedup
 
 QUERIES = {
     "op1_order_minhash": op1_order_minhash.query,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_pii": op8_pii.query,
     "op9_decontamination": op9_decontamination.query,
     "op10_packing": op10_packing.query,
+    "op12_line_dedup": op12_line_dedup.query,
 }
 
 #: Models and lexers have no SQL; tests hold these queries against plain versions.
-ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard": op6_ngram_jaccard.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard": op6_ngram_jaccard.ORACLE, "op12_line_dedup": op12_line_dedup.ORACLE}
