@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_name, table
+from tessera.llm.common import materialize, row_name, table
 
 LEAST_DOCS, LEAST_CHARS = 2, 10
 BLANKS = " \t\n\x0b\x0c\r"
@@ -54,7 +54,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     keyed = placed.withColumn("line", line_key(F.col("line"))).where(F.char_length("line") >= least_chars).select("own", "document", "pos", line_hash(F.col("line")).alias("line"))
 
     found = keyed.groupBy("line", "document").agg(F.count(F.lit(1)).alias("n")).groupBy("line").agg(F.count(F.lit(1)).alias("docs"), F.min("document").alias("first"))
-    shared = found.where(F.col("docs") >= least_docs).select("line", "first")
+    # Written, so that the join has a shuffle of its own on both sides and a hot line's rows can be split.
+    shared = materialize(found.where(F.col("docs") >= least_docs).select("line", "first"), "shared")
     lost = keyed.join(shared, "line").where(F.col("document") != F.col("first")).groupBy("own").agg(F.collect_set("pos").alias("lost"))
 
     rows = docs.select(F.col(key), own.alias("own"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(lost, "own", "left")
