@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import parsing, repair, text
 from tessera.plans.registry import query
-from tessera.sources import io
+from tessera.sources import io, lists
 from tessera.streaming import replay
 
 
@@ -136,6 +136,15 @@ def list_round_trip(tables):
     return io.read_entries(tables.spark, path).select("id", "question")
 
 
+@query("long_lists_round_trip", "select conv_id, turn, role, text, role || ' of ' || conv_id as nested from conversations")
+def long_lists_round_trip(tables):
+    """Turns are written as JSON lists by many tasks; each list is read by as many as it has ranges."""
+    path = io.scratch(tables.spark)
+    turns = tables("conversations").select("conv_id", "turn", "role", "text", F.array(F.struct(F.concat_ws(" of ", "role", "conv_id").alias("}"))).alias("items"))
+    lists.write_lists(turns, path)
+    return io.read_long_lists(tables.spark, path, turns.schema).select("conv_id", "turn", "role", "text", F.element_at("items", 1)["}"].alias("nested"))
+
+
 @query("results_round_trip", "select n_regionkey as region, 'x' as variable, n_name as value from nation")
 def results_round_trip(tables):
     """Answer files in the results format, one a region, read as cells."""

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources import lists
+
 S, A = T.StringType(), T.ArrayType(T.StringType())
 ENTRY = T.StructType(
     [T.StructField(n, S) for n in ("id", "source_dataset", "source_id", "family", "split", "language", "question")]
@@ -37,6 +39,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """A table written to a folder of its own below spark.checkpoint.dir and read again, which cuts the lineage."""
+    path = f"{scratch(df.sparkSession)}/{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_wrapped(df: DataFrame, path: str, wrapper: str | None = "entries") -> None:
     """One JSON file with all rows as a list, or in an object that wraps it; for datasets of a size that one file has."""
     rows = F.collect_list(F.struct(*df.columns))
@@ -55,6 +64,11 @@ def read_wrapped(spark: SparkSession, paths: str | Sequence[str], schema: T.Stru
     return text.select("file", F.posexplode(rows).alias("pos", "row")).select("row.*", "file", "pos")
 
 
+def read_long_lists(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, wrappers: Sequence[str] = WRAPPERS) -> DataFrame:
+    """What read_wrapped reads, each file by as many tasks as it has ranges; for lists that one task can't hold."""
+    return lists.parsed(lists.list_elements(spark, paths, wrappers, lambda df: written(df, "lists")), schema)
+
+
 def read_entries(spark: SparkSession, paths: str | Sequence[str], filters: dict[str, str] | None = None) -> DataFrame:
     """Dataset entries; filters are equalities on trimmed text."""
     df = read_wrapped(spark, paths, ENTRY)
