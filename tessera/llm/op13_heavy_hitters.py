@@ -410,7 +410,9 @@ def heavy_hitters(entries: DataFrame, share: int = SHARE) -> DataFrame:
     digests = summaries(coded, depth, k)
     found = materialize(candidates(digests, depth, share), "candidates")
     drop(digests)
-    again = coded.join(found.select("stream", "grp", "id").hint("merge"), ["stream", "grp", "id"]).groupBy("stream", "grp", "id").agg(F.sum("weight").alias("w"))
+    met = coded.join(found.select("stream", "grp", "id").hint("merge"), ["stream", "grp", "id"])
+    # Another key than the join's: rows are added up before they are dealt again, and a hot leaf's rows can be split in the join.
+    again = met.groupBy(F.struct("stream", "grp", "id").alias("leaf")).agg(F.sum("weight").alias("w")).select("leaf.*", "w")
     sure = found.join(again.hint("merge"), ["stream", "grp", "id"]).where(share * F.col("w") > F.col("total"))
     middle = F.col("low") + F.floor((F.col("high") - F.col("low")) / 2).cast("long")
     return sure.join(ids.hint("merge"), ["stream", "id"]).select("stream", "grp", "item", F.col("n").alias("n_entries"), "total", "w", "low", middle.alias("estimate"), "high")
