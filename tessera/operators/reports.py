@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.nested import events
 from tessera.operators.rules import render_line
 
 _PLACEHOLDER = re.compile(r"\bpgmrc?:[A-Za-z_][A-Za-z0-9_]*")
@@ -18,33 +19,32 @@ _IDENTIFIER = re.compile(r"\borkg[prc]:[A-Za-z0-9_]+")
 
 
 def token_pairs(text: str | None) -> list[tuple[str, str]]:
-    """(placeholder, identifier) of every object, at any depth of a JSON text, whose strings name one of each; in order of depth first.
+    """(placeholder, identifier) of every object, at any depth of a JSON text, whose strings name one of each; in order of where the objects begin.
 
-    Tokens of an object are gathered from its children in one pass; a text
-    that is no JSON has no pairs.
+    A text that is no JSON has no pairs. Only tokens are kept of strings, and
+    of an object that has two of a kind just that, as no object around it can
+    have a pair: so memory stays small however deep the text is.
     """
+    found: list[tuple[int, str, str]] = []
+    held: list[tuple[str, int, set[str], set[str]]] = []
+    place = 0
     try:
-        root = json.loads(text or "null")
+        for kind, start, end in events(text or "null"):
+            if kind in ("[", "{"):
+                place += 1
+                held.append((kind, place, set(), set()))
+            elif kind in ("]", "}"):
+                sign, own, *tokens = held.pop()
+                if sign == "{" and len(tokens[0]) == len(tokens[1]) == 1:
+                    found.append((own, *tokens[0], *tokens[1]))
+                for all_, more in zip(held[-1][2:] if held else (), tokens, strict=False):
+                    all_.update(sorted(more)[:2])
+            elif kind == "value" and held and text[start] == '"':
+                own = json.loads(text[start:end])
+                for all_, more in zip(held[-1][2:], (_PLACEHOLDER.findall(own), _IDENTIFIER.findall(own)), strict=True):
+                    all_.update(more)
     except ValueError:
         return []
-    found: list[tuple[int, str, str]] = []
-    count = 0
-
-    def tokens(value) -> tuple[set[str], set[str]]:
-        nonlocal count
-        if isinstance(value, str):
-            return set(_PLACEHOLDER.findall(value)), set(_IDENTIFIER.findall(value))
-        own: tuple[set[str], set[str]] = (set(), set())
-        count += 1
-        place = count
-        for child in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
-            for all_, more in zip(own, tokens(child), strict=True):
-                all_ |= more
-        if isinstance(value, dict) and len(own[0]) == len(own[1]) == 1:
-            found.append((place, *own[0], *own[1]))
-        return own
-
-    tokens(root)
     return [(p, i) for _, p, i in sorted(found)]
 
 
