@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import attempts, compare, dedupe, placeholders, profile, rules, split
+from tessera.operators import attempts, compare, curate, dedupe, placeholders, profile, rules, split, vectors
 from tessera.plans.registry import query
 
 
@@ -93,12 +93,43 @@ def cosine_similar_pairs(tables):
     return dedupe.cosine_matches(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 0.3).select("query", "other", F.bround("similarity", 6).alias("similarity"))
 
 
-@query("cosine_similar_groups")
+GROUPED = """with recursive e as materialized (select vec_id, embedding::double[] as v from embeddings),
+    l as materialized (select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id < b.vec_id where list_cosine_similarity(a.v, b.v) >= 0.3),
+    n as materialized (select row_number() over (order by vec_id) as i, vec_id, coalesce(list(a) filter (where a is not null), []) as below from e left join l on b = vec_id group by vec_id),
+    g(i, leaders) as (select 0::bigint, []::bigint[] union all select n.i, case when list_has_any(g.leaders, n.below) then g.leaders else list_append(g.leaders, n.vec_id) end from g join n on n.i = g.i + 1),
+    led as (select unnest(leaders) as leader from (select leaders from g order by i desc limit 1)),
+    grouped as (select vec_id, coalesce((select min(leader) from led where list_contains(n.below, leader)), vec_id) as low, (select count(*) from l where l.a = n.vec_id or l.b = n.vec_id) as n_links from n),
+    groups as (select vec_id, case when exists (select 1 from led where leader = vec_id) then vec_id else low end as leader, n_links from grouped)"""
+
+
+@query("cosine_similar_groups", f"{GROUPED} select * from groups")
 def cosine_similar_groups(tables):
-    """Greedy groups over the links of the vectors whose ids are divisible by 100."""
+    """Greedy groups over the links of all vectors, each against all, in tiles."""
+    return vectors.similar_groups(tables("embeddings"), "vec_id", "embedding", 0.3, recall=None)
+
+
+@query("cosine_banded_recall")
+def cosine_banded_recall(tables):
+    """Of every vector whose id is divisible by 100: how many links it has to all others, and how many of them the bands of hyperplanes find."""
     e = tables("embeddings")
-    links = dedupe.cosine_matches(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 0.3)
-    return dedupe.greedy_groups(links.select(F.col("query").alias("a"), F.col("other").alias("b")))
+    nodes, _ = vectors.distinct_vectors(e, "vec_id", "embedding")
+    banded = vectors.similar_nodes(nodes, 0.4, 0.95, 6)
+    every = dedupe.cosine_matches(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 0.4)
+    found = banded.select(F.col("a").alias("query"), F.col("b").alias("other")).unionByName(banded.select(F.col("b").alias("query"), F.col("a").alias("other"))).withColumn("found", F.lit(1))
+    return every.join(found, ["query", "other"], "left").groupBy("query").agg(F.count(F.lit(1)).alias("links"), F.count("found").alias("found"))
+
+
+@query(
+    "merged_similar_rules",
+    f"""{GROUPED}, r as (select leader, vec_id, 'r-' || vec_id as id, vec_id % 7 as helpful, vec_id % 3 as harmful, 'content ' || vec_id as content from groups)
+    select leader, min(vec_id) as vec_id, min_by(id, vec_id) as id, sum(helpful)::bigint as helpful, sum(harmful)::bigint as harmful, min_by(content, vec_id) as content, count(*) as n_merged from r group by leader""",
+)
+def merged_similar_rules(tables):
+    """Rules whose vectors are similar become one, by the greedy groups of all of them."""
+    k = F.col("vec_id")
+    groups = vectors.similar_groups(tables("embeddings"), "vec_id", "embedding", 0.3, recall=None)
+    rules = groups.select("leader", k, F.concat(F.lit("r-"), k).alias("id"), (k % 7).alias("helpful"), (k % 3).alias("harmful"), F.concat(F.lit("content "), k).alias("content"))
+    return curate.merged(rules, "leader", "vec_id")
 
 
 ELIGIBLE = "select d.doc_id, d.lang, d.n_chars, l.quality, l.toxic from documents d join labels l using (doc_id) where l.quality = 1 and d.lang in ('en', 'de', 'fr', 'es') and d.n_chars >= 200"
