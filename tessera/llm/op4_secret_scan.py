@@ -1,14 +1,26 @@
 """Secret scan: fixed patterns, and an assignment-aware lexer.
 
 The base patterns find assignments, access keys and hex runs. The lexer reads
-source and configuration syntax around every `=` and `:`: a name, plain or
-quoted, then string literals, bare values or names, joined by `+`. It keeps a
-table of constants, so that a literal stored under a harmless name is scored
-again when that name reaches a sensitive one. A literal's score is the
-sensitivity of the target name times the quality of the literal; spans of
-literals that score `threshold` or more are added as kind `literal`, unless a
-base span holds them. Names, blanks, literals and bare values may be of any
-length; they are read without backtracking.
+source and configuration syntax as pairs of a name and the literals that it
+gets: `name = value` with any of `=`, `:`, `:=`, `=>`, where the name may be
+plain, quoted, dotted or a subscript (`cfg["name"] = ...`); call arguments
+(`set_name("value")`, `put("name", "value")`); elements (`<name>value</name>`,
+`<key>name</key><string>value</string>`); and indented blocks (`name: |`).
+Values are strings with prefixes, plain, raw or triple-quoted, escapes decoded;
+bare values; or names, joined by `+`. A table of constants carries a literal
+that is stored under a harmless name on to a sensitive one. A name that no
+constant has is no literal in source; it is one in configuration, a block of
+lines that are all `name = value`, section headings, items or comments. What
+stands in comments is read as well.
+
+A literal's score is the sensitivity of the target name times the quality of
+the whole value; spans of literals that score `threshold` or more are added as
+kind `literal`, unless a base span holds them. A constant is a sum that keeps
+its parts, its length and how often each character occurs, not its text, so
+sums of sums cost no more than what is written down; sums of more than JOINED
+characters are judged by these alone, not held against placeholders. Names,
+blanks, literals and bare values may be of any length; they are read without
+backtracking.
 
 Offsets are code points, the end exclusive. Defined results: a null text is
 empty and has no spans; an empty table gives no rows; very long texts are read
@@ -45,7 +57,18 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "sec
 _PLACEHOLDER = re.compile(r"(?i)^(?:change_?me|example|placeholder|none|null|true|false|todo|your[_-].*|x+|\*+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(?\w+.*)$")
 _BLANKS = frozenset(" \t\n\r\f\v")
 _NAMED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
-_PART = re.compile(r"""\s*+(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|([A-Za-z_][A-Za-z0-9_.]*+)(?![A-Za-z0-9_.+/=-])|([A-Za-z0-9+/_.=-]++))""", re.A)
+#: Characters of a sum up to which its text is kept.
+JOINED = 4096
+_STRING = r"""[rRbBfFuU]{0,2}(?:"{3}((?:[^"\\]++|\\.|"(?!""))*+)"{3}|'{3}((?:[^'\\]++|\\.|'(?!''))*+)'{3}|"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)')"""
+#: A part of a value: a string (groups 1 to 4), a name (5) or a bare value (6).
+_PART = re.compile(rf"\s*+(?:{_STRING}|([A-Za-z_][A-Za-z0-9_.]*+)(?![A-Za-z0-9_.+/=-])|([A-Za-z0-9+/_.=-]++))", re.A | re.S)
+_CALL = re.compile(rf"(?<![A-Za-z0-9_.])([A-Za-z_][A-Za-z0-9_.]*+)\(\s*+{_STRING}(?:\s*+,\s*+{_STRING})?+", re.A | re.S)
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*+)(?:\s[^<>]*+)?+>\s*+([^<>\s][^<>]*+)</\1>", re.A)
+_PAIR = re.compile(r"<key>([^<>]*+)</key>\s*+<string>([^<>]*+)</string>", re.A)
+_BLOCK = re.compile(r"[ \t]*+[|>][-+]?+[ \t]*+\n")
+_SETTING = re.compile(r"""\s*+(?:$|[#;\[].*+|//.*+|-\s.*+|(?:export\s++)?+["']?+[A-Za-z_][A-Za-z0-9_.-]*+["']?+[ \t]*+[:=](?:[ \t]*+(?:"[^"\n]*+"|'[^'\n]*+'|[^\s()\[\]{}"';]*+))[ \t]*+,?+$)""", re.A)
+_ESCAPE = re.compile(r"\\(.)", re.S)
+_ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
 _PLUS = re.compile(r"[ \t]*+\+")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -71,20 +94,67 @@ def sensitivity(name: str) -> float:
     return max([0.0, *(SENSITIVE.get(w, 0) for w in words), *(SENSITIVE.get(f"{a} {b}", 0) for a, b in zip(words, words[1:], strict=False))])
 
 
+class Value:
+    """A literal, or a sum of values."""
+
+    def __init__(self, text: str | None, length: int, counts: Counter, span: tuple[int, int] | None = None, parts: tuple["Value", ...] = ()):
+        self.text, self.length, self.counts, self.span, self.parts = text, length, counts, span, parts
+
+    @classmethod
+    def literal(cls, text: str, span: tuple[int, int]) -> "Value":
+        return cls(text, len(text), Counter(text), span)
+
+    def plus(self, other: "Value") -> "Value":
+        text = self.text + other.text if self.text is not None and other.text is not None and self.length + other.length <= JOINED else None
+        return Value(text, self.length + other.length, self.counts + other.counts, None, (self, other))
+
+    def spans(self, seen: set[int]) -> Iterator[tuple[int, int]]:
+        """The literals below, each once; `seen` has the values that were walked before."""
+        stack = [self]
+        while stack:
+            v = stack.pop()
+            if id(v) not in seen:
+                seen.add(id(v))
+                stack += v.parts
+                if v.span is not None:
+                    yield v.span
+
+    def quality(self) -> float:
+        """How much the value looks like key material, 0 to 1."""
+        if self.length < 8 or self.text is not None and _PLACEHOLDER.match(self.text) or any(c.isspace() for c in self.counts):
+            return 0.0
+        entropy = -sum(c / self.length * math.log2(c / self.length) for c in self.counts.values())
+        signs = "".join(self.counts)
+        kinds = sum(bool(re.search(p, signs)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        return min(1.0, entropy / 4) * (1.0 if kinds >= 2 else 0.6 if self.length >= 20 else 0.4)
+
+
 def quality(value: str) -> float:
-    """How much a literal looks like key material, 0 to 1."""
-    if len(value) < 8 or _PLACEHOLDER.match(value) or re.search(r"\s", value):
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 4) * (1.0 if kinds >= 2 else 0.6 if n >= 20 else 0.4)
+    return Value.literal(value, (0, len(value))).quality()
+
+
+def decoded(raw: str) -> str:
+    return _ESCAPE.sub(lambda m: _ESCAPED.get(m[1], m[1]), raw) if "\\" in raw else raw
+
+
+def string_of(m: re.Match, first: int) -> tuple[str, tuple[int, int]] | None:
+    """The decoded string and its span, of four groups from `first` on."""
+    for k in range(first, first + 4):
+        if m[k] is not None:
+            return decoded(m[k]), m.span(k)
+    return None
 
 
 def target_before(text: str, low: int, end: int) -> str | None:
-    """The name, plain or quoted, that stands before `end` and any blanks; read backwards, not beyond `low`."""
+    """The name, plain, quoted or a subscript, that stands before `end` and any blanks; read backwards, not beyond `low`."""
     while end > low and text[end - 1] in _BLANKS:
         end -= 1
+    if end > low and text[end - 1] == "]":
+        end -= 1
+        while end > low and text[end - 1] in _BLANKS:
+            end -= 1
+        if not (end > low and text[end - 1] in "\"'"):
+            return None
     quote = text[end - 1] if end > low and text[end - 1] in "\"'" else ""
     end -= len(quote)
     start = end
@@ -97,9 +167,24 @@ def target_before(text: str, low: int, end: int) -> str | None:
     return text[start:end] if start < end and (text[start].isalpha() or text[start] == "_") else None
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(target name, value, spans of the literals in it), constants propagated."""
-    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+def settings(text: str) -> list[tuple[int, int]]:
+    """The blocks of lines that are all configuration, in order."""
+    found, at, start, good = [], 0, 0, True
+    for line in [*text.split("\n"), ""]:
+        if not line.strip():
+            if good and at > start:
+                found.append((start, at))
+            start, good = at + len(line) + 1, True
+        elif good:
+            good = _SETTING.fullmatch(line) is not None
+        at += len(line) + 1
+    return found
+
+
+def assignments(text: str) -> Iterator[tuple[str, Value | None, str]]:
+    """(target name, value, syntax), constants propagated, in order of the assignments; then calls and elements. No value is known of what is set to something else than literals."""
+    constants: dict[str, Value] = {}
+    blocks = None
     last = 0
     for m in re.finditer(r":=|=>|[=:]", text):
         if m.start() < last or text[m.end() : m.end() + 1] == "=" or text[m.start() - 1 : m.start()] in ("=", "!", "<", ">"):
@@ -107,43 +192,83 @@ def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
         target = target_before(text, last, m.start())
         if target is None:
             continue
-        value, spans, at, whole = "", [], m.end(), True
+        block = _BLOCK.match(text, m.end()) if m[0] == ":" else None
+        if block:
+            at, deep = block.end(), None
+            while at < len(text):
+                end = text.find("\n", at)
+                end = len(text) if end < 0 else end
+                line = text[at:end]
+                bare = line.strip()
+                indent = len(line) - len(line.lstrip())
+                deep = indent if deep is None and bare else deep
+                if bare and (not indent or indent < deep):
+                    break
+                if bare:
+                    yield target, Value.literal(bare, (at + indent, at + indent + len(bare))), "block"
+                at = end + 1
+            last = max(m.end(), min(at, len(text)))
+            continue
+        value, at, end, whole = None, m.end(), m.end(), True
         while part := _PART.match(text, at):
-            k = part.lastindex
-            if k == 3:
-                known = constants.get(part[3])
-                if known is None and k == 3 and not value:
-                    known = (part[3], [part.span(3)])
-                elif known is None:
+            own = string_of(part, 1)
+            if own is not None:
+                more = Value.literal(*own)
+            elif part[6] is not None:
+                more = Value.literal(part[6], part.span(6))
+            else:
+                more = constants.get(part[5])
+                if more is None and value is None and part[5] != target and not text.startswith(("(", "["), part.end()):
+                    if blocks is None:
+                        blocks = settings(text)
+                        starts = [a for a, _ in blocks]
+                    i = bisect_right(starts, m.start())
+                    if i and m.start() < blocks[i - 1][1]:
+                        more = Value.literal(part[5], part.span(5))
+                if more is None:
                     whole = False
                     break
-                value, spans = value + known[0], spans + known[1]
-            else:
-                value, spans = value + part[k], [*spans, part.span(k)]
-            at = part.end()
+            value, at = more if value is None else value.plus(more), part.end()
+            end = at
             plus = _PLUS.match(text, at)
             if not plus:
                 break
             at = plus.end()
-        if spans and whole:
-            last = max(m.end(), max(e for _, e in spans) if spans[-1][0] >= m.end() else m.end())
-            constants[target] = (value, spans)
-            yield target, value, spans
+        if not whole:
+            constants.pop(target, None)
+            last = max(last, end)
+            yield target, None, "assignment"
+        elif value is not None:
+            last = end
+            constants[target] = value
+            yield target, value, "assignment"
+    for m in _CALL.finditer(text):
+        first, second = string_of(m, 2), string_of(m, 6)
+        if second is None:
+            yield m[1], Value.literal(*first), "call"
+        else:
+            yield first[0], Value.literal(*second), "call"
+    if "</" in text:
+        for pattern in (_ELEMENT, _PAIR):
+            for m in pattern.finditer(text):
+                bare = m[2].rstrip()
+                yield m[1], Value.literal(bare, (m.start(2), m.start(2) + len(bare))), "element"
 
 
 def scan(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """All spans of a text: base ones, then literals that the lexer scores as secret."""
     text = text or ""
     base = base_spans(text)
-    if "=" not in text and ":" not in text:
-        return base
-    added = set()
+    added: set[tuple[int, int, str]] = set()
+    seen: set[int] = set()
+    kept = []  # values that were walked stay, so that their names aren't given again
     starts, ends = covers([(a, b) for a, b, _ in base])
     held = lambda s, e: (i := bisect_right(starts, s)) and ends[i - 1] >= e
-    for name, value, spans in assignments(text):
-        weight = sensitivity(name)
-        if weight and weight * quality(value) >= threshold:
-            added |= {(s, e, "literal") for s, e in spans if e > s and not held(s, e)}
+    for name, value, _ in assignments(text):
+        weight = sensitivity(name) if value else 0
+        if weight and weight * value.quality() >= threshold:
+            kept.append(value)
+            added |= {(s, e, "literal") for s, e in value.spans(seen) if e > s and not held(s, e)}
     return sorted([*base, *added], key=_order)
 
 
