@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -48,3 +48,51 @@ def sessions(events: DataFrame, time: str, gap: str, late: str, by: list[Column]
 def window_by_window(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]):
     """Test-then-train: each micro-batch is one window, given to `step` with its number; it restarts after the last one done."""
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], times: tuple[str, str], within: str, late: str, how: str = "inner") -> DataFrame:
+    """Left rows with the right rows of equal keys that follow within an interval, both sides streams.
+
+    Each side has a watermark, so rows that can't be met any longer leave the
+    state; rows later than `late` are dropped and counted by the query.
+    """
+    a, b = left.withWatermark(times[0], late).alias("a"), right.withWatermark(times[1], late).alias("b")
+    meet = F.expr(f"b.{times[1]} >= a.{times[0]} and b.{times[1]} <= a.{times[0]} + interval {within}")
+    for k in keys:
+        meet = meet & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    return a.join(b, meet, how)
+
+
+def dropped_rows(query) -> int:
+    """How many rows came too late in the batches that a query remembers."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
+
+
+class BatchSink:
+    """Output of a stream's batches that a replayed batch doesn't write twice.
+
+    A batch's rows go to a folder named by its number, and a row with the
+    number to the manifest once they are there. A batch that the manifest has
+    is left alone; one that broke off before is written over. Readers see the
+    batches of the manifest only.
+    """
+
+    def __init__(self, path: str):
+        self.rows, self.manifest = f"{path.rstrip('/')}/rows", f"{path.rstrip('/')}/manifest"
+
+    def _has(self, spark: SparkSession, number: int) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.manifest}/batch={number}/_SUCCESS")
+        return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if self._has(spark, number):
+            return
+        batch.write.mode("overwrite").parquet(f"{self.rows}/batch={number}")
+        written = spark.read.schema(batch.schema).parquet(f"{self.rows}/batch={number}").agg(F.count(F.lit(1)).alias("n"))
+        written.write.mode("overwrite").parquet(f"{self.manifest}/batch={number}")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The rows of all batches that were written whole, with their number, `batch`."""
+        whole = spark.read.parquet(self.manifest).select("batch")
+        return spark.read.parquet(self.rows).join(whole, "batch", "left_semi")
