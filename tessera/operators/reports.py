@@ -128,6 +128,32 @@ def class_tree(properties: DataFrame) -> DataFrame:
     return first.join(down(1), F.col("target") == F.col("t1"), "left").join(down(2), F.col("g1") == F.col("t2"), "left").select("template", "property", F.col("p1").alias("child_property"), F.col("p2").alias("grandchild_property"))
 
 
+def class_paths(properties: DataFrame, order: str) -> DataFrame:
+    """(template, path, depth) of all properties below each template, to any depth.
+
+    properties: template, property, target (a template or null) and their
+    order in the template. path is an array of (order, property). A round
+    follows the properties that the one before reached; a template isn't
+    entered twice on a path, so circles end.
+    """
+    own = properties.select("template", "property", "target", F.col(order).alias("_order"))
+    step = F.struct(F.col("_order").alias("order"), "property")
+    below = own.select(F.col("template").alias("target"), step.alias("_step"), F.col("target").alias("_next")).checkpoint()
+    level = own.select("template", F.array(step).alias("path"), F.array("template").alias("_seen"), "target").checkpoint()
+    found = level
+    while not level.isEmpty():
+        into = level.where(F.col("target").isNotNull() & ~F.array_contains("_seen", F.col("target")))
+        level = into.join(below, "target").select("template", F.array_append("path", F.col("_step")).alias("path"), F.array_append("_seen", F.col("target")).alias("_seen"), F.col("_next").alias("target")).checkpoint()
+        found = found.unionByName(level)
+    return found.select("template", "path", F.size("path").alias("depth"))
+
+
+def class_lines(paths: DataFrame) -> DataFrame:
+    """(template, place, line): a template's properties in order, each below the one that leads to it and indented by its depth."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.lit("- "), F.element_at("path", -1)["property"])
+    return paths.select("template", F.row_number().over(Window.partitionBy("template").orderBy("path")).alias("place"), line.alias("line"))
+
+
 def price(prompt: Column, completion: Column, model: Column, prices: Mapping[str, tuple[float, float]]) -> Column:
     """Dollars of a call by a list without a tier for cached tokens, to 8 places; null for a model that isn't listed. Prices are for a million tokens."""
     out = F.lit(None).cast("double")

@@ -82,3 +82,31 @@ CASES["sparql_order_limit"] = (CASES["sparql_order_limit"][0], f"select c, p fro
 
 for _name, (_text, _sql) in CASES.items():
     query(_name, _sql)(lambda tables, _text=_text: sparql.run(_text, as_triples(tables)))
+
+
+def linked(tables):
+    """The triples, and for each customer but the first the one that it came after and one that it knows, in circles."""
+    k, iri = F.col("c_custkey"), lambda e: F.concat(F.lit("customer:"), e.cast("long").cast("string"))
+    c = tables("customer").withColumn("n", F.lit(50))
+    after = c.where(k > 0).select(iri(k).alias("s"), F.lit("t:after").alias("p"), iri(F.floor(k / 3)).alias("o"))
+    knows = c.where(k < 60).select(iri(k).alias("s"), F.lit("t:knows").alias("p"), iri((k * 7 + 1) % 60).alias("o"))
+    return as_triples(tables).unionByName(after).unionByName(knows)
+
+
+CLOSED = "with recursive f as (select c_custkey as x, c_custkey // 3 as y from customer where c_custkey > 0), k as (select c_custkey as x, (c_custkey * 7 + 1) % 60 as y from customer where c_custkey < 60), r(x, y) as (select x, y from f union select r.x, f.y from r join f on r.y = f.x), q(x, y) as (select x, y from k union select q.x, k.y from q join k on q.y = k.x)"
+PATHS = {
+    "sparql_path_sequence": (
+        "SELECT ?o ?r WHERE { ?o t:status \"P\" ; t:by/t:nation/t:in ?r . }",
+        "select 'order:' || o_orderkey as o, 'region:' || n_regionkey as r from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderstatus = 'P'",
+    ),
+    "sparql_path_plus": ("SELECT ?x ?y WHERE { ?x t:after+ ?y . }", f"{CLOSED} select 'customer:' || x as x, 'customer:' || y as y from r"),
+    "sparql_path_star_in_circles": ("SELECT ?y WHERE { <customer:3> (t:knows|^t:knows)* ?y . }", "with recursive k as (select c_custkey as x, (c_custkey * 7 + 1) % 60 as y from customer where c_custkey < 60), e as (select x, y from k union select y, x from k), q(y) as (select 3::bigint union select e.y from q join e on q.y = e.x) select 'customer:' || y as y from q"),
+    "sparql_path_back_to_a_constant": ("SELECT ?x ?n WHERE { ?x t:after+ <customer:2> ; t:nation/t:name? ?n . }", f"{CLOSED} select 'customer:' || x as x, n from r join customer on c_custkey = x join (select n_nationkey, n_name as n from nation union all select n_nationkey, 'nation:' || n_nationkey from nation) on n_nationkey = c_nationkey where y = 2"),
+    "sparql_minus": ("SELECT ?c WHERE { ?c a t:customer ; t:nation ?n . MINUS { ?o t:by ?c ; t:status \"F\" . } MINUS { ?z t:in ?n . } }", "select 'customer:' || c_custkey as c from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F')"),
+    "sparql_minus_unbound": (
+        "SELECT ?c ?b WHERE { ?c a t:customer . OPTIONAL { ?c t:knows ?b . } MINUS { ?c t:after ?a . OPTIONAL { ?c t:knows ?b . FILTER(?b != <customer:8>) } } }",
+        "with c as (select c_custkey as c, case when c_custkey < 60 then (c_custkey * 7 + 1) % 60 end as b from customer) select 'customer:' || c as c, 'customer:' || b as b from c where not (c > 0)",
+    ),
+}
+for _name, (_text, _sql) in PATHS.items():
+    query(_name, _sql)(lambda tables, _text=_text: sparql.run(_text, linked(tables)))

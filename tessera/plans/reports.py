@@ -102,6 +102,19 @@ def class_tree(tables):
     return reports.class_tree(tables("nation").select(F.col("n_regionkey").cast("long").alias("template"), F.col("n_name").alias("property"), F.when(k % 3 == 0, (k + 1) % 5).cast("long").alias("target")))
 
 
+@query(
+    "class_lines",
+    """with recursive p as (select p_partkey % 300 as template, p_partkey as o, p_name || ' ' || p_partkey as property, case when p_partkey % 10 = 0 then (p_partkey * 7 + 1) % 300 end as target from part),
+    r(template, path, seen, property, target) as (select template, [o], [template], property, target from p union all select r.template, list_append(r.path, p.o), list_append(r.seen, p.template), p.property, p.target from r join p on r.target = p.template where not list_contains(r.seen, r.target))
+    select template, row_number() over (partition by template order by path) as place, repeat('  ', len(path) - 1) || '- ' || property as line from r""",
+)
+def class_lines(tables):
+    """Every template with what is below it, to any depth; templates may lead back to themselves."""
+    k = F.col("p_partkey")
+    properties = tables("part").select((k % 300).alias("template"), k.alias("order"), F.concat_ws(" ", "p_name", k).alias("property"), F.when(k % 10 == 0, (k * 7 + 1) % 300).alias("target"))
+    return reports.class_lines(reports.class_paths(properties, "order")).withColumn("place", F.col("place").cast("long"))
+
+
 @query("call_prices", "select event_id, case event_type when 'click' then round_even((event_id * 2.0 + user_id * 8.0) / 1e6, 8) when 'error' then round_even((event_id * 0.5 + user_id * 1.0) / 1e6, 8) end as dollars from events")
 def call_prices(tables):
     return tables("events").select("event_id", reports.price(F.col("event_id"), F.col("user_id"), F.col("event_type"), {"click": (2.0, 8.0), "error": (0.5, 1.0)}).alias("dollars"))

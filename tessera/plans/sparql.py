@@ -5,10 +5,13 @@ full. A query is parsed to a small tree and compiled to joins, filters and
 aggregates: each triple pattern is a scan with its constants pushed down,
 patterns are joined on shared variables, the most constant ones first and
 connected ones next, so Catalyst sees equi-joins only. OPTIONAL is a left
-join, [NOT] EXISTS a semi or anti join, UNION a union by name.
+join, [NOT] EXISTS a semi or anti join, MINUS an anti join on what both sides
+bind, UNION a union by name. A property path is a table of pairs: sequences are
+joins, alternatives unions, and repeats are closed by rounds over the pairs that
+the round before found, from a constant end if there is one.
 
 Supported: SELECT and ASK; DISTINCT; expressions with AS; triples with `;`,
-`,` and `a`; OPTIONAL, UNION, FILTER, [NOT] EXISTS, BIND, VALUES, sub-SELECT;
+`,` and `a`; paths with `/`, `|`, `^`, `*`, `+`, `?`; OPTIONAL, MINUS, UNION, FILTER, [NOT] EXISTS, BIND, VALUES, sub-SELECT;
 GROUP BY, HAVING, ORDER BY, LIMIT, OFFSET; COUNT, SUM, AVG, MIN, MAX, SAMPLE,
 GROUP_CONCAT. An error in an expression is null, so a filter drops the row.
 Patterns that share no variable are refused unless one side is a single row.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import PREFIXES
 
 _LEX = re.compile(
-    r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<var>[?$]\w+)|(?P<str>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<num>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_][\w-]*:[\w.-]*\w|[A-Za-z_][\w-]*:)|(?P<word>[A-Za-z_]\w*)|(?P<op>&&|\|\||!=|<=|>=|\^\^|[=<>!+\-*/(){},;.@])"""
+    r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<var>[?$]\w+)|(?P<str>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<num>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_][\w-]*:[\w.-]*\w|[A-Za-z_][\w-]*:)|(?P<word>[A-Za-z_]\w*)|(?P<op>&&|\|\||!=|<=|>=|\^\^|[=<>!+\-*/(){},;.@^|?])"""
 )
 _AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX", "SAMPLE", "GROUP_CONCAT"}
 
@@ -180,7 +184,9 @@ class Parser:
                     while self.skip("UNION"):
                         branches.append(self.group())
                     g.parts.append(("union", branches))
-            elif word in ("MINUS", "GRAPH", "SERVICE"):
+            elif self.skip("MINUS"):
+                g.parts.append(("minus", self.group()))
+            elif word in ("GRAPH", "SERVICE"):
                 raise Unsupported(word)
             else:
                 self.triples(g)
@@ -210,7 +216,7 @@ class Parser:
     def triples(self, g: Group) -> None:
         s = self.term()
         while True:
-            p = self.term(verb=True)
+            p = self.verb()
             while True:
                 g.triples.append((s, p, self.term()))
                 if not self.skip(","):
@@ -220,6 +226,38 @@ class Parser:
             if self.peek() in (".", "}"):
                 return
 
+    def verb(self) -> str | tuple:
+        """A variable, a constant, or a path as a tree of tuples."""
+        if self.kind() == "var":
+            return self.term()
+        path = self.alternatives()
+        return path[1] if path[0] == "one" else path
+
+    def alternatives(self) -> tuple:
+        each = [self.sequence()]
+        while self.skip("|"):
+            each.append(self.sequence())
+        return each[0] if len(each) == 1 else ("any", each)
+
+    def sequence(self) -> tuple:
+        each = [self.step()]
+        while self.skip("/"):
+            each.append(self.step())
+        return each[0] if len(each) == 1 else ("then", each)
+
+    def step(self) -> tuple:
+        if self.skip("^"):
+            return "back", self.step()
+        if self.skip("("):
+            path = self.alternatives()
+            self.take(")")
+        else:
+            path = ("one", self.term(verb=True))
+        if self.peek() in ("*", "+", "?"):
+            sign = self.take()
+            return "repeat", path, sign != "+", sign != "?"
+        return path
+
     def term(self, verb: bool = False) -> str:
         """A variable as ?name, or a constant's text with a leading =."""
         if self.kind() == "var":
@@ -330,8 +368,11 @@ class Compiler:
         self.spark: SparkSession = triples.sparkSession
 
     def scan(self, s: str, p: str, o: str) -> Solutions:
-        df, out, seen = self.triples, [], {}
+        constant = lambda term: term[1:] if term[0] == "=" else None
+        df, out, seen = self.path(p, constant(s), constant(o)) if isinstance(p, tuple) else self.triples, [], {}
         for column, term in zip(("s", "p", "o"), (s, p, o), strict=True):
+            if isinstance(term, tuple):
+                continue
             if term[0] == "=":
                 df = df.where(F.col(column) == term[1:])
             elif term in seen:
@@ -341,6 +382,59 @@ class Compiler:
                 out.append(F.col(column).alias(term[1:]))
         return Solutions(df.select(*(out or [F.lit(True).alias("_found")])), {t[1:] for t in seen})
 
+    def path(self, path: tuple, start: str | None = None, end: str | None = None) -> DataFrame:
+        """(s, o) pairs of a path, some of which need not begin at `start` or end at `end`; a row for each way, but for repeats a row for each pair."""
+        kind = path[0]
+        if kind == "one":
+            df = self.triples.where(F.col("p") == path[1][1:])
+            df = df if start is None else df.where(F.col("s") == start)
+            return (df if end is None else df.where(F.col("o") == end)).select("s", "o")
+        if kind == "back":
+            return self.path(path[1], end, start).select(F.col("o").alias("s"), F.col("s").alias("o"))
+        if kind == "any":
+            return reduce(DataFrame.unionByName, [self.path(p, start, end) for p in path[1]])
+        if kind == "then":
+            *others, last = path[1]
+            out = self.path(others[0], start)
+            for step in others[1:]:
+                out = self._then(out, self.path(step))
+            return self._then(out, self.path(last, None, end))
+        _, inner, none, many = path
+        turned = start is None and end is not None
+        edges = self.path(("back", inner) if turned else inner)
+        near = end if turned else start
+        out = edges.distinct() if near is None else edges.where(F.col("s") == near).distinct()
+        if many:
+            out = self._closed(out, edges.distinct().checkpoint())
+        if none:
+            ends = self.triples.select("s").unionByName(self.triples.select(F.col("o").alias("s"))) if near is None else self.spark.range(1).select(F.lit(near).alias("s"))
+            out = out.unionByName(ends.select("s", F.col("s").alias("o"))).distinct()
+        return out.select(F.col("o").alias("s"), F.col("s").alias("o")) if turned else out
+
+    @staticmethod
+    def _then(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.select("s", F.col("o").alias("_m")).join(b.select(F.col("s").alias("_m"), "o"), "_m").select("s", "o")
+
+    def _closed(self, first: DataFrame, edges: DataFrame) -> DataFrame:
+        """The pairs that the first ones and any number of edges after them make. A round follows only the pairs that are new; cycles end, as no pair is new twice."""
+        known = new = first.checkpoint()
+        while not new.isEmpty():
+            new = self._then(new, edges).distinct().join(known, ["s", "o"], "left_anti").checkpoint()
+            known = known.unionByName(new)
+        return known
+
+    def minus(self, a: Solutions, b: Solutions) -> Solutions:
+        """The solutions of a that no solution of b agrees with in all that both bind, where that is at least one variable."""
+        shared = sorted(a.names & b.names)
+        if not shared:
+            return a
+        sure = [c for c in shared if c in a.bound and c in b.bound]
+        if not sure:
+            raise Unsupported("MINUS over variables that may be unbound")
+        right = b.df.select(*[F.col(c).alias(f"_r_{c}") for c in shared]).distinct()
+        same = reduce(lambda x, y: x & y, [a.df[c] == right[f"_r_{c}"] if c in sure else a.df[c].isNull() | right[f"_r_{c}"].isNull() | (a.df[c] == right[f"_r_{c}"]) for c in shared])
+        return Solutions(a.df.join(right, same, "left_anti"), a.bound, a.single)
+
     def join(self, a: Solutions, b: Solutions, how: str = "inner") -> Solutions:
         shared = a.names & b.names
         sure = sorted(shared & a.bound & b.bound)
@@ -374,7 +468,7 @@ class Compiler:
             left.remove(at)
             found = self.scan(*at) if found is None else self.join(found, self.scan(*at))
         rest = Group(triples=left) if left else None
-        for kind, *part in sorted(g.parts, key=lambda p: p[0] in ("optional", "exists", "bind")) if rest or found is None else g.parts:
+        for kind, *part in sorted(g.parts, key=lambda p: p[0] in ("optional", "exists", "bind", "minus")) if rest or found is None else g.parts:
             if kind in ("union", "select", "values"):
                 other = self.union(part[0]) if kind == "union" else self.select(part[0], inner=True) if kind == "select" else self.values(*part)
                 found = other if found is None else self.join(found, other)
@@ -386,6 +480,8 @@ class Compiler:
                 found = Solutions(self.spark.range(1).select(F.lit(True).alias("_found")), set(), True)
             if kind == "optional":
                 found = self.join(found, self.group(part[0]), "left")
+            elif kind == "minus":
+                found = self.minus(found, self.group(part[0]))
             elif kind == "exists":
                 inner = self.group(part[0])
                 found = Solutions(found.df.join(inner.df, sorted(found.names & inner.names), "left_semi" if part[1] else "left_anti"), found.bound, found.single)
