@@ -1,50 +1,52 @@
 """Benchmark decontamination by CGK embeddings and bit-sampling LSH.
 
 Texts are read as words (runs of letters and digits, A-Z lower-cased) joined by
-single spaces, in code points. Windows of an item's size are laid where the
-text has one of the item's seeds, its `SEEDS` pairs of neighbouring words that
-have the most letters, so that item and window agree on a place. From there
-both are embedded by the random walk of Chakraborty, Goldenberg and Koucky, to
-the right and to the left: at each step the current word is put out, and a
-random bit of step and word decides whether to go on, so few edits between the
-words mean few differences between the walks. A window is a candidate when, in
-one of `repeats` samples, all `bits` sampled steps agree. The repeats follow
-from the target recall: a sample agrees with chance (1-h)^bits where the walks
-differ in a share h of their steps, 0.45 being taken for the most edited copies.
-
-A walk over words loses its way where letters within the words are edited, and
-a walk over letters never finds back at the accepted 20 %. So windows are also
-laid at every place of the text by its characters: every run of GRAM code
-points of an item is looked up at every place of the text and votes, with the
-weight one over the root of its uses in the items, for the item and the window
-that would begin there. Places within a fifth of the item's length vote
-together. A window where the runs of the item that it holds, each counted once,
-have VOTES of the item's whole weight is a candidate. The votes know no words,
-so they also serve scripts without spaces.
-
-Candidates of both kinds are verified by the exact edit distance, in code
-points of the joined words, of the item to its best place around the window; at
-most `share` of the item's may be edited. Edits as regular as one in every GRAM
-characters leave no run and can be missed.
+single spaces, in code points. From a place, the random walk of Chakraborty,
+Goldenberg and Koucky puts out a character at each of STEPS steps and then goes
+on to the next one or stays, as a coin of step and character says; so few edits
+mean few steps that differ, and a walk that an edit throws off can find back.
+The coins of PERIOD steps repeat, with as many heads as tails for each
+character, so that no character holds a walk forever and the walks from all
+places share their steps. A bit sample is the hash of `bits` of the steps.
+
+Walks over a whole item don't reach the target recall where a fifth of it is
+edited: they lose their way. So an item's window is sampled from every place in
+it, with each of REPEATS samples; a text is sampled at every second place, with
+the samples in turn. Where a text's sample equals an item's, it is a collision
+with the item-sized window that would begin so many characters before. The
+collisions of a window are counted (those within a fifth of the item's length
+together), each with the weight one over the root of the sample's uses in the
+items. A window whose different collisions have COLLIDE of the item's whole
+weight is a candidate. Samples know no words, so scripts without spaces are
+served alike.
+
+How many samples agree was measured on copies of items with a share of the
+characters edited, and the repeats and COLLIDE follow from it. Recall by kind of
+edit, of copies that the exact distance accepts, at 10, 15 and 19 %: 1.00 for
+substitutions, insertions and deletions; 1.00 with a letter changed in each
+word; 0.97 with every sixth character changed, the most regular way that leaves
+no six characters in a row. Tests hold it to 0.95, and to 0.9 for the last.
+
+Candidates are verified by the exact edit distance, in code points of the
+joined words, of the item to its best place around the window; at most `share`
+of the item's may be edited.
 
 Items are a stated query set; they are sent to the tasks in blocks of BLOCK
 items and BLOCK_CHARS characters at most (a longer item is a block).
 
 Defined results: null and empty texts have no match, nor have items without a
 letter or digit; an empty table of either kind gives no rows. Very long texts
-are read whole, their votes in stretches that overlap. Items of fewer than EXACT
-characters do not vote; each is searched for as it stands, at the edges of
-words (anywhere in scripts without spaces), and with edits as well if it has
-LEAST words. Of several places with the least edits, the first that is found
-counts. Repeated rows of either table give repeated results; rows with a null
-item text go. Other columns are not read. Offsets are code points of the text,
-the end exclusive; spans are whole words, but for items of fewer than LEAST
-words the characters themselves.
+are read whole, in stretches that overlap. Items of fewer than EXACT characters
+are not sampled; each is searched for as it stands, at the edges of words
+(anywhere in scripts without spaces). Of several places with the least edits,
+the first that is found counts. Repeated rows of either table give repeated
+results; rows with a null item text go. Other columns are not read. Offsets are
+code points of the text, the end exclusive; spans are whole words, but for items
+of fewer than LEAST words the characters themselves.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -57,21 +59,65 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bound_batches, materialize, row_name, table
 from tessera.llm.op6_ngram_jaccard import BROADCAST_ROWS, hashed_runs, mix
 
-SHARE, RECALL, BITS, SEEDS, LEAST, WALKS = 0.2, 0.99, 3, 10, 4, 4
+SHARE, LEAST = 0.2, 4
 BLOCK, BLOCK_CHARS = 20_000, 16 << 20
-#: Code points of a text whose votes are counted at a time, so that memory is bounded for texts of any length.
+#: Code points of a text whose collisions are counted at a time, so that memory is bounded for texts of any length.
 STRETCH = 1 << 15
-#: Code points of a run that votes, the share of an item's weight that makes a candidate, and the characters from which an item votes.
-GRAM, VOTES, EXACT = 6, 0.12, 20
+#: Steps of a walk, after how many its coins repeat, how many of them a sample has, samples, and places of a text from one sample to the next.
+STEPS, PERIOD, BITS, REPEATS, STRIDE = 16, 4, 8, 2, 2
+#: The share of an item's weight that makes a candidate, and the characters from which an item is sampled.
+COLLIDE, EXACT = 0.03, 20
 _WORDS = np.zeros(129, bool)
 _WORDS[[*range(0x30, 0x3A), *range(0x61, 0x7B), 0x80]] = True
 #: Thai to Lao, Myanmar, Khmer, and from the CJK radicals on: written without spaces.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\uabff\uac00-\ud7ff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
-_G = np.uint64(0x9E3779B97F4A7C15)
 
 
-def repeats_for(recall: float = RECALL, bits: int = BITS, differ: float = 0.45) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
+_draw = np.random.Generator(np.random.PCG64(77))
+#: For each step of a period and each character (by its low byte) whether the walk goes on.
+COINS = np.stack([_draw.permutation(np.arange(PERIOD) % 2) for _ in range(256)], 1).astype(np.int32)
+
+
+def _samples() -> list[list[np.uint32]]:
+    """For each sample and period, the steps that it has, as bytes of a word; the first step is always one."""
+    out = []
+    for w in range(REPEATS):
+        chosen = np.zeros(STEPS, bool)
+        chosen[np.random.Generator(np.random.PCG64([5, w])).choice(STEPS, BITS, replace=False)] = True
+        chosen[0] = True
+        out.append([np.uint32(sum(0xFF << 8 * j for j in range(PERIOD) if chosen[k * PERIOD + j])) for k in range(STEPS // PERIOD)])
+    return out
+
+
+SAMPLES = _samples()
+_MULTIPLIERS = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 63, size=STEPS // PERIOD, dtype=np.uint64) | np.uint64(1)
+
+
+def walked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the walk from every place: what a period's steps put out, as the bytes of a word, and how far they go."""
+    n = len(codes)
+    c = np.zeros(n + STEPS + 1, np.uint8)
+    c[:n] = codes & np.uint32(0xFF)
+    m = n + STEPS - PERIOD
+    start = np.arange(m, dtype=np.int32)
+    at, out = start.copy(), np.zeros(m, np.uint32)
+    for j in range(PERIOD):
+        x = c[at]
+        out |= x.astype(np.uint32) << np.uint32(8 * j)
+        at += COINS[j][x]
+    return out, at - start
+
+
+def sampled(walks: tuple[np.ndarray, np.ndarray], places: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, end) of a sample of the walks from some places."""
+    out, far = walks
+    at, value = places, np.zeros(len(places), np.uint64)
+    for mask, multiplier in zip(SAMPLES[sample], _MULTIPLIERS, strict=True):
+        if mask:
+            value += (out[at] & mask).astype(np.uint64) * multiplier
+            value ^= value >> np.uint64(29)
+        at = at + far[at]
+    return mix(value + np.uint64(sample + 1)), at
 
 
 class Words:
@@ -109,20 +155,6 @@ def as_string(codes: np.ndarray) -> str:
     return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def pairs_of(words: np.ndarray) -> np.ndarray:
-    return mix(words[:-1] * _G + words[1:]) if len(words) > 1 else words[:0]
-
-
-def grams_of(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM (6) code points from each place on."""
-    c = codes.astype(np.uint64)
-    if len(c) < GRAM:
-        return c[:0]
-    two = c[:-1] * np.uint64(0xD6E8FEB86659FD93) + c[1:]
-    four = two[:-2] * np.uint64(0xFF51AFD7ED558CCD) + two[2:]
-    return (four[:-2] * np.uint64(0xC4CEB9FE1A85EC53) + two[4:]) * _G
-
-
 def least_edits(item: Sequence[int], region: Sequence[int]) -> int:
     """The least edit distance of the item to a part of the region, by Myers' bit vectors."""
     n = len(item)
@@ -146,83 +178,63 @@ def least_edits(item: Sequence[int], region: Sequence[int]) -> int:
     return least
 
 
-def walk(words: np.ndarray, steps: int, seed: int) -> list[int]:
-    """The embedding of `words`: `steps` of them put out, 0 after the last.
-
-    Bit j of a word's hash for this walk (a new hash for every 64 steps) says
-    whether step j goes on to the next word.
-    """
-    own, n, at, out = words.tolist(), len(words), 0, []
-    for block in range(0, steps, 64):
-        coins = mix(words + np.uint64((seed * 4096 + block + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)).tolist()
-        for j in range(min(64, steps - block)):
-            if at >= n:
-                break
-            out.append(own[at])
-            at += coins[at] >> j & 1
-    return out + [0] * (steps - len(out))
-
-
 class Benchmark:
     """A block of items, ready to be looked for."""
 
-    def __init__(self, items: Sequence[tuple[int, str]], share: float = SHARE, recall: float = RECALL, bits: int = BITS):
-        self.share, self.bits, self.repeats = share, bits, repeats_for(recall, bits)
+    def __init__(self, items: Sequence[tuple[int, str]], share: float = SHARE):
+        self.share = share
         self.items: list[tuple[int, np.ndarray, np.ndarray]] = []  # key, hashes of the words, joined words
         self.plain: dict[int, str] = {}  # of items that are searched for as they stand
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.short: dict[int, list[int]] = defaultdict(list)
         self.loose: list[int] = []
-        voters: list[int] = []
+        long = []
         for key, text in items:
             read = Words(text)
             words, number = read.hashes, len(self.items)
             if not len(words):
                 continue
             self.items.append((key, words, read.joined))
+            if len(read.joined) >= EXACT or len(words) >= LEAST:
+                long.append(number)
             if len(read.joined) >= EXACT:
-                voters.append(number)
-            else:
-                plain = self.plain[number] = read.string()
-                if _UNSPACED.search(plain):
-                    self.loose.append(number)
-                else:
-                    self.short[int(words[0])].append(number)
-            if len(words) < LEAST:
                 continue
-            pairs = pairs_of(words)
-            sizes = read.ends - read.begins
-            letters = sizes[:-1] + sizes[1:]
-            for o in np.lexsort((np.arange(len(pairs)), -letters))[:SEEDS].tolist():
-                seeds[int(pairs[o])].append((number, o))
-        self.seeds = dict(seeds)
-        self.bitmap = np.zeros(1 << 20, bool)
-        self.bitmap[[s & 0xFFFFF for s in seeds]] = True
-        self._index(voters)
-        self._samples: dict[tuple[int, int], np.ndarray] = {}
-        self._drawn: dict[tuple[int, int, int], np.ndarray] = {}
-
-    def _index(self, voters: list[int]) -> None:
-        """The runs of all items that vote, in a table by hash, with where each stands and what its vote counts; 1 elects."""
-        runs = [grams_of(self.items[i][2]) for i in voters]
-        size = [len(x) for x in runs]
-        every = np.concatenate([np.zeros(0, np.uint64), *runs])
+            plain = self.plain[number] = read.string()
+            if _UNSPACED.search(plain):
+                self.loose.append(number)
+            else:
+                self.short[int(words[0])].append(number)
+        self._index(long)
+
+    def _index(self, long: list[int]) -> None:
+        """The samples of all items that have some, in a table by hash, with where each begins and what a collision counts; 1 makes a candidate."""
+        values, offsets, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        for i in long:
+            joined = self.items[i][2]
+            walks, places, own = walked(joined), np.arange(len(joined), dtype=np.int32), 0
+            for w in range(REPEATS):
+                value, end = sampled(walks, places, w)
+                inside = np.flatnonzero(end <= len(joined))  # later ones would see what follows the item
+                values.append(value[inside])
+                offsets.append(inside)
+                own += len(inside)
+            size.append(own)
+        every, offset = np.concatenate(values), np.concatenate(offsets)
         order = np.argsort(every, kind="stable")
-        self.codes, first, back, uses = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+        self.codes, back, uses = np.unique(every, return_inverse=True, return_counts=True)
         self.first, self.uses = np.cumsum(uses) - uses, uses
-        owner = np.repeat(np.array(voters, np.int64), size)
+        owner = np.repeat(np.array(long, np.int64), size)
         weight = (uses**-0.5)[back]
-        vote = weight / np.maximum(VOTES * np.bincount(owner, weight, len(self.items)), 1e-9)[owner]
-        self.owner, self.vote = owner[order], vote[order]
-        self.offset = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in size]])[order]
-        ends = np.cumsum(size)
-        self.own = {i: (back[e - n : e], vote[e - n : e]) for i, e, n in zip(voters, ends.tolist(), size, strict=True)}
+        # Of a window's samples a text has one in STRIDE * REPEATS.
+        vote = weight / np.maximum(COLLIDE / (STRIDE * REPEATS) * np.bincount(owner, weight, len(self.items)), 1e-9)[owner]
+        self.owner, self.vote, self.offset = owner[order], vote[order], offset[order]
+        ends = np.cumsum(np.array(size, np.int64))
+        self.own = {i: (back[e - n : e], vote[e - n : e]) for i, e, n in zip(long, ends.tolist(), size, strict=True)}
         self.length = np.array([len(x[2]) for x in self.items], np.int64)
         self.longest = int(self.length.max(initial=0))
         self.span = np.maximum(8, (self.length * self.share).astype(np.int64))
-        # Of each vote: what makes a place of the text the end of a window, and the windows' span.
+        # Of each collision: what makes a place of the text the end of a window, and the windows' span.
         self.back, self.step = (self.length[self.owner] - self.offset).astype(np.int32), self.span[self.owner].astype(np.int32)
-        # The table: runs are in order, so those of one slot follow each other; a slot has the first of them.
+        # The table: samples are in order, so those of one slot follow each other; a slot has the first of them.
         self.shift = np.uint64(64 - max(16, (16 * len(self.codes)).bit_length()))
         slots = (self.codes >> self.shift).astype(np.int64)
         self.slot = np.full(1 << (64 - int(self.shift)), -1, np.int32)
@@ -230,21 +242,28 @@ class Benchmark:
         self.chain = int(np.unique(slots, return_counts=True)[1].max(initial=0))
 
     def _hits(self, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, run): where the joined words have a run of an item."""
-        runs = grams_of(joined)
-        row = self.slot[(runs >> self.shift).astype(np.int64)]
-        at = np.flatnonzero(row >= 0)
-        row, runs = row[at], runs[at]
-        for _ in range(1, self.chain):
-            other = self.codes[row] != runs
-            if not other.any():
-                break
-            row[other] = np.minimum(row[other] + 1, len(self.codes) - 1)
-        same = self.codes[row] == runs if len(self.codes) else np.zeros(len(row), bool)
-        return at[same], row[same]
-
-    def voted(self, joined: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, low, high): the parts of a text's joined words that enough runs of the item vote for."""
+        """(place, sample) in order of places: where the joined words have a sample of an item."""
+        walks, places, rows = walked(joined), [], []
+        for w in range(REPEATS):
+            start = np.arange(w * STRIDE, len(joined), STRIDE * REPEATS, dtype=np.int32)
+            value, _ = sampled(walks, start, w)
+            row = self.slot[(value >> self.shift).astype(np.int64)]
+            at = np.flatnonzero(row >= 0)
+            row, value = row[at], value[at]
+            for _ in range(1, self.chain):
+                other = self.codes[row] != value
+                if not other.any():
+                    break
+                row[other] = np.minimum(row[other] + 1, len(self.codes) - 1)
+            same = self.codes[row] == value if len(self.codes) else np.zeros(len(row), bool)
+            places.append(start[at[same]])
+            rows.append(row[same])
+        place, row = np.concatenate(places), np.concatenate(rows)
+        order = np.argsort(place, kind="stable")
+        return place[order], row[order]
+
+    def candidates(self, joined: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, low, high): the parts of a text's joined words that collide enough with a window of the item."""
         at, row = self._hits(joined)
         if not len(at):
             return []
@@ -276,7 +295,7 @@ class Benchmark:
             met = row[slice(*np.searchsorted(at, (low, high)))]
             mark[met] = True
             rows, votes = self.own[i]
-            once = float(votes[mark[rows]].sum())  # each run of the item counts once, however often the text repeats it
+            once = float(votes[mark[rows]].sum())  # each sample of the item counts once, however often the text repeats it
             mark[met] = False
             if once < 1:
                 continue
@@ -297,39 +316,6 @@ class Benchmark:
             at = joined.find(own, at + 1)
         return -1
 
-    def places(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """(place, item, offset) wherever the text has a seed."""
-        pairs = pairs_of(words)
-        found = np.flatnonzero(self.bitmap[(pairs & np.uint64(0xFFFFF)).astype(np.int64)])
-        return [(at, i, o) for at, p in zip(found.tolist(), pairs[found].tolist(), strict=True) for i, o in self.seeds.get(p, ())]
-
-    def sampled(self, words: np.ndarray, place: int, item: int, offset: int) -> np.ndarray:
-        """One hash for each repeat: of the steps that it samples from the walks to the right and to the left."""
-        n = len(self.items[item][1])
-        right, left = n - offset, offset + 1
-        out = np.empty(self.repeats, np.uint64)
-        each = -(-self.repeats // WALKS)
-        for w in range(WALKS):
-            whole = np.array(walk(words[place : place + right], 2 * right, 2 * w) + walk(words[max(0, place - offset) : place + 1][::-1], 2 * left, 2 * w + 1), np.uint64)
-            chosen, value = whole[self._picks(w, item, offset, each, len(whole))], np.full(each, _G, np.uint64)
-            for j in range(self.bits):
-                value = mix(value * _G + chosen[:, j])
-            out[w * each : (w + 1) * each] = value[: max(0, self.repeats - w * each)]
-        return out
-
-    def _picks(self, w: int, item: int, offset: int, each: int, steps: int) -> np.ndarray:
-        """The steps that the repeats of one walk sample."""
-        pick = self._drawn.get((w, item, offset))
-        if pick is None:
-            pick = self._drawn[w, item, offset] = np.random.Generator(np.random.PCG64([9, w, item, offset])).integers(0, steps, size=(each, self.bits))
-        return pick
-
-    def candidate(self, words: np.ndarray, place: int, item: int, offset: int) -> bool:
-        own = self._samples.get((item, offset))
-        if own is None:
-            own = self._samples[item, offset] = self.sampled(self.items[item][1], offset, item, offset)
-        return bool((self.sampled(words, place, item, offset) == own).any())
-
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item key, edits, start, end) of each item that the text holds, at its best place."""
         if not text or not self.items:
@@ -339,7 +325,6 @@ class Benchmark:
         if not len(words):
             return []
         best: dict[int, tuple[int, int, int]] = {}
-        tried: set[tuple[int, int]] = set()
 
         def verify(item: int, low: int, high: int) -> None:
             key, own, joined = self.items[item]
@@ -351,19 +336,10 @@ class Benchmark:
             spanned = read.whole if len(own) >= LEAST else read.exact
             best[item] = (edits, *spanned(low + a, low + b))
 
-        for place, item, offset in self.places(words):
-            own = self.items[item][1]
-            slack = int(self.share * len(own)) + 1
-            low, high = max(0, place - offset - slack), min(len(words), place - offset + len(own) + slack)
-            if (item, low) in tried or item in best and best[item][0] == 0:
-                continue
-            if self.candidate(words, place, item, offset):
-                tried.add((item, low))
-                verify(item, int(read.begins[low]), int(read.ends[high - 1]))
         # Stretches overlap by more than any window is long, so each window lies in one of them.
         step, over = max(STRETCH, 4 * self.longest), 2 * self.longest + 64
         for at in range(0, len(read.joined), step):
-            for item, low, high in self.voted(read.joined[at : at + step + over]):
+            for item, low, high in self.candidates(read.joined[at : at + step + over]):
                 verify(item, at + low, at + high)
         if self.plain:
             joined = None
@@ -375,9 +351,6 @@ class Benchmark:
                     best[item] = (0, *spanned(at, at + len(self.plain[item])))
         return [(self.items[i][0], e, s, t) for i, (e, s, t) in sorted(best.items())]
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_samples": {}, "_drawn": {}}
-
 
 def best_place(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """(edits, start, end): the exact least edit distance of the item to a part of the region, and that part."""
@@ -402,7 +375,7 @@ def best_place(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(origin[end]), end
 
 
-def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = SHARE, recall: float = RECALL) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
     """(key, item key, edits, start, end) for each item that a text holds."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -412,7 +385,7 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     block, held, found = [], 0, None
 
     def against(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Benchmark(block, share, recall))
+        shared = spark.sparkContext.broadcast(Benchmark(block, share))
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
