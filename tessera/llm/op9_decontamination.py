@@ -58,7 +58,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches, materialize, row_name, table
-from tessera.llm.op6_ngram_jaccard import BROADCAST_ROWS, hashed_runs, mix
+from tessera.llm.op6_ngram_jaccard import BROADCAST_ROWS, hashed_runs
 
 SHARE, LEAST = 0.2, 4
 BLOCK, BLOCK_CHARS = 20_000, 16 << 20
@@ -91,7 +91,7 @@ def _samples() -> list[list[np.uint32]]:
 
 
 SAMPLES = _samples()
-_MULTIPLIERS = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 63, size=STEPS // PERIOD, dtype=np.uint64) | np.uint64(1)
+_MULTIPLIERS = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 32, size=STEPS // PERIOD, dtype=np.uint32) | np.uint32(1)
 
 
 def walked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,15 +110,20 @@ def walked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sampled(walks: tuple[np.ndarray, np.ndarray], places: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, end) of a sample of the walks from some places."""
+    """(32-bit hash, place of the last period) of a sample of the walks from some places."""
     out, far = walks
-    at, value = places, np.zeros(len(places), np.uint64)
-    for mask, multiplier in zip(SAMPLES[sample], _MULTIPLIERS, strict=True):
-        if mask:
-            value += (out[at] & mask).astype(np.uint64) * multiplier
-            value ^= value >> np.uint64(29)
-        at = at + far[at]
-    return mix(value + np.uint64(sample + 1)), at
+    at, value = places, np.full(len(places), sample + 1, np.uint32)
+    for k, (mask, multiplier) in enumerate(zip(SAMPLES[sample], _MULTIPLIERS, strict=True)):
+        if k:
+            at = at + far[at]
+        own = out[at]
+        own &= mask
+        value ^= own
+        value *= multiplier
+        value ^= value >> np.uint32(15)
+    value *= np.uint32(0x2C1B3C6D)
+    value ^= value >> np.uint32(12)
+    return value * np.uint32(0x297A2D39), at
 
 
 class Words:
@@ -165,15 +170,20 @@ def as_string(codes: np.ndarray) -> str:
     return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def least_edits(item: Sequence[int], region: Sequence[int]) -> int:
-    """The least edit distance of the item to a part of the region, by Myers' bit vectors."""
+def least_edits(item: Sequence[int], region: Sequence[int], most: int | None = None) -> int:
+    """The least edit distance of the item to a part of the region, by Myers' bit vectors; where it is `most` or more, any such number."""
     n = len(item)
     full, top = (1 << n) - 1, 1 << (n - 1)
     masks: dict[int, int] = defaultdict(int)
     for i, c in enumerate(item):
         masks[c] |= 1 << i
     up, down, edits, least = full, 0, n, n
+    most = n + len(region) if most is None else most
+    remaining = len(region)
     for c in region:
+        if edits - remaining >= most:  # a step takes one edit at most
+            break
+        remaining -= 1
         same = masks.get(c, 0)
         level = (((same & up) + up) ^ up) | same | down
         plus, minus = down | (full & ~(level | up)), up & level
@@ -217,13 +227,13 @@ class Benchmark:
 
     def _index(self, long: list[int]) -> None:
         """The samples of all items that have some, in a table by hash, with where each begins and what a collision counts; 1 makes a candidate."""
-        values, offsets, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        values, offsets, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], []
         for i in long:
             joined = self.items[i][2]
             walks, places, own = walked(joined), np.arange(len(joined), dtype=np.int32), 0
             for w in range(REPEATS):
-                value, end = sampled(walks, places, w)
-                inside = np.flatnonzero(end <= len(joined))  # later ones would see what follows the item
+                value, at = sampled(walks, places, w)
+                inside = np.flatnonzero(at + walks[1][at] <= len(joined))  # later ones would see what follows the item
                 values.append(value[inside])
                 offsets.append(inside)
                 own += len(inside)
@@ -245,37 +255,38 @@ class Benchmark:
         # Of each collision: what makes a place of the text the end of a window, and the windows' span.
         self.back, self.step = (self.length[self.owner] - self.offset).astype(np.int32), self.span[self.owner].astype(np.int32)
         # The table: samples are in order, so those of one slot follow each other; a slot has the first of them.
-        self.shift = np.uint64(64 - max(16, (16 * len(self.codes)).bit_length()))
+        self.shift = np.uint32(32 - min(28, max(16, (16 * len(self.codes)).bit_length())))
         slots = (self.codes >> self.shift).astype(np.int64)
-        self.slot = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.slot = np.full(1 << (32 - int(self.shift)), -1, np.int32)
         self.slot[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]
+        self.taken = self.slot >= 0  # small enough to stay near the processor
         self.chain = int(np.unique(slots, return_counts=True)[1].max(initial=0))
 
-    def _hits(self, walks: tuple[np.ndarray, np.ndarray], size: int, turns: range) -> tuple[np.ndarray, np.ndarray]:
-        """(place, sample) in order of places: where a text's walks have a sample of an item. At turn 0 each place has the sample whose turn it is; the others follow."""
-        places, rows, every = [], [], STRIDE * REPEATS
-        for w in range(REPEATS):
-            start = np.concatenate([np.arange((w * STRIDE + turn) % every, size, every, dtype=np.int32) for turn in turns])
+    def _hits(self, walks: tuple[np.ndarray, np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(place, sample) in order of places: where a text's walks from the places of each sample have a sample of an item."""
+        found, rows = [], []
+        for w, start in enumerate(places):
             value, _ = sampled(walks, start, w)
-            row = self.slot[(value >> self.shift).astype(np.int64)]
-            at = np.flatnonzero(row >= 0)
-            row, value = row[at], value[at]
+            slot = value >> self.shift
+            at = np.flatnonzero(self.taken[slot])
+            row, value = self.slot[slot[at]], value[at]
             for _ in range(1, self.chain):
                 other = self.codes[row] != value
                 if not other.any():
                     break
                 row[other] = np.minimum(row[other] + 1, len(self.codes) - 1)
             same = self.codes[row] == value if len(self.codes) else np.zeros(len(row), bool)
-            places.append(start[at[same]])
+            found.append(start[at[same]])
             rows.append(row[same])
-        place, row = np.concatenate(places), np.concatenate(rows)
+        place, row = np.concatenate(found), np.concatenate(rows)
         order = np.argsort(place, kind="stable")
         return place[order], row[order]
 
     def candidates(self, joined: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, low, high): the parts of a text's joined words that collide enough with a window of the item."""
         walks = walked(joined)
-        at, row = self._hits(walks, len(joined), range(1))
+        every = STRIDE * REPEATS
+        at, row = self._hits(walks, [np.arange(w * STRIDE, len(joined), every, dtype=np.int32) for w in range(REPEATS)])
         if not len(at):
             return []
         uses = self.uses[row]
@@ -301,10 +312,17 @@ class Benchmark:
         out: list[tuple[int, int, int]] = []
         mark = np.zeros(len(self.codes), bool)
         agree = AGREE / COLLIDE * STRIDE * REPEATS  # votes count parts of COLLIDE in one turn
-        more, also = self._hits(walks, len(joined), range(1, STRIDE * REPEATS))
-        for i, b in zip(items.tolist(), (enough - base[items]).tolist(), strict=True):
-            n, w = int(self.length[i]), int(self.span[i])
-            low, high = max(0, b * w - n - w), (b + 2) * w + w
+        span = self.span[items]
+        ends = (enough - base[items] + 3) * span
+        begins = np.maximum(0, ends - 4 * span - self.length[items])
+        # Where a window is, the samples whose turn it was not are taken as well.
+        edges = np.zeros(len(joined) + 1, np.int32)
+        np.add.at(edges, np.minimum(begins, len(joined)), 1)
+        np.add.at(edges, np.minimum(ends, len(joined)), -1)
+        near = np.flatnonzero(np.cumsum(edges[:-1]) > 0).astype(np.int32)
+        more, also = self._hits(walks, [near[near % every != w * STRIDE] for w in range(REPEATS)])
+        for i, low, high in zip(items.tolist(), begins.tolist(), ends.tolist(), strict=True):
+            w = int(self.span[i])
             met = np.append(row[slice(*np.searchsorted(at, (low, high)))], also[slice(*np.searchsorted(more, (low, high)))])
             mark[met] = True
             rows, votes = self.own[i]
@@ -342,7 +360,7 @@ class Benchmark:
             key, own, joined = self.items[item]
             limit = best[item][0] if item in best else int(self.share * len(joined)) + 1
             region = read.joined[max(0, low) : high]
-            if not limit or not len(region) or least_edits(joined.tolist(), region.tolist()) >= limit:
+            if not limit or not len(region) or least_edits(joined.tolist(), region.tolist(), limit) >= limit:
                 return
             edits, a, b = best_place(joined, region)
             spanned = read.whole if own >= LEAST else read.exact
