@@ -2,13 +2,18 @@
 
 items: item_id, pred_query, gold_query, pred and gold (struct of status,
 result_type, boolean, bindings), evaluated (was there an endpoint), allowed
-(array of references, or null), placeholder_mode (boolean). Everything that
+(array of references, or null), placeholder_mode (boolean), and in that mode
+pred_placeholder_query and gold_placeholder_query. Everything that
 several metrics need (forms, references, normal texts, answer rows) is a column
-made once; the records are an array, exploded last, so one pass makes them all.
+of a table that is written and read again, as otherwise each record would bring
+its expressions along and the plan grows with their product; so are the overlaps
+made from them. The records are an array, exploded last.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,16 +71,22 @@ def record(metric: str, family: str, value: Column, reason: Column | None = None
     return F.struct(F.lit(metric).alias("metric"), F.lit(family).alias("type"), (why.isNull() & value.isNotNull()).alias("comparable"), number(value).alias("value"), *parts, why.alias("reason"))
 
 
-def metric_long(items: DataFrame, texts: bool = True) -> DataFrame:
+def metric_long(items: DataFrame, texts: bool = True, keep: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
     """(item_id, metric, type, comparable, value, precision, recall, f1, reason), and a label row primary_error_category in `reason`.
 
-    Without `texts` the records of n-grams and of structure are left out, and nothing is computed for them.
+    Without `texts` the records of n-grams and of structure are left out, and nothing is computed for them. `keep` writes a table and reads it again.
     """
     pq, gq, c = text.blank_to_null(F.col("pred_query")), text.blank_to_null(F.col("gold_query")), F.col
-    rows = items.select("item_id", "pred", "gold", "evaluated", "allowed", "placeholder_mode", pq.alias("pq"), gq.alias("gq"))
+    placed = {s: text.blank_to_null(F.col(n)) if n in items.columns else F.lit(None).cast("string") for s, n in (("p", "pred_placeholder_query"), ("g", "gold_placeholder_query"))}
+    rows = items.select("item_id", "pred", "gold", "evaluated", "allowed", "placeholder_mode", pq.alias("pq"), gq.alias("gq"), *[x.alias(f"{s}pq") for s, x in placed.items()])
     rows = rows.withColumns({"pf": text.query_form(c("pq")), "gf": text.query_form(c("gq")), "pk": answer_kind(c("pred")), "gk": answer_kind(c("gold")), "pn": text.comparison_form(c("pq")), "gn": text.comparison_form(c("gq")), "pr": text.references(c("pq")), "gr": text.references(c("gq"))})
     rows = rows.withColumns({f"{s}{k}": f for s, e in (("p", c("pred")), ("g", c("gold"))) for k, f in (("rows", answer_rows(e)), ("values", answer_rows(e, False)), ("cells", answer_cells(e)))})
-    rows = rows.withColumns({"pt": text.tokens(c("pn")), "gt": text.tokens(c("gn")), "pg": text.ngram_tokens(c("pn")), "gg": text.ngram_tokens(c("gn")), "ps": repair.structure(c("pn")), "gs": repair.structure(c("gn")), "ph": text.placeholders(c("pq"))})
+    rows = rows.withColumn("ph", text.placeholders(c("pq")))
+    if texts:
+        rows = rows.withColumns({"pt": text.tokens(c("pn")), "gt": text.tokens(c("gn")), "pg": text.ngram_tokens(c("pn")), "gg": text.ngram_tokens(c("gn")), "ps": repair.structure(c("pn")), "gs": repair.structure(c("gn"))})
+        rows = rows.withColumns({f"{s}pg": text.ngram_tokens(text.comparison_form(c(f"{s}pq"))) for s in "pg"})
+    answers = ("status", "boolean", "bindings")
+    rows = keep(rows.select("*", *[c(f"{s}.{a}").alias(f"{s}_{a}") for s in ("pred", "gold") for a in answers[:2]]).drop("pred", "gold"))
 
     good = lambda form: F.coalesce(form.isin(*text.EXECUTABLE), F.lit(False))
     lost = first_failure([("prediction_query_missing", c("pq").isNull()), ("gold_query_missing", c("gq").isNull())])
@@ -83,50 +94,58 @@ def metric_long(items: DataFrame, texts: bool = True) -> DataFrame:
     unanswered = first_failure([*side(c("pk"), "prediction"), *side(c("gk"), "gold")])
     uncelled = first_failure([("prediction_missing", c("pk") == "missing"), ("gold_missing", c("gk") == "missing"), ("prediction_error", c("pk") == "error"), ("gold_error", c("gk") == "error")])
     mixed, ask = c("pk") != c("gk"), c("pk") == "ask"
-    equal_ask = F.when(c("pred.boolean") == c("gold.boolean"), 1.0).otherwise(0.0)
+    equal_ask = F.when(c("pred_boolean") == c("gold_boolean"), 1.0).otherwise(0.0)
 
     def answer_prf(p: Column, g: Column) -> Column:
         m = scores.set_overlap(p, g)
         return F.struct(*[F.when(mixed, 0.0).when(ask, equal_ask).otherwise(m[k]).alias(k) for k in ("precision", "recall", "f1")])
 
     exact = lambda p, g: F.when(mixed, 0.0).when(ask, equal_ask).otherwise((F.array_sort(p) == F.array_sort(g)).cast("double"))
-    strict, plain, cells = answer_prf(c("prows"), c("grows")), answer_prf(c("pvalues"), c("gvalues")), scores.set_overlap(c("pcells"), c("gcells"))
-    same = exact(c("prows"), c("grows"))
-
-    def refs(name: str, kind: str | None) -> Column:
-        p, g = (c("pr"), c("gr")) if kind is None else (text.references_of(c("pr"), kind), text.references_of(c("gr"), kind))
-        m = scores.set_overlap(p, g)
-        return record(name, "query", m["f1"], lost, m)
+    kinds = {"kg": None, "predicate": "p", "class": "c", "resource": "r"}
+    ref_sets = {k: (c("pr"), c("gr")) if kind is None else (text.references_of(c("pr"), kind), text.references_of(c("gr"), kind)) for k, kind in kinds.items()}
+    made = {"strict": answer_prf(c("prows"), c("grows")), "plain": answer_prf(c("pvalues"), c("gvalues")), "cells": scores.set_overlap(c("pcells"), c("gcells"))}
+    made |= {"same": exact(c("prows"), c("grows")), "same_values": exact(c("pvalues"), c("gvalues"))}
+    made |= {f"{k}_refs": scores.set_overlap(p, g) for k, (p, g) in ref_sets.items()}
+    made["unlisted"] = c("allowed").isNull()
+    made["unknown"] = F.size(F.array_except(c("pr"), F.coalesce(c("allowed"), F.array().cast("array<string>"))))
+    if texts:
+        made |= {"structure": scores.multiset_overlap(c("ps"), c("gs")), "bleu": scores.bleu(c("pt"), c("gt")), "n_tokens": F.size("pt")}
+        for name, p, g in (("query", c("pg"), c("gg")), ("pgmr", c("ppg"), c("gpg"))):
+            made |= {f"{name}_rouge1": scores.rouge_n(p, g, 1), f"{name}_rouge2": scores.rouge_n(p, g, 2), f"{name}_rougeL": scores.rouge_l(p, g)["f1"]}
+    rows = rows.withColumns(made).drop("prows", "grows", "pvalues", "gvalues", "pcells", "gcells", "pr", "gr", "allowed", "ps", "gs", "pt", "gt", "pg", "gg", "ppg", "gpg")
+    rows = keep(rows.withColumns({"lost": lost, "unanswered": unanswered}))
+    lost, unanswered, strict, plain, cells, same = (c(k) for k in ("lost", "unanswered", "strict", "plain", "cells", "same"))
+
+    def refs(name: str, kind: str) -> Column:
+        return record(name, "query", c(f"{kind}_refs.f1"), lost, c(f"{kind}_refs"))
 
-    unknown = F.size(F.array_except(c("pr"), F.coalesce(c("allowed"), F.array().cast("array<string>"))))
     unplaced = first_failure([("not_pgmr_mode", ~c("placeholder_mode")), ("prediction_query_missing", c("pq").isNull())])
-    structure = scores.multiset_overlap(c("ps"), c("gs"))
-    rouge = {"1": scores.rouge_n(c("pg"), c("gg"), 1), "2": scores.rouge_n(c("pg"), c("gg"), 2), "L": scores.rouge_l(c("pg"), c("gg"))["f1"]}
     ladder = first_failure([
         ("extraction_failure", c("pq").isNull()), ("unsupported_query_form", ~good(c("pf"))), ("not_evaluated_no_endpoint", ~c("evaluated")), ("gold_query_missing", c("gf").isNull()), ("gold_query_form_unsupported", ~good(c("gf"))),
-        ("gold_execution_error", c("gold.status") == "error"), ("prediction_execution_error", c("pred.status") == "error"), ("prediction_not_executed", ~c("pred.status").eqNullSafe("ok")), ("gold_not_executed", ~c("gold.status").eqNullSafe("ok")),
+        ("gold_execution_error", c("gold_status") == "error"), ("prediction_execution_error", c("pred_status") == "error"), ("prediction_not_executed", ~c("pred_status").eqNullSafe("ok")), ("gold_not_executed", ~c("gold_status").eqNullSafe("ok")),
         ("answer_mismatch", unanswered.isNull() & (same == 0.0)),
     ])
     no_endpoint = lambda side_, form: first_failure([("no_endpoint_configured", ~c("evaluated")), (f"unsupported_or_missing_{side_}_query", ~good(form))])
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     of_texts = [
-        record("query_bleu", "query", scores.bleu(c("pt"), c("gt")), F.coalesce(lost, first_failure([("too_short", F.size("pt") < 4)]))),
-        *[record(f"query_rouge{k}_f1", "query", v, lost) for k, v in rouge.items()],
-        record("sparql_structure_match", "query", structure["f1"], lost, structure),
+        record("query_bleu", "query", c("bleu"), F.coalesce(lost, first_failure([("too_short", c("n_tokens") < 4)]))),
+        *[record(f"query_rouge{k}_f1", "query", c(f"query_rouge{k}"), lost) for k in "12L"],
+        *[record(f"pgmr_rouge{k}_f1", "pgmr", c(f"pgmr_rouge{k}"), first_failure([("prediction_query_missing", ~c("placeholder_mode") | c("gpq").isNull() | c("ppq").isNull())])) for k in "12L"],
+        record("sparql_structure_match", "query", c("structure.f1"), lost, c("structure")),
     ]
     records = [
         record("query_extracted", "structural", flag(c("pq").isNotNull())),
         record("supported_query_form", "structural", flag(good(c("pf"))), first_failure([("no_extracted_query", c("pq").isNull())])),
         record("query_form_match", "structural", flag(c("pf") == c("gf")), first_failure([("missing_query_form", c("pf").isNull() | c("gf").isNull())])),
-        record("prediction_execution_success", "execution", flag(c("pred.status") == "ok"), no_endpoint("prediction", c("pf"))),
-        record("gold_execution_success", "execution", flag(c("gold.status") == "ok"), no_endpoint("gold", c("gf"))),
+        record("prediction_execution_success", "execution", flag(c("pred_status") == "ok"), no_endpoint("prediction", c("pf"))),
+        record("gold_execution_success", "execution", flag(c("gold_status") == "ok"), no_endpoint("gold", c("gf"))),
         record("answer_exact_match", "answer", same, unanswered),
         record("answer_precision_recall_f1", "answer", strict["f1"], unanswered, strict),
-        record("answer_value_exact_match", "answer", exact(c("pvalues"), c("gvalues")), unanswered),
+        record("answer_value_exact_match", "answer", c("same_values"), unanswered),
         record("answer_value_precision_recall_f1", "answer", plain["f1"], unanswered, plain),
         record("answer_cell_value_precision_recall_f1", "answer", cells["f1"], uncelled, cells),
-        refs("kg_ref_match", None), refs("predicate_ref_match", "p"), refs("class_ref_match", "c"), refs("resource_ref_match", "r"),
-        record("uri_hallucination", "query", flag(unknown > 0), first_failure([("prediction_query_missing", c("pq").isNull()), ("allowed_refs_missing", c("allowed").isNull())])),
+        refs("kg_ref_match", "kg"), refs("predicate_ref_match", "predicate"), refs("class_ref_match", "class"), refs("resource_ref_match", "resource"),
+        record("uri_hallucination", "query", flag(c("unknown") > 0), first_failure([("prediction_query_missing", c("pq").isNull()), ("allowed_refs_missing", c("unlisted"))])),
         record("pgmr_unmapped_placeholders", "pgmr", flag(F.size("ph") > 0), unplaced),
         record("query_normalized_exact_match", "query", flag(c("pn") == c("gn")), lost),
         *(of_texts if texts else []),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import attempts, metrics, review, split, summary
 from tessera.plans.registry import query
+from tessera.sources import io
 
 REVIEWS = "(select o_orderkey, o_custkey, o_orderpriority, case o_orderstatus when 'O' then 'ok' when 'F' then 'error' else 'skipped' end as execution_status, o_custkey % 4 as result_cardinality, case when o_orderkey % 10 = 0 then 'red' end as stored from orders)"
 BUCKET = "case when stored in ('green', 'yellow', 'red') then stored when execution_status = 'error' then 'red' when execution_status = 'ok' and result_cardinality > 0 then 'green' else 'yellow' end"
@@ -345,14 +346,18 @@ def predictions(tables):
     return tables("orders").select(o.alias("item_id"), F.when(c % 10 != 0, written_as(c, c)).alias("pred_query"), written_as(o, o).alias("gold_query"), run(said, c % 4).alias("pred"), run(F.when(o % 13 == 0, "error").otherwise("ok"), o % 4).alias("gold"), F.lit(True).alias("evaluated"), allowed.alias("allowed"), (o % 2 == 1).alias("placeholder_mode"))
 
 
+def kept(df):
+    return io.written(df, "metrics")
+
+
 @query("metric_records", METRIC_SQL)
 def metric_records(tables):
     """The metric catalogue, all records but those of n-grams and of structure, which are in metric_catalogue."""
-    return metrics.metric_long(predictions(tables), texts=False)
+    return metrics.metric_long(predictions(tables), texts=False, keep=kept)
 
 
 @query("metric_catalogue")
 def metric_catalogue(tables):
     """Every record of every item, summed up by metric."""
-    long = metrics.metric_long(predictions(tables))
+    long = metrics.metric_long(predictions(tables), keep=kept)
     return summary.metric_summary(long.where("metric <> 'primary_error_category'"))

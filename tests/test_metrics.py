@@ -26,7 +26,8 @@ def test_records(spark):
     ]
     long = metric_long(spark.createDataFrame(rows, SCHEMA)).cache()
     got = {(r["item_id"], r["metric"]): r for r in long.collect()}
-    assert len(got) == len(rows) * 23
+    assert len(got) == len(rows) * 26
+    assert {got[i, f"pgmr_rouge{k}_f1"]["reason"] for i, *_ in rows for k in "12L"} == {"prediction_query_missing"}
     value = lambda i, m: got[i, m]["value"]
     prf = lambda i, m="answer_precision_recall_f1": tuple(got[i, m][k] for k in ("precision", "recall", "f1"))
     assert value("same", "answer_exact_match") == 1 and prf("same") == (1, 1, 1) and value("same", "query_bleu") == 1 and value("same", "uri_hallucination") == 0
@@ -43,3 +44,13 @@ def test_records(spark):
     means = {r["metric"]: r for r in metric_summary(long.where("metric <> 'primary_error_category'")).collect()}
     assert means["query_extracted"]["success_count"] == 7 and means["query_extracted"]["failure_count"] == 1
     assert all(r["value"] is None or 0 <= r["value"] <= 1 for r in got.values())
+
+
+def test_rouge_of_placeholder_queries(spark):
+    q, p = "SELECT ?x WHERE { ?x orkgp:P1 ?y }", "SELECT ?x WHERE { ?x pgmr:has_part ?y }"
+    rows = [("a", q, q, None, None, True, None, True, p, p), ("b", q, q, None, None, True, None, True, "ASK", p), ("c", q, q, None, None, True, None, False, p, p), ("d", q, q, None, None, True, None, True, p, " "), ("e", q, q, None, None, True, None, True, None, p)]
+    long = metric_long(spark.createDataFrame(rows, SCHEMA + ", pred_placeholder_query string, gold_placeholder_query string"))
+    got = {(r["item_id"], r["metric"]): r for r in long.where("metric like 'pgmr_rouge%'").collect()}
+    assert [got["a", f"pgmr_rouge{k}_f1"]["value"] for k in "12L"] == [1, 1, 1]
+    assert [got["b", f"pgmr_rouge{k}_f1"]["value"] for k in "12L"] == [0, 0, 0]
+    assert all(not got[i, "pgmr_rouge1_f1"]["comparable"] and got[i, "pgmr_rouge1_f1"]["reason"] == "prediction_query_missing" for i in "cde")
