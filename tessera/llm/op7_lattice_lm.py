@@ -5,7 +5,9 @@ trained here) spans a lattice over each word: every way to cut the word into
 pieces is a path, and every path is such a cut. A piece's probability starts
 from its score in the file (see Lattice.from_scores) and is re-estimated on all
 words of the training texts, each as often as it occurs, by `ROUNDS` rounds of
-expectation maximisation over all cuts. A word's probability is the sum over
+expectation maximisation over all cuts, in which the file's probabilities stay
+as a prior: they count as PRIOR times as many uses as the training texts have,
+so the file's scores keep their weight however large the corpus is. A word's probability is the sum over
 all its cuts, by the forward recursion in log space; a text's is the product
 over its words and one end piece. No piece joins two words, so that is the sum
 over all segmentations of the whole text. Characters without a piece are
@@ -43,8 +45,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches, fold, materialize, table
 
-#: Rounds of expectation maximisation, and what each piece's count gets added.
-ROUNDS, ADDED = 2, 0.05
+#: Rounds of expectation maximisation, what each piece's count gets added, and the uses that the file's scores stand for, for each use in training.
+ROUNDS, ADDED, PRIOR = 2, 0.05, 0.5
 #: Bytes of text and distinct words that close a block; letters from which a word is read alone; words read side by side.
 BLOCK_BYTES, BLOCK_WORDS, LONG, TOGETHER = 32 << 20, 2_000_000, 48, 20_000
 _START = "▁"
@@ -403,6 +405,7 @@ def train(words: DataFrame, documents: int, vocabulary: str, rounds: int = ROUND
     """Re-estimate the pieces on (word, c): the training words with their counts. A training text ends once."""
     pieces, scores, end = load_vocabulary(vocabulary)
     model = Lattice.from_scores(pieces, scores, end)
+    told = np.exp(model.weights)
     spark = words.sparkSession
     for _ in range(rounds if documents else 0):
         shared = spark.sparkContext.broadcast(model)
@@ -419,6 +422,7 @@ def train(words: DataFrame, documents: int, vocabulary: str, rounds: int = ROUND
         for r in used.collect():  # pieces of the fixed vocabulary at most
             counts[r["piece"]] += r["n"]
         counts[pieces.index(end)] += documents
+        counts += PRIOR * counts.sum() * told
         model = Lattice(pieces, np.log(counts / counts.sum()).tolist(), end)
         shared.unpersist()
     return model

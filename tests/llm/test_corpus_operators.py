@@ -78,6 +78,7 @@ def test_score_is_the_sum_over_all_cuts(spark):
     train = Counter(w.decode() for k, t in rows if k not in held for w in op7.words_of(t))
     cuts = {w: list(all_cuts(w, p)) for w in {w.decode() for _, t in rows for w in op7.words_of(t)}}
     weigh = lambda cut: math.prod(p[x] for x in cut)
+    told = dict(p)
     for _ in range(op7.ROUNDS):
         uses = dict.fromkeys(pieces, op7.ADDED)
         uses[end] += len(rows) - len(held)
@@ -86,6 +87,8 @@ def test_score_is_the_sum_over_all_cuts(spark):
             for cut in cuts[w]:
                 for x in cut:
                     uses[x] += c * weigh(cut) / whole
+        counted = sum(uses.values())
+        uses = {k: u + op7.PRIOR * counted * told[k] for k, u in uses.items()}
         total = sum(uses.values())
         p = {k: u / total for k, u in uses.items()}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -95,6 +98,23 @@ def test_score_is_the_sum_over_all_cuts(spark):
         assert abs(got[k] - want) < 1e-9, k
 
 
+def test_the_scores_of_the_file_keep_their_weight(spark, monkeypatch):
+    """With the file's scores dealt out anew, held-out texts score otherwise, however often the training text is repeated."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    mean = lambda df: df.where("held_out").agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+    load, again = op7.load_vocabulary, docs.where(~held).crossJoin(spark.range(4)).select("doc_id", "text").unionByName(docs.where(held))
+    own = [mean(op7.score_documents(d, held)) for d in (docs, again)]
+
+    def dealt(path):
+        pieces, scores, end = load(path)
+        return pieces, random.Random(1).sample(scores, len(scores)), end
+
+    monkeypatch.setattr(op7, "load_vocabulary", dealt)
+    other = [mean(op7.score_documents(d, held)) for d in (docs, again)]
+    assert all(a - b > 0.02 for a, b in zip(own, other, strict=True)), (own, other)
+
+
 @pytest.mark.parametrize("block_bytes", [op7.BLOCK_BYTES, 2000])
 def test_scores_by_brute_force(spark, block_bytes):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
