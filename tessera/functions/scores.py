@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -117,21 +119,36 @@ def rule_score(question: Column, plan: Column, words: Column, helpful: Column, h
     return shared + 0.5 * F.least(helpful, F.lit(5)) - F.least(harmful, F.lit(5)) + F.when(concrete, 1.0).otherwise(0.0)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value made once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def decimal_form(value: Column) -> Column:
     """A decimal numeral of any length in one spelling, by string surgery; other texts as they are.
 
     Signs, leading and trailing zeros and exponents go; -0 is 0.
     """
-    text = F.trim(value)
     pattern = r"^([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d{1,3}))?$"
-    sign, whole, part = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
-    exponent = F.coalesce(F.try_to_number(F.regexp_extract(text, pattern, 4), F.lit("S999")), F.lit(0)).cast("int")
-    digits = F.concat(whole, part)
-    point = F.length(whole) + exponent
-    padded = F.concat(F.repeat(F.lit("0"), F.greatest(-point, F.lit(0))), digits, F.repeat(F.lit("0"), F.greatest(point - F.length(digits), F.lit(0))))
-    at = F.greatest(point, F.lit(0))
-    left = F.regexp_replace(F.substring(padded, F.lit(1), at), r"^0+", "")
-    right = F.regexp_replace(F.substring(padded, at + 1, F.length(padded)), r"0+$", "")
-    body = F.concat(F.when(left == "", "0").otherwise(left), F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
-    number = F.when((sign == "-") & (body != "0"), F.concat(F.lit("-"), body)).otherwise(body)
-    return F.when(text.rlike(pattern) & (F.length(digits) > 0), number).otherwise(value)
+
+    def read(text: Column) -> Column:
+        sign, whole, part = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
+        exponent = F.coalesce(F.try_to_number(F.regexp_extract(text, pattern, 4), F.lit("S999")), F.lit(0)).cast("int")
+        return F.struct(text.alias("text"), sign.alias("sign"), F.concat(whole, part).alias("digits"), (F.length(whole) + exponent).alias("point"))
+
+    def placed(r: Column) -> Column:
+        zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+        padded = F.concat(zeros(-r["point"]), r["digits"], zeros(r["point"] - F.length(r["digits"])))
+        return F.struct(r["text"].alias("text"), r["sign"].alias("sign"), r["digits"].alias("digits"), padded.alias("padded"), F.greatest(r["point"], F.lit(0)).alias("at"))
+
+    def sides(r: Column) -> Column:
+        left = F.regexp_replace(F.substring(r["padded"], F.lit(1), r["at"]), r"^0+", "")
+        right = F.regexp_replace(F.substring(r["padded"], r["at"] + 1, F.length(r["padded"])), r"0+$", "")
+        body = F.concat(F.when(left == "", "0").otherwise(left), F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
+        return F.struct(r["text"].alias("text"), r["sign"].alias("sign"), r["digits"].alias("digits"), body.alias("body"))
+
+    def spelled(r: Column) -> Column:
+        number = F.when((r["sign"] == "-") & (r["body"] != "0"), F.concat(F.lit("-"), r["body"])).otherwise(r["body"])
+        return F.when(r["text"].rlike(pattern) & (F.length(r["digits"]) > 0), number)
+
+    return F.coalesce(let(let(let(let(F.trim(value), read), placed), sides), spelled), value)

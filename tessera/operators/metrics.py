@@ -30,18 +30,22 @@ def strict_term(t: Column) -> list[Column]:
     """Type, value, datatype and language; numeric literals in one spelling, as decimals."""
     kind, value, datatype = (F.coalesce(t[f], F.lit("")) for f in ("type", "value", "datatype"))
     numeric = (kind == "literal") & datatype.isin(*NUMERIC) & value.rlike(NUMBER)
-    return [kind, F.when(numeric, scores.decimal_form(value)).otherwise(value), F.when(numeric, XSD + "decimal").otherwise(datatype), F.coalesce(t["lang"], F.lit(""))]
+    return [kind, F.when(numeric, scores.let(value, scores.decimal_form)).otherwise(value), F.when(numeric, XSD + "decimal").otherwise(datatype), F.coalesce(t["lang"], F.lit(""))]
 
 
 def cell_term(t: Column) -> Column:
     """One text for a cell: datatype kept, booleans and numbers spelled alike, case of datatype and language ignored."""
     kind, value, datatype, lang = (F.trim(F.coalesce(t[f], F.lit(""))) for f in ("type", "value", "datatype", "lang"))
+
+    def spelled(c: Column) -> Column:
+        truth, number = F.lower(c["value"]), c["name"].isin("integer", "decimal", "double", "float", "int", "long", "short", "byte")
+        said = F.when(truth.isin("1", "true"), "true").when(truth.isin("0", "false"), "false").otherwise(truth)
+        own = F.when(c["name"] == "boolean", said).when(number, scores.let(c["value"], scores.decimal_form)).otherwise(c["value"])
+        quoted = lambda v: F.when(c["type"] == "uri", v).otherwise(F.concat(F.lit('"'), v, F.lit('"'), F.when(c["datatype"] != "", F.concat(F.lit("^^"), c["datatype"])).when(c["lang"] != "", F.concat(F.lit("@"), c["lang"])).otherwise("")))
+        return scores.let(own, quoted)
+
     low = F.lower(datatype)
-    name = F.regexp_extract(low, r"[#:/]([a-z]+)$", 1)
-    truth = F.lower(value)
-    value = F.when(name == "boolean", F.when(truth.isin("1", "true"), "true").when(truth.isin("0", "false"), "false").otherwise(truth)).when(name.isin("integer", "decimal", "double", "float", "int", "long", "short", "byte"), scores.decimal_form(value)).otherwise(value)
-    quoted = F.concat(F.lit('"'), value, F.lit('"'))
-    return F.when(F.lower(kind) == "uri", value).when(low != "", F.concat(quoted, F.lit("^^"), low)).when(lang != "", F.concat(quoted, F.lit("@"), F.lower(lang))).otherwise(quoted)
+    return scores.let(F.struct(F.lower(kind).alias("type"), value.alias("value"), low.alias("datatype"), F.lower(lang).alias("lang"), F.regexp_extract(low, r"[#:/]([a-z]+)$", 1).alias("name")), spelled)
 
 
 def answer_rows(execution: Column, names: bool = True) -> Column:
