@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 _BLANK = re.compile(r"[ \t\n\r]*+")
 _SCALAR = re.compile(r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null')
 _CLOSES = {"[": "]", "{": "}"}
+# What stands for a large answer that is left out, and what a cut text ends with.
 OMITTED = '"[omitted large endpoint response for ACE]"'
 NOTE = "\n...[truncated for ACE]..."
 

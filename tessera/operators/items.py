@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.nested import nested_fields
 from tessera.functions.prompts import cut
 
-#: Where each getter looks, in order, and what it gives where all are empty.
+# Where each getter looks, in order, and what it gives where all are empty.
 GETTERS = {
     "family": ((("family",), ("entry_metadata", "family"), ("metadata", "family")), "unknown_family"),
     "prompt_mode": ((("prompt_mode",), ("entry_metadata", "prompt_mode")), "unknown_prompt_mode"),
@@ -18,7 +18,7 @@ GETTERS = {
     "primary_error": ((("main_issue",), ("validation", "primary_error_category"), ("diagnostic_hint",)), "unknown_issue"),
 }
 GOLD = ("gold_pgmr_sparql", "gold_target_query", "gold_query", "gold_sparql")
-#: Texts that stand for a truth value.
+# Texts that stand for a truth value.
 TRUE, FALSE = ("true", "1", "yes", "ok", "success"), ("false", "0", "no", "error", "failed")
 
 
