@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.nested import events
+from tessera.operators.placeholders import bounded
 from tessera.operators.rules import render_line
 
+#: Rows that a task of a product writes, about.
+ROWS_OF_A_TASK = 1_000_000
+
 _PLACEHOLDER = re.compile(r"\bpgmrc?:[A-Za-z_][A-Za-z0-9_]*")
 _IDENTIFIER = re.compile(r"\borkg[prc]:[A-Za-z0-9_]+")
 
@@ -148,10 +152,52 @@ def class_paths(properties: DataFrame, order: str) -> DataFrame:
     return found.select("template", "path", F.size("path").alias("depth"))
 
 
-def class_lines(paths: DataFrame) -> DataFrame:
-    """(template, place, line): a template's properties in order, each below the one that leads to it and indented by its depth."""
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.lit("- "), F.element_at("path", -1)["property"])
-    return paths.select("template", F.row_number().over(Window.partitionBy("template").orderBy("path")).alias("place"), line.alias("line"))
+def class_lines(properties: DataFrame, order: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+    """(template, place, line): a template's properties in order, each followed by those of the template that it leads to, indented by their depth.
+
+    The same rows as of class_paths(), numbered without building or sorting
+    the paths: what is below a property depends on the templates walked so far
+    alone. So each walk over templates is sized once, from its end; a
+    property's place in its template is a running sum of these sizes, and its
+    place below a path the path's place plus that. A template's properties of
+    one walk are ordered at once; their product with all that leads to them is
+    a join that any number of tasks share. Orders are unique in a template.
+    """
+    own = keep(properties.select("template", F.col(order).alias("_order"), "property", "target"))
+    widths = keep(own.groupBy("template").agg(F.count(F.lit(1)).alias("width")))
+    edges = own.where(F.col("target").isNotNull()).groupBy("template", "target").agg(F.count(F.lit(1)).alias("n"))
+    edges = keep(edges.join(widths.select(F.col("template").alias("target"), "width"), "target").select(F.col("template").alias("last"), "target", "n", "width"))
+    walks = [keep(widths.select(F.array("template").alias("walk"), F.col("template").alias("last"), F.lit(1).cast("long").alias("n"), "width"))]
+    while not walks[-1].isEmpty():
+        into = walks[-1].select("walk", "last").join(edges, "last").where(~F.array_contains("walk", F.col("target")))
+        walks.append(keep(into.select(F.array_append("walk", F.col("target")).alias("walk"), F.col("target").alias("last"), "n", "width")))
+    placed, below = [], None  # from the longest walks on
+    for depth in range(len(walks) - 1, 0, -1):
+        level = walks[depth - 1]
+        held = level.select("walk", "last").join(own.withColumnRenamed("template", "last"), "last")
+        if below is None:
+            held, sizes = held.withColumn("under", F.lit(0).cast("long")), level.withColumn("size", F.col("width"))
+        else:
+            parts = below.select(F.slice("walk", 1, depth).alias("walk"), F.col("last").alias("target"), F.col("size").alias("under"), (F.col("n") * F.col("size")).alias("all"))
+            held = held.join(parts.select("walk", "target", "under"), ["walk", "target"], "left").withColumn("under", F.coalesce("under", F.lit(0).cast("long")))
+            sizes = level.join(parts.groupBy("walk").agg(F.sum("all").alias("all")), "walk", "left").withColumn("size", F.col("width") + F.coalesce("all", F.lit(0).cast("long"))).drop("all")
+        running = Window.partitionBy("walk").orderBy("_order", "property").rowsBetween(Window.unboundedPreceding, 0)
+        line = F.concat(F.repeat(F.lit("  "), F.lit(depth - 1)), F.lit("- "), F.col("property"))
+        place = F.sum(F.col("under") + 1).over(running) - F.col("under")
+        placed.append(keep(held.select("walk", place.alias("place"), line.alias("line"), F.when(F.col("under") > 0, F.array_append("walk", F.col("target"))).alias("next"))))
+        below = keep(sizes.select("walk", "last", "n", "size"))
+    if not placed:
+        return own.select("template", F.lit(0).cast("long").alias("place"), F.lit("").alias("line")).where(F.lit(False))
+    placed.reverse()
+    rows = placed[0].select(F.element_at("walk", 1).alias("template"), "place", "line", "next")
+    found = rows.drop("next")
+    for depth, level in enumerate(placed[1:], 2):
+        lead = rows.where(F.col("next").isNotNull()).select("template", F.col("place").alias("_at"), F.col("next").alias("walk"))
+        many = lead.join(walks[depth - 1].select("walk", "width"), "walk").agg(F.sum("width").alias("n")).first()["n"] or 0
+        lead = lead.repartition(max(1, -(-many // ROWS_OF_A_TASK)), "template", "_at")
+        rows = lead.join(bounded(level), "walk").select("template", (F.col("_at") + F.col("place")).alias("place"), "line", "next")
+        found = found.unionByName(rows.drop("next"))
+    return found
 
 
 def price(prompt: Column, completion: Column, model: Column, prices: Mapping[str, tuple[float, float]]) -> Column:

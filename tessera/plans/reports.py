@@ -112,7 +112,7 @@ def class_lines(tables):
     """Every template with what is below it, to any depth; templates may lead back to themselves."""
     k = F.col("p_partkey")
     properties = tables("part").select((k % 300).alias("template"), k.alias("order"), F.concat_ws(" ", "p_name", k).alias("property"), F.when(k % 10 == 0, (k * 7 + 1) % 300).alias("target"))
-    return reports.class_lines(reports.class_paths(properties, "order")).withColumn("place", F.col("place").cast("long"))
+    return reports.class_lines(properties, "order")
 
 
 @query("call_prices", "select event_id, case event_type when 'click' then round_even((event_id * 2.0 + user_id * 8.0) / 1e6, 8) when 'error' then round_even((event_id * 0.5 + user_id * 1.0) / 1e6, 8) end as dollars from events")
