@@ -7,19 +7,25 @@ pred_placeholder_query and gold_placeholder_query. Everything that
 several metrics need (forms, references, normal texts, answer rows) is a column
 of a table that is written and read again, as otherwise each record would bring
 its expressions along and the plan grows with their product; so are the overlaps
-made from them. The records are an array, exploded last.
+made from them. What comes from texts alone is made once for every different
+set of texts and joined to the items. The records are an array, exploded last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import repair, scores, text
+from tessera.operators.placeholders import bounded
 from tessera.operators.rules import first_failure
 
+#: Different texts up to which their scores are broadcast, and tasks for each core that score them.
+BROADCAST_TEXTS, SPREAD = 20_000, 2
+
 XSD = "http://www.w3.org/2001/XMLSchema#"
 # The datatypes whose values are compared as numbers.
 NUMERIC = tuple(XSD + n for n in ("byte", "decimal", "double", "float", "int", "integer", "long", "negativeInteger", "nonNegativeInteger", "nonPositiveInteger", "positiveInteger", "short", "unsignedByte", "unsignedInt", "unsignedLong", "unsignedShort"))
@@ -75,6 +81,27 @@ def record(metric: str, family: str, value: Column, reason: Column | None = None
     return F.struct(F.lit(metric).alias("metric"), F.lit(family).alias("type"), (why.isNull() & value.isNotNull()).alias("comparable"), number(value).alias("value"), *parts, why.alias("reason"))
 
 
+def _scored_texts(texts_of: DataFrame, texts: bool, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the texts of an item give by themselves, once for every different (pq, gq, ppq, gpq), however many items have them."""
+    c = F.col
+    tasks = SPREAD * texts_of.sparkSession.sparkContext.defaultParallelism
+    pairs = texts_of.distinct().repartition(tasks, *texts_of.columns)  # texts are short and dear to score, so their size doesn't tell how many tasks they need
+    pairs = pairs.withColumns({"pf": text.query_form(c("pq")), "gf": text.query_form(c("gq")), "pn": text.comparison_form(c("pq")), "gn": text.comparison_form(c("gq")), "pr": text.references(c("pq")), "gr": text.references(c("gq")), "unplaced": F.size(text.placeholders(c("pq")))})
+    if texts:
+        pairs = pairs.withColumns({"pt": text.tokens(c("pn")), "gt": text.tokens(c("gn")), "pg": text.ngram_tokens(c("pn")), "gg": text.ngram_tokens(c("gn")), "ps": repair.structure(c("pn")), "gs": repair.structure(c("gn"))})
+        pairs = pairs.withColumns({f"{s}pg": text.ngram_tokens(text.comparison_form(c(f"{s}pq"))) for s in "pg"})
+    pairs = keep(pairs)
+    kinds = {"kg": None, "predicate": "p", "class": "c", "resource": "r"}
+    ref_sets = {k: (c("pr"), c("gr")) if kind is None else (text.references_of(c("pr"), kind), text.references_of(c("gr"), kind)) for k, kind in kinds.items()}
+    made = {f"{k}_refs": scores.set_overlap(p, g) for k, (p, g) in ref_sets.items()}
+    made["alike"] = c("pn") == c("gn")
+    if texts:
+        made |= {"structure": scores.multiset_overlap(c("ps"), c("gs")), "bleu": scores.bleu(c("pt"), c("gt")), "n_tokens": F.size("pt")}
+        for name, p, g in (("query", c("pg"), c("gg")), ("pgmr", c("ppg"), c("gpg"))):
+            made |= {f"{name}_rouge1": scores.rouge_n(p, g, 1), f"{name}_rouge2": scores.rouge_n(p, g, 2), f"{name}_rougeL": scores.rouge_l(p, g)["f1"]}
+    return keep(pairs.withColumns(made).drop("pn", "gn", "gr", "ps", "gs", "pt", "gt", "pg", "gg", "ppg", "gpg"))
+
+
 def metric_long(items: DataFrame, texts: bool = True, keep: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
     """(item_id, metric, type, comparable, value, precision, recall, f1, reason), and a label row primary_error_category in `reason`.
 
@@ -82,15 +109,12 @@ def metric_long(items: DataFrame, texts: bool = True, keep: Callable[[DataFrame]
     """
     pq, gq, c = text.blank_to_null(F.col("pred_query")), text.blank_to_null(F.col("gold_query")), F.col
     placed = {s: text.blank_to_null(F.col(n)) if n in items.columns else F.lit(None).cast("string") for s, n in (("p", "pred_placeholder_query"), ("g", "gold_placeholder_query"))}
+    own = ["pq", "gq", "ppq", "gpq"]
     rows = items.select("item_id", "pred", "gold", "evaluated", "allowed", "placeholder_mode", pq.alias("pq"), gq.alias("gq"), *[x.alias(f"{s}pq") for s, x in placed.items()])
-    rows = rows.withColumns({"pf": text.query_form(c("pq")), "gf": text.query_form(c("gq")), "pk": answer_kind(c("pred")), "gk": answer_kind(c("gold")), "pn": text.comparison_form(c("pq")), "gn": text.comparison_form(c("gq")), "pr": text.references(c("pq")), "gr": text.references(c("gq"))})
+    pairs = _scored_texts(rows.select(*own), texts, keep)
+    rows = rows.withColumns({"pk": answer_kind(c("pred")), "gk": answer_kind(c("gold"))})
     rows = rows.withColumns({f"{s}{k}": f for s, e in (("p", c("pred")), ("g", c("gold"))) for k, f in (("rows", answer_rows(e)), ("values", answer_rows(e, False)), ("cells", answer_cells(e)))})
-    rows = rows.withColumn("ph", text.placeholders(c("pq")))
-    if texts:
-        rows = rows.withColumns({"pt": text.tokens(c("pn")), "gt": text.tokens(c("gn")), "pg": text.ngram_tokens(c("pn")), "gg": text.ngram_tokens(c("gn")), "ps": repair.structure(c("pn")), "gs": repair.structure(c("gn"))})
-        rows = rows.withColumns({f"{s}pg": text.ngram_tokens(text.comparison_form(c(f"{s}pq"))) for s in "pg"})
-    answers = ("status", "boolean", "bindings")
-    rows = keep(rows.select("*", *[c(f"{s}.{a}").alias(f"{s}_{a}") for s in ("pred", "gold") for a in answers[:2]]).drop("pred", "gold"))
+    rows = keep(rows.select("*", *[c(f"{s}.{a}").alias(f"{s}_{a}") for s in ("pred", "gold") for a in ("status", "boolean")]).drop("pred", "gold"))
 
     good = lambda form: F.coalesce(form.isin(*text.EXECUTABLE), F.lit(False))
     lost = first_failure([("prediction_query_missing", c("pq").isNull()), ("gold_query_missing", c("gq").isNull())])
@@ -105,18 +129,13 @@ def metric_long(items: DataFrame, texts: bool = True, keep: Callable[[DataFrame]
         return F.struct(*[F.when(mixed, 0.0).when(ask, equal_ask).otherwise(m[k]).alias(k) for k in ("precision", "recall", "f1")])
 
     exact = lambda p, g: F.when(mixed, 0.0).when(ask, equal_ask).otherwise((F.array_sort(p) == F.array_sort(g)).cast("double"))
-    kinds = {"kg": None, "predicate": "p", "class": "c", "resource": "r"}
-    ref_sets = {k: (c("pr"), c("gr")) if kind is None else (text.references_of(c("pr"), kind), text.references_of(c("gr"), kind)) for k, kind in kinds.items()}
     made = {"strict": answer_prf(c("prows"), c("grows")), "plain": answer_prf(c("pvalues"), c("gvalues")), "cells": scores.set_overlap(c("pcells"), c("gcells"))}
     made |= {"same": exact(c("prows"), c("grows")), "same_values": exact(c("pvalues"), c("gvalues"))}
-    made |= {f"{k}_refs": scores.set_overlap(p, g) for k, (p, g) in ref_sets.items()}
     made["unlisted"] = c("allowed").isNull()
-    made["unknown"] = F.size(F.array_except(c("pr"), F.coalesce(c("allowed"), F.array().cast("array<string>"))))
-    if texts:
-        made |= {"structure": scores.multiset_overlap(c("ps"), c("gs")), "bleu": scores.bleu(c("pt"), c("gt")), "n_tokens": F.size("pt")}
-        for name, p, g in (("query", c("pg"), c("gg")), ("pgmr", c("ppg"), c("gpg"))):
-            made |= {f"{name}_rouge1": scores.rouge_n(p, g, 1), f"{name}_rouge2": scores.rouge_n(p, g, 2), f"{name}_rougeL": scores.rouge_l(p, g)["f1"]}
-    rows = rows.withColumns(made).drop("prows", "grows", "pvalues", "gvalues", "pcells", "gcells", "pr", "gr", "allowed", "ps", "gs", "pt", "gt", "pg", "gg", "ppg", "gpg")
+    rows = rows.withColumns(made).drop("prows", "grows", "pvalues", "gvalues", "pcells", "gcells")
+    same_texts = reduce(lambda a, b: a & b, [c(n).eqNullSafe(c(f"_{n}")) for n in own])
+    rows = rows.join(bounded(pairs.withColumnsRenamed({n: f"_{n}" for n in own}), BROADCAST_TEXTS), same_texts).drop(*[f"_{n}" for n in own])
+    rows = rows.withColumn("unknown", F.size(F.array_except(c("pr"), F.coalesce(c("allowed"), F.array().cast("array<string>"))))).drop("pr", "allowed")
     rows = keep(rows.withColumns({"lost": lost, "unanswered": unanswered}))
     lost, unanswered, strict, plain, cells, same = (c(k) for k in ("lost", "unanswered", "strict", "plain", "cells", "same"))
 
@@ -150,8 +169,8 @@ def metric_long(items: DataFrame, texts: bool = True, keep: Callable[[DataFrame]
         record("answer_cell_value_precision_recall_f1", "answer", cells["f1"], uncelled, cells),
         refs("kg_ref_match", "kg"), refs("predicate_ref_match", "predicate"), refs("class_ref_match", "class"), refs("resource_ref_match", "resource"),
         record("uri_hallucination", "query", flag(c("unknown") > 0), first_failure([("prediction_query_missing", c("pq").isNull()), ("allowed_refs_missing", c("unlisted"))])),
-        record("pgmr_unmapped_placeholders", "pgmr", flag(F.size("ph") > 0), unplaced),
-        record("query_normalized_exact_match", "query", flag(c("pn") == c("gn")), lost),
+        record("pgmr_unmapped_placeholders", "pgmr", flag(c("unplaced") > 0), unplaced),
+        record("query_normalized_exact_match", "query", flag(c("alike")), lost),
         *(of_texts if texts else []),
         F.struct(F.lit("primary_error_category").alias("metric"), F.lit("label").alias("type"), F.lit(False).alias("comparable"), *[F.lit(None).cast("double").alias(k) for k in ("value", "precision", "recall", "f1")], F.coalesce(ladder, F.lit("success")).alias("reason")),
     ]
