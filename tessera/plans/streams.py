@@ -57,13 +57,27 @@ def before_and_after(tables):
 ARRIVED = "floor((day(arrived_at) - 1) / 11) + 3 * month(arrived_at) + case when ts + interval 1 hour <= arrived_at then 3 else 0 end"
 
 
+#: Files of a batch, so that as many tasks write and read it.
+FILES = 8
+
+
 def in_batches(tables, table, columns):
-    """A table as a stream of a batch for every third of a month that rows come in, in order."""
-    path = io.scratch(tables.spark)
+    """A table as a stream of a batch for every third of a month that rows come in, in order.
+
+    A batch is FILES files, each with an empty row, so that there are never
+    fewer; a trigger takes as many. The table is read once.
+    """
+    path, spark = io.scratch(tables.spark), tables.spark
     rows = tables(table).select(*columns, F.expr(ARRIVED).cast("int").alias("_batch")).where("_batch is not null")
-    for number in sorted(r["_batch"] for r in rows.select("_batch").distinct().collect()):  # some fifteen thirds of months
-        rows.where(F.col("_batch") == number).drop("_batch").coalesce(1).write.mode("append").parquet(path)
-    return lambda: tables.spark.readStream.schema(rows.drop("_batch").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    dealt = rows.select("*", F.lit(True).alias("_row"), F.pmod(F.monotonically_increasing_id(), F.lit(FILES)).cast("int").alias("_file"))
+    staged = f"{io.scratch(spark)}/staged"
+    dealt.write.partitionBy("_batch").parquet(staged)
+    dealt, empty = spark.read.schema(dealt.schema).parquet(staged), spark.range(FILES).select(F.col("id").cast("int").alias("_file"))
+    for number in sorted(r["_batch"] for r in dealt.select("_batch").distinct().collect()):  # some fifteen thirds of months
+        batch = dealt.where(F.col("_batch") == number).drop("_batch").unionByName(empty, allowMissingColumns=True)
+        batch.repartitionById(FILES, F.col("_file")).drop("_file").write.mode("append").parquet(path)
+    kept = dealt.drop("_batch", "_file").schema
+    return lambda: spark.readStream.schema(kept).option("maxFilesPerTrigger", FILES).parquet(path).where("_row").drop("_row")
 
 
 @query(
@@ -83,7 +97,7 @@ def stream_interval_join(tables):
     sink = BatchSink(io.scratch(tables.spark))
     run = joined.writeStream.foreachBatch(sink).option("checkpointLocation", io.scratch(tables.spark)).trigger(availableNow=True).start()
     run.awaitTermination()
-    return sink.read(tables.spark).select("view_id", "purchase_id").withColumn("dropped", F.lit(dropped_rows(run)).cast("long"))
+    return sink.read(tables.spark).select("view_id", "purchase_id").withColumn("dropped", F.lit(dropped_rows(run, 2)).cast("long"))
 
 
 @query("stream_sink_once", f"select click_id, dense_rank() over (order by {ARRIVED}) - 1 as batch from clicks where arrived_at is not null")
