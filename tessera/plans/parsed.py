@@ -181,10 +181,13 @@ def streamed(tables, table, columns):
 
 
 def drained(stream, mode, spark):
-    """What a stream gives until its input ends, by way of a table of small results."""
-    name = "drained_" + io.scratch(spark)[-32:]
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", io.scratch(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """What a stream gives until its input ends, by way of a folder: all batches' rows, or in complete mode the last one's."""
+    sink = replay.BatchSink(io.scratch(spark))
+    stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", io.scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    out = sink.read(spark)
+    if mode == "complete":
+        out = out.where(F.col("batch") == spark.read.parquet(sink.manifest).agg(F.max("batch")).first()[0])
+    return out.drop("batch")
 
 
 @query("stream_windows", "select strftime(time_bucket(interval 1 day, ts), '%Y-%m-%d') as day, event_type, count(*) as n from events group by all")
