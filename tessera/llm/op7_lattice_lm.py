@@ -8,7 +8,8 @@ words of the training texts, each as often as it occurs, by `ROUNDS` rounds of
 expectation maximisation over all cuts, in which the file's probabilities stay
 as a prior: they count as PRIOR times as many uses as the training texts have,
 so the file's scores keep their weight however large the corpus is. A word's probability is the sum over
-all its cuts, by the forward recursion in log space; a text's is the product
+all its cuts, by the forward recursion, in plain products where they stay in range
+and in log space elsewhere; a text's is the product
 over its words and one end piece. No piece joins two words, so that is the sum
 over all segmentations of the whole text. Characters without a piece are
 spelled in byte pieces.
@@ -35,7 +36,7 @@ table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,10 @@ from tessera.llm.common import bound_batches, fold, materialize, table
 ROUNDS, ADDED, PRIOR = 2, 0.05, 0.5
 #: Bytes of text and distinct words that close a block; letters from which a word is read alone; words read side by side.
 BLOCK_BYTES, BLOCK_WORDS, LONG, TOGETHER = 32 << 20, 2_000_000, 48, 20_000
+#: Words, and their bytes, that a task reads at once.
+GATHERED, GATHERED_BYTES = 50_000, 8 << 20
+#: The least probability of a word that is a sum of plain products; what such products lose below 1e-308 is nothing beside it.
+SMALLEST = 1e-250
 _START = "▁"
 _G = 0x9E3779B97F4A7C15
 
@@ -117,10 +122,10 @@ class Lattice:
     def __init__(self, pieces: list[str], log_p: list[float], end: str):
         self.pieces, self.weights, self.end = pieces, np.array(log_p, np.float64), end
         self.log_p, self.number = dict(zip(pieces, log_p, strict=True)), {p: i for i, p in enumerate(pieces)}
-        self._root, self._table = None, None
+        self._root, self._table, self._chances = None, None, None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_root": None, "_table": None}
+        return self.__dict__ | {"_root": None, "_table": None, "_chances": None}
 
     @classmethod
     def from_scores(cls, pieces: list[str], scores: list[float], end: str) -> Lattice:
@@ -288,6 +293,42 @@ class Lattice:
             a[j] = top + np.log(np.exp(terms - top).sum(axis=0))
         return a
 
+    def _products(self, piece: np.ndarray, alone: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """The probability of the piece that starts at each place with each length, 0 where there is none."""
+        p = self.chances[piece]
+        if alone.any():
+            p[:, 1] += np.where(alone, np.exp(spelled), 0.0)
+        return p
+
+    @property
+    def chances(self) -> np.ndarray:
+        """Probabilities of the pieces, and 0 for none, which is number -1."""
+        if self._chances is None:
+            self._chances = np.append(np.exp(self.weights), 0.0)
+        return self._chances
+
+    @staticmethod
+    def _sums(p: np.ndarray) -> np.ndarray:
+        """The sum over all cuts of each word's beginnings, by plain products."""
+        n, longest = p.shape[0], p.shape[1] - 1
+        a = np.zeros((n + 1, p.shape[2]))
+        a[0] = 1.0
+        for i in range(n):
+            most = min(longest, n - i)
+            a[i + 1 : i + 1 + most] += a[i] * p[i, 1 : most + 1]
+        return a
+
+    @staticmethod
+    def _sums_back(p: np.ndarray) -> np.ndarray:
+        """The sum over all cuts of each word's endings, by plain products."""
+        n, longest = p.shape[0], p.shape[1] - 1
+        b = np.zeros((n + 1, p.shape[2]))
+        b[n] = 1.0
+        for i in range(n - 1, -1, -1):
+            most = min(longest, n - i)
+            b[i] = np.einsum("lw,lw->w", p[i, 1 : most + 1], b[i + 1 : i + 1 + most])
+        return b
+
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
         """ln of the sum over all cuts of each word."""
         out = np.zeros(len(words))
@@ -295,35 +336,70 @@ class Lattice:
             if len(w) > LONG:
                 out[i] = self.log_probability(_as_text(w))
         for who, _, piece, alone, spelled in self._groups([w if len(w) <= LONG else b"" for w in words]):
-            out[who] = self._forward(self._edges(piece, alone, spelled))[-1]
+            whole = self._sums(self._products(piece, alone, spelled))[-1]
+            small = whole < SMALLEST
+            out[who] = np.log(np.where(small, 1.0, whole))
+            if small.any():
+                out[who[small]] = self._forward(self._edges(piece[..., small], alone[:, small], spelled[:, small]))[-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """The expected uses of each piece, in order, in so many of each word, over all cuts."""
-        out, other = np.zeros(len(self.pieces)), {}
+        out, other = np.zeros(len(self.pieces) + 1), {}
         for w, c in zip(words, counts.tolist(), strict=True):
             if len(w) > LONG:
                 self.expect(_as_text(w), c, other)
+
+        def add(uses: np.ndarray, own: np.ndarray) -> None:
+            nonlocal out
+            out += np.bincount(own.ravel() + 1, uses.ravel(), len(out))  # none is number -1
+
+        def spell(s: np.ndarray, alone: np.ndarray, uses: np.ndarray) -> None:
+            letters, back = np.unique(s[alone], return_inverse=True)
+            for c, u in zip(letters.tolist(), np.bincount(back, uses[alone]).tolist(), strict=True):
+                for byte in self._spelled(chr(c)):
+                    other[byte] = other.get(byte, 0.0) + u
+
         for who, s, piece, alone, spelled in self._groups([w if len(w) <= LONG else b"" for w in words]):
-            log_p = self._edges(piece, alone, spelled)
-            a = self._forward(log_p)
-            b = self._forward(_mirrored(log_p))[::-1]  # the sum over all cuts of each word's endings
             n, longest = piece.shape[0], piece.shape[1] - 1
-            whole = a[-1] - np.log(counts[who])
-            for l in range(1, min(longest, n) + 1):
-                uses = np.exp(a[: n + 1 - l] + log_p[: n + 1 - l, l] + b[l:] - whole)
-                own = piece[: n + 1 - l, l]
-                out += np.bincount(own[own >= 0], uses[own >= 0], len(out))
-                if l == 1 and alone.any():
-                    letters, back = np.unique(s[alone], return_inverse=True)
-                    for c, u in zip(letters.tolist(), np.bincount(back, uses[alone]).tolist(), strict=True):
-                        for byte in self._spelled(chr(c)):
-                            other[byte] = other.get(byte, 0.0) + u
+            p = self._products(piece, alone, spelled)
+            a = self._sums(p)
+            small = a[-1] < SMALLEST
+            if small.any():
+                keep = ~small
+                self._expected_small(who[small], s[:, small], piece[..., small], alone[:, small], spelled[:, small], counts, add, spell)
+                who, s, piece, alone, p, a = who[keep], s[:, keep], piece[..., keep], alone[:, keep], p[..., keep], a[:, keep]
+            if not len(who):
+                continue
+            b = self._sums_back(p)
+            share = counts[who] / a[-1]
+            for i in range(n):
+                most = min(longest, n - i)
+                uses = p[i, 1 : most + 1]
+                uses *= b[i + 1 : i + 1 + most]
+                uses *= a[i] * share
+                add(uses, piece[i, 1 : most + 1])
+            if alone.any():
+                spell(s, alone, p[:, 1])
+        out = out[1:]
         for piece, u in other.items():
             if piece in self.number:
                 out[self.number[piece]] += u
         return out
 
+    def _expected_small(self, who: np.ndarray, s: np.ndarray, piece: np.ndarray, alone: np.ndarray, spelled: np.ndarray, counts: np.ndarray, add: Callable, spell: Callable) -> None:
+        """The same in log space, for words whose probability is too small for plain products."""
+        log_p = self._edges(piece, alone, spelled)
+        a = self._forward(log_p)
+        b = self._forward(_mirrored(log_p))[::-1]  # the sum over all cuts of each word's endings
+        n, longest = piece.shape[0], piece.shape[1] - 1
+        whole = a[-1] - np.log(counts[who])
+        for l in range(1, min(longest, n) + 1):
+            uses = np.exp(a[: n + 1 - l] + log_p[: n + 1 - l, l] + b[l:] - whole)
+            add(uses, piece[: n + 1 - l, l])
+            if l == 1 and alone.any():
+                spell(s, alone, uses)
+
 
 def _mirrored(log_p: np.ndarray) -> np.ndarray:
     """The edges of the words read from their ends."""
@@ -401,6 +477,19 @@ def _deal(rows: DataFrame, block_bytes: int) -> DataFrame:
     return rows.select("_key", "_held", "_text").mapInArrow(deal, f"_key {kind}, _held boolean, block long, ids binary, word binary, id int, n long")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of words put together, as many words of one length side by side cost little more than one."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + len(batch), size + batch.nbytes
+        if rows >= GATHERED or size >= GATHERED_BYTES:
+            yield pa.Table.from_batches(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def train(words: DataFrame, documents: int, vocabulary: str, rounds: int = ROUNDS) -> Lattice:
     """Re-estimate the pieces on (word, c): the training words with their counts. A training text ends once."""
     pieces, scores, end = load_vocabulary(vocabulary)
@@ -412,7 +501,7 @@ def train(words: DataFrame, documents: int, vocabulary: str, rounds: int = ROUND
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, uses = shared.value, 0.0
-            for batch in batches:
+            for batch in _gathered(batches):
                 uses = uses + own.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64))
             used = np.flatnonzero(uses) if isinstance(uses, np.ndarray) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(uses[used] if len(used) else [], pa.float64())], names=["piece", "n"])
@@ -455,8 +544,9 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.log_probabilities(batch.column(0).to_pylist()))], names=["word", "c", "log_p"])
+        for batch in _gathered(batches):
+            out = batch.append_column("log_p", pa.array(own.log_probabilities(batch.column(0).to_pylist())))
+            yield from out.rename_columns(["word", "c", "log_p"]).to_batches()
 
     answers = words.drop("n").join(distinct.mapInArrow(answer, "word binary, c long, log_p double"), "word").select(F.col("block").alias("_of"), "id", "c", "log_p")
     kind = rows.schema["_key"].dataType.simpleString()
