@@ -76,7 +76,7 @@ _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\uabff\ua
 
 _draw = np.random.Generator(np.random.PCG64(77))
 #: For each step of a period and each character (by its low byte) whether the walk goes on.
-COINS = np.stack([_draw.permutation(np.arange(PERIOD) % 2) for _ in range(256)], 1).astype(np.int32)
+COINS = np.stack([_draw.permutation(np.arange(PERIOD) % 2) for _ in range(256)], 1).astype(np.intp)
 
 
 def _samples() -> list[list[np.uint32]]:
@@ -97,15 +97,16 @@ _MULTIPLIERS = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 32, size
 def walked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the walk from every place: what a period's steps put out, as the bytes of a word, and how far they go."""
     n = len(codes)
-    c = np.zeros(n + STEPS + 1, np.uint8)
+    c = np.zeros(n + STEPS + 1, np.uint32)
     c[:n] = codes & np.uint32(0xFF)
     m = n + STEPS - PERIOD
-    start = np.arange(m, dtype=np.int32)
-    at, out = start.copy(), np.zeros(m, np.uint32)
-    for j in range(PERIOD):
-        x = c[at]
-        out |= x.astype(np.uint32) << np.uint32(8 * j)
-        at += COINS[j][x]
+    # Of each place, whether the walk goes on from there at each step; places are as wide as an index, so that none is converted.
+    on = COINS.take(c, axis=1)
+    start = np.arange(m, dtype=np.intp)
+    out, at = c[:m].copy(), start + on[0, :m]
+    for j in range(1, PERIOD):
+        out |= c.take(at) << np.uint32(8 * j)
+        at += on[j].take(at)
     return out, at - start
 
 
@@ -115,8 +116,8 @@ def sampled(walks: tuple[np.ndarray, np.ndarray], places: np.ndarray, sample: in
     at, value = places, np.full(len(places), sample + 1, np.uint32)
     for k, (mask, multiplier) in enumerate(zip(SAMPLES[sample], _MULTIPLIERS, strict=True)):
         if k:
-            at = at + far[at]
-        own = out[at]
+            at = at + far.take(at)
+        own = out.take(at)
         own &= mask
         value ^= own
         value *= multiplier
@@ -134,7 +135,9 @@ class Words:
         c = c + (c - np.uint32(65) < 26) * np.uint32(32)
         word = _WORDS[np.minimum(c, 128)]
         self._codes, self._word = c, word
-        edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+        padded = np.zeros(len(word) + 2, bool)
+        padded[1:-1] = word
+        edge = np.flatnonzero(padded[1:] != padded[:-1])
         starts, ends = edge[::2], edge[1::2]
         keep = word.copy()
         keep[ends[:-1]] = True
@@ -230,7 +233,7 @@ class Benchmark:
         values, offsets, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], []
         for i in long:
             joined = self.items[i][2]
-            walks, places, own = walked(joined), np.arange(len(joined), dtype=np.int32), 0
+            walks, places, own = walked(joined), np.arange(len(joined)), 0
             for w in range(REPEATS):
                 value, at = sampled(walks, places, w)
                 inside = np.flatnonzero(at + walks[1][at] <= len(joined))  # later ones would see what follows the item
@@ -260,24 +263,22 @@ class Benchmark:
         self.slot = np.full(1 << (32 - int(self.shift)), -1, np.int32)
         self.slot[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]
         self.taken = self.slot >= 0  # small enough to stay near the processor
-        self.chain = int(np.unique(slots, return_counts=True)[1].max(initial=0))
 
     def _hits(self, walks: tuple[np.ndarray, np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(place, sample) in order of places: where a text's walks from the places of each sample have a sample of an item."""
         found, rows = [], []
         for w, start in enumerate(places):
             value, _ = sampled(walks, start, w)
-            slot = value >> self.shift
-            at = np.flatnonzero(self.taken[slot])
-            row, value = self.slot[slot[at]], value[at]
-            for _ in range(1, self.chain):
-                other = self.codes[row] != value
-                if not other.any():
-                    break
-                row[other] = np.minimum(row[other] + 1, len(self.codes) - 1)
-            same = self.codes[row] == value if len(self.codes) else np.zeros(len(row), bool)
-            found.append(start[at[same]])
-            rows.append(row[same])
+            slot = (value >> self.shift).astype(np.intp)
+            at = np.flatnonzero(self.taken.take(slot))
+            row, value = self.slot.take(slot.take(at)), value.take(at)
+            left = np.flatnonzero(self.codes.take(row) < value) if len(at) else at  # codes are in order: a greater one ends the search
+            while len(left):
+                row[left] = on = np.minimum(row[left] + 1, len(self.codes) - 1)
+                left = left[(self.codes.take(on) < value[left]) & (on < len(self.codes) - 1)]
+            same = np.flatnonzero(self.codes.take(row) == value) if len(at) else at
+            found.append(start.take(at.take(same)))
+            rows.append(row.take(same))
         place, row = np.concatenate(found), np.concatenate(rows)
         order = np.argsort(place, kind="stable")
         return place[order], row[order]
@@ -286,7 +287,7 @@ class Benchmark:
         """(item, low, high): the parts of a text's joined words that collide enough with a window of the item."""
         walks = walked(joined)
         every = STRIDE * REPEATS
-        at, row = self._hits(walks, [np.arange(w * STRIDE, len(joined), every, dtype=np.int32) for w in range(REPEATS)])
+        at, row = self._hits(walks, [np.arange(w * STRIDE, len(joined), every) for w in range(REPEATS)])
         if not len(at):
             return []
         uses = self.uses[row]
@@ -319,11 +320,12 @@ class Benchmark:
         edges = np.zeros(len(joined) + 1, np.int32)
         np.add.at(edges, np.minimum(begins, len(joined)), 1)
         np.add.at(edges, np.minimum(ends, len(joined)), -1)
-        near = np.flatnonzero(np.cumsum(edges[:-1]) > 0).astype(np.int32)
+        near = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
         more, also = self._hits(walks, [near[near % every != w * STRIDE] for w in range(REPEATS)])
-        for i, low, high in zip(items.tolist(), begins.tolist(), ends.tolist(), strict=True):
+        parts = [x.tolist() for hits in (at, more) for x in (np.searchsorted(hits, begins), np.searchsorted(hits, ends))]
+        for i, low, high, a, b, c, d in zip(items.tolist(), begins.tolist(), ends.tolist(), *parts, strict=True):
             w = int(self.span[i])
-            met = np.append(row[slice(*np.searchsorted(at, (low, high)))], also[slice(*np.searchsorted(more, (low, high)))])
+            met = np.concatenate([row[a:b], also[c:d]])
             mark[met] = True
             rows, votes = self.own[i]
             once = float(votes[mark[rows]].sum())  # each sample of the item counts once, however often the text repeats it
