@@ -418,8 +418,8 @@ class Compiler:
     def _closed(self, first: DataFrame, edges: DataFrame) -> DataFrame:
         """The pairs that the first ones and any number of edges after them make. A round follows only the pairs that are new; cycles end, as no pair is new twice."""
         known = new = first.checkpoint()
-        while not new.isEmpty():
-            new = self._then(new, edges).distinct().join(known, ["s", "o"], "left_anti").checkpoint()
+        while not new.isEmpty():  # joins by shuffles: what a round broadcasts goes by way of the driver, which would get a side of each
+            new = self._then(new, edges.hint("merge")).distinct().join(known.hint("merge"), ["s", "o"], "left_anti").checkpoint()
             known = known.unionByName(new)
         return known
 
