@@ -32,6 +32,10 @@ Candidates are verified by the exact edit distance, in code points of the
 joined words, of the item to its best place around the window; at most `share`
 of the item's may be edited.
 
+Texts are laid in one row of GATHERED code points, apart from each other, and
+sampled and counted together; each text has windows of its own, so it gives what
+it gives alone.
+
 Items are a stated query set; they are sent to the tasks in blocks of BLOCK
 items and BLOCK_CHARS characters at most (a longer item is a block).
 
@@ -51,6 +55,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -64,12 +69,14 @@ SHARE, LEAST = 0.2, 4
 BLOCK, BLOCK_CHARS = 20_000, 16 << 20
 #: Code points of a text whose collisions are counted at a time, so that memory is bounded for texts of any length.
 STRETCH = 1 << 15
+#: Code points of texts that are sampled and counted together, as a call on a short text alone costs more than what it does, and texts times items of them.
+GATHERED, CELLS = 1 << 17, 1 << 20
 #: Steps of a walk, after how many its coins repeat, how many of them a sample has, samples, and places of a text from one sample to the next.
 STEPS, PERIOD, BITS, REPEATS, STRIDE = 16, 4, 9, 2, 1
 #: The shares of an item's weight that make a candidate, in the samples that a text is given and in all samples; the characters from which an item is sampled.
 COLLIDE, AGREE, EXACT = 0.028, 0.036, 20
-_WORDS = np.zeros(129, bool)
-_WORDS[[*range(0x30, 0x3A), *range(0x61, 0x7B), 0x80]] = True
+#: Bytes as they are read: A-Z lower-cased, all other ASCII but letters and digits a space. Code points from 128 on are letters.
+_READ = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
 #: Thai to Lao, Myanmar, Khmer, and from the CJK radicals on: written without spaces.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\uabff\uac00-\ud7ff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
@@ -77,6 +84,8 @@ _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\uabff\ua
 _draw = np.random.Generator(np.random.PCG64(77))
 #: For each step of a period and each character (by its low byte) whether the walk goes on.
 COINS = np.stack([_draw.permutation(np.arange(PERIOD) % 2) for _ in range(256)], 1).astype(np.intp)
+#: The coins of a character as the bits of a byte.
+_ON = bytes((COINS << np.arange(PERIOD)[:, None]).sum(0).tolist())
 
 
 def _samples() -> list[list[np.uint32]]:
@@ -97,17 +106,25 @@ _MULTIPLIERS = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 32, size
 def walked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the walk from every place: what a period's steps put out, as the bytes of a word, and how far they go."""
     n = len(codes)
-    c = np.zeros(n + STEPS + 1, np.uint32)
-    c[:n] = codes & np.uint32(0xFF)
+    c = np.zeros(n + STEPS + 1, np.uint8)
+    c[:n] = codes.astype(np.uint8)
     m = n + STEPS - PERIOD
-    # Of each place, whether the walk goes on from there at each step; places are as wide as an index, so that none is converted.
-    on = COINS.take(c, axis=1)
-    start = np.arange(m, dtype=np.intp)
-    out, at = c[:m].copy(), start + on[0, :m]
+    on = np.frombuffer(c.tobytes().translate(_ON), np.uint8)
+    # From the last step back: what the walks put out from this step on, and how far they go; each goes on as its neighbour does, or as it does itself.
+    rows = np.empty((PERIOD + 1, len(c)), np.uint8)
+    rows[:PERIOD] = c
+    rows[PERIOD] = on >> np.uint8(PERIOD - 1)
+    for j in range(PERIOD - 2, -1, -1):
+        coin = on[:-1] >> np.uint8(j) & np.uint8(1)
+        own = rows[j + 1 :, :-1]
+        change = own ^ rows[j + 1 :, 1:]
+        change &= -coin
+        own ^= change
+        rows[PERIOD, :-1] += coin
+    out = rows[0, :m].astype(np.uint32)
     for j in range(1, PERIOD):
-        out |= c.take(at) << np.uint32(8 * j)
-        at += on[j].take(at)
-    return out, at - start
+        out |= rows[j, :m].astype(np.uint32) << np.uint32(8 * j)
+    return out, rows[PERIOD, :m].astype(np.intp)
 
 
 def sampled(walks: tuple[np.ndarray, np.ndarray], places: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +133,8 @@ def sampled(walks: tuple[np.ndarray, np.ndarray], places: np.ndarray, sample: in
     at, value = places, np.full(len(places), sample + 1, np.uint32)
     for k, (mask, multiplier) in enumerate(zip(SAMPLES[sample], _MULTIPLIERS, strict=True)):
         if k:
-            at = at + far.take(at)
-        own = out.take(at)
+            at = at + far.take(at, mode="clip")  # all are inside; to clip is the fastest way
+        own = out.take(at, mode="clip")
         own &= mask
         value ^= own
         value *= multiplier
@@ -131,21 +148,32 @@ class Words:
     """A text's words: joined by single spaces, as code points, with the place of each in the text."""
 
     def __init__(self, text: str):
-        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = c + (c - np.uint32(65) < 26) * np.uint32(32)
-        word = _WORDS[np.minimum(c, 128)]
-        self._codes, self._word = c, word
-        padded = np.zeros(len(word) + 2, bool)
-        padded[1:-1] = word
-        edge = np.flatnonzero(padded[1:] != padded[:-1])
-        starts, ends = edge[::2], edge[1::2]
-        keep = word.copy()
-        keep[ends[:-1]] = True
-        self.at = np.flatnonzero(keep)
-        self.joined = np.where(word, c, np.uint32(32))[self.at]
-        sizes = ends - starts + 1
-        self.ends = np.cumsum(sizes) - 1  # of each word, in the joined words
-        self.begins = self.ends + 1 - sizes
+        try:
+            wide, low = None, text.encode("latin-1")
+        except UnicodeEncodeError:
+            wide = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            low = np.minimum(wide, np.uint32(255)).astype(np.uint8).tobytes()
+        c = np.frombuffer(low.translate(_READ), np.uint8)
+        self._word = c != 32
+        self._codes = c if wide is None else np.where(wide > 255, wide, c)
+        keep = self._word.copy()
+        keep[1:] |= self._word[:-1]  # the first of what is between two words
+        joined = self._codes[keep]
+        self._keep, self.joined = keep, joined[:-1] if len(joined) and joined[-1] == 32 else joined
+
+    @cached_property
+    def at(self) -> np.ndarray:
+        """The place in the text of each of the joined words' code points."""
+        return self._keep.nonzero()[0]
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Of each word, in the joined words."""
+        return np.append((self.joined == 32).nonzero()[0], len(self.joined)) if len(self.joined) else np.zeros(0, np.intp)
+
+    @cached_property
+    def begins(self) -> np.ndarray:
+        return np.append(0, self.ends[:-1] + 1) if len(self.joined) else self.ends
 
     def __len__(self) -> int:
         return len(self.begins)
@@ -270,13 +298,13 @@ class Benchmark:
         for w, start in enumerate(places):
             value, _ = sampled(walks, start, w)
             slot = (value >> self.shift).astype(np.intp)
-            at = np.flatnonzero(self.taken.take(slot))
+            at = self.taken.take(slot, mode="clip").nonzero()[0]
             row, value = self.slot.take(slot.take(at)), value.take(at)
-            left = np.flatnonzero(self.codes.take(row) < value) if len(at) else at  # codes are in order: a greater one ends the search
+            left = (self.codes.take(row) < value).nonzero()[0] if len(at) else at  # codes are in order: a greater one ends the search
             while len(left):
                 row[left] = on = np.minimum(row[left] + 1, len(self.codes) - 1)
                 left = left[(self.codes.take(on) < value[left]) & (on < len(self.codes) - 1)]
-            same = np.flatnonzero(self.codes.take(row) == value) if len(at) else at
+            same = (self.codes.take(row) == value).nonzero()[0] if len(at) else at
             found.append(start.take(at.take(same)))
             rows.append(row.take(same))
         place, row = np.concatenate(found), np.concatenate(rows)
@@ -285,46 +313,56 @@ class Benchmark:
 
     def candidates(self, joined: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, low, high): the parts of a text's joined words that collide enough with a window of the item."""
-        walks = walked(joined)
+        return self.all_candidates([joined])[0]
+
+    def all_candidates(self, parts: Sequence[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+        """The candidates of each of some texts, which are laid in one row, far enough apart that no walk from one gets to the next."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in parts]
         every = STRIDE * REPEATS
-        at, row = self._hits(walks, [np.arange(w * STRIDE, len(joined), every) for w in range(REPEATS)])
-        if not len(at):
-            return []
+        lengths = np.array([len(x) for x in parts], np.int64)
+        taken = -(-(lengths + STEPS + 1) // every) * every  # each begins with the first sample's turn
+        first = np.cumsum(taken) - taken
+        last = first + lengths
+        row_of = np.zeros(int(taken.sum()), np.uint8)
+        for low, high, x in zip(first.tolist(), last.tolist(), parts, strict=True):
+            row_of[low:high] = x.astype(np.uint8)  # as much as a walk reads
+        walks = walked(row_of)
+        at, row = self._hits(walks, [np.arange(w * STRIDE, len(row_of), every) for w in range(REPEATS)])
+        text = np.searchsorted(first, at, "right") - 1
+        inside = (at < last[text]).nonzero()[0]  # not from between the texts
+        if not len(inside):
+            return out
+        at, row, text = at[inside], row[inside], text[inside]
         uses = self.uses[row]
         each = np.repeat(self.first[row] - np.cumsum(uses) + uses, uses) + np.arange(int(uses.sum()))
-        owner = self.owner[each]
-        bucket = (np.repeat(at.astype(np.int32), uses) + self.back[each]) // self.step[each]
-        wide = (len(joined) + self.length) // self.span + 2  # windows of an item, and an empty one
+        bucket = (np.repeat((at - first[text]).astype(np.int32), uses) + self.back[each]) // self.step[each]
+        wide = ((lengths[:, None] + self.length) // self.span + 2).ravel()  # windows of a text and an item, and an empty one
         base = np.cumsum(wide) - wide
-        total = int(base[-1] + wide[-1])
-        keys = base[owner] + bucket
-        if total <= 1 << 18 or total <= 8 * len(keys):
-            count = np.bincount(keys, self.vote[each], total)
-            count[:-1] += count[1:]
-            enough = np.flatnonzero(count >= 1)
-        else:
-            met, back = np.unique(keys, return_inverse=True)
-            count = np.bincount(back, self.vote[each])
-            count = count + np.where(np.append(met[1:] == met[:-1] + 1, False), np.append(count[1:], 0.0), 0.0)
-            enough = met[count >= 1]
+        keys = base[np.repeat(text * len(self.items), uses) + self.owner[each]] + bucket
+        met, back = np.unique(keys, return_inverse=True)
+        count = np.bincount(back, self.vote[each])
+        # A window counts with the next one; the one before it, which has none itself, counts with it, if it is of the same text and item.
+        both = count + np.where(np.append(met[1:] == met[:-1] + 1, False), np.append(count[1:], 0.0), 0.0)
+        alone = met[count >= 1]
+        alone = alone[alone > base[np.searchsorted(base, alone, "right") - 1]]
+        enough = np.unique(np.concatenate([met[both >= 1], alone - 1]))
         if not len(enough):
-            return []
-        items = np.searchsorted(base, enough, "right") - 1
-        out: list[tuple[int, int, int]] = []
+            return out
+        whose = np.searchsorted(base, enough, "right") - 1
+        texts, items = whose // len(self.items), whose % len(self.items)
         mark = np.zeros(len(self.codes), bool)
         agree = AGREE / COLLIDE * STRIDE * REPEATS  # votes count parts of COLLIDE in one turn
         span = self.span[items]
-        ends = (enough - base[items] + 3) * span
+        ends = (enough - base[whose] + 3) * span
         begins = np.maximum(0, ends - 4 * span - self.length[items])
         # Where a window is, the samples whose turn it was not are taken as well.
-        edges = np.zeros(len(joined) + 1, np.int32)
-        np.add.at(edges, np.minimum(begins, len(joined)), 1)
-        np.add.at(edges, np.minimum(ends, len(joined)), -1)
-        near = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+        start, stop = np.minimum(first[texts] + begins, last[texts]), np.minimum(first[texts] + ends, last[texts])
+        edges = np.bincount(start, minlength=len(row_of) + 1) - np.bincount(stop, minlength=len(row_of) + 1)
+        near = (np.cumsum(edges) > 0).nonzero()[0]
         more, also = self._hits(walks, [near[near % every != w * STRIDE] for w in range(REPEATS)])
-        parts = [x.tolist() for hits in (at, more) for x in (np.searchsorted(hits, begins), np.searchsorted(hits, ends))]
-        for i, low, high, a, b, c, d in zip(items.tolist(), begins.tolist(), ends.tolist(), *parts, strict=True):
-            w = int(self.span[i])
+        held = [x.tolist() for hits in (at, more) for x in (np.searchsorted(hits, start), np.searchsorted(hits, stop))]
+        for k, i, low, high, a, b, c, d in zip(texts.tolist(), items.tolist(), begins.tolist(), ends.tolist(), *held, strict=True):
+            w, own = int(self.span[i]), out[k]
             met = np.concatenate([row[a:b], also[c:d]])
             mark[met] = True
             rows, votes = self.own[i]
@@ -332,10 +370,10 @@ class Benchmark:
             mark[met] = False
             if once < agree:
                 continue
-            if out and out[-1][0] == i and low <= out[-1][1] + 2 * w:  # neighbours of one place
-                out[-1] = (i, out[-1][1], high)
+            if own and own[-1][0] == i and low <= own[-1][1] + 2 * w:  # neighbours of one place
+                own[-1] = (i, own[-1][1], high)
             else:
-                out.append((i, low, high))
+                own.append((i, low, high))
         return out
 
     def stands(self, item: int, joined: str) -> int:
@@ -351,38 +389,63 @@ class Benchmark:
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item key, edits, start, end) of each item that the text holds, at its best place."""
-        if not text or not self.items:
-            return []
-        read = Words(text)
-        if not len(read):
-            return []
-        best: dict[int, tuple[int, int, int]] = {}
-
-        def verify(item: int, low: int, high: int) -> None:
-            key, own, joined = self.items[item]
-            limit = best[item][0] if item in best else int(self.share * len(joined)) + 1
-            region = read.joined[max(0, low) : high]
-            if not limit or not len(region) or least_edits(joined.tolist(), region.tolist(), limit) >= limit:
-                return
-            edits, a, b = best_place(joined, region)
-            spanned = read.whole if own >= LEAST else read.exact
-            best[item] = (edits, *spanned(max(0, low) + a, max(0, low) + b))
+        return self.all_matches([text])[0]
+
+    def all_matches(self, texts: Sequence[str | None]) -> list[list[tuple[int, int, int, int]]]:
+        """The matches of each of some texts."""
+        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        parts: list[tuple[int, Words, int]] = []  # text, its words, a place there
+        read_all: list[tuple[int, Words]] = []
+        held = 0
+
+        def settle() -> None:
+            for (k, read, at), found in zip(parts, self.all_candidates([r.joined[a : a + step + over] for _, r, a in parts]), strict=True):
+                for item, low, high in found:
+                    self._verify(best[k], read, item, at + low, at + high)
+            parts.clear()
+            for k, read in read_all:
+                self._stand(best[k], read)
+            read_all.clear()
 
         # Stretches overlap by more than any window is long, so each window lies in one of them.
         step, over = max(STRETCH, 4 * self.longest), 2 * self.longest + 64
-        for at in range(0, len(read.joined), step):
-            for item, low, high in self.candidates(read.joined[at : at + step + over]):
-                verify(item, at + low, at + high)
-        if self.plain:
-            joined = None
-            words = read.hashes().tolist() if self.short else []
-            for item in [*self.loose, *(i for w in dict.fromkeys(words) for i in self.short.get(w, ()))]:
-                joined = read.string() if joined is None else joined
-                at = self.stands(item, joined)
-                if at >= 0 and (item not in best or best[item][0]):
-                    spanned = read.whole if self.items[item][1] >= LEAST else read.exact
-                    best[item] = (0, *spanned(at, at + len(self.plain[item])))
-        return [(self.items[i][0], e, s, t) for i, (e, s, t) in sorted(best.items())]
+        for k, text in enumerate(texts if self.items else ()):
+            read = Words(text or "")
+            for at in range(0, len(read.joined), step):
+                size = min(len(read.joined) - at, step + over)
+                if parts and (held + size > GATHERED or (len(parts) + 1) * len(self.items) > CELLS):
+                    settle()
+                    held = 0
+                parts.append((k, read, at))
+                held += size
+            if len(read.joined):
+                read_all.append((k, read))
+        if parts:
+            settle()
+        return [[(self.items[i][0], e, s, t) for i, (e, s, t) in sorted(x.items())] for x in best]
+
+    def _verify(self, best: dict[int, tuple[int, int, int]], read: Words, item: int, low: int, high: int) -> None:
+        key, own, joined = self.items[item]
+        limit = best[item][0] if item in best else int(self.share * len(joined)) + 1
+        region = read.joined[max(0, low) : high]
+        if not limit or not len(region) or least_edits(joined.tolist(), region.tolist(), limit) >= limit:
+            return
+        edits, a, b = best_place(joined, region)
+        spanned = read.whole if own >= LEAST else read.exact
+        best[item] = (edits, *spanned(max(0, low) + a, max(0, low) + b))
+
+    def _stand(self, best: dict[int, tuple[int, int, int]], read: Words) -> None:
+        """Items that are searched for as they stand, after all candidates of the text."""
+        if not self.plain:
+            return
+        joined = None
+        words = read.hashes().tolist() if self.short else []
+        for item in [*self.loose, *(i for w in dict.fromkeys(words) for i in self.short.get(w, ()))]:
+            joined = read.string() if joined is None else joined
+            at = self.stands(item, joined)
+            if at >= 0 and (item not in best or best[item][0]):
+                spanned = read.whole if self.items[item][1] >= LEAST else read.exact
+                best[item] = (0, *spanned(at, at + len(self.plain[item])))
 
 
 def best_place(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
@@ -423,7 +486,7 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in batches:
-                hits = [(k, *hit) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in own.matches(t)]
+                hits = [(k, *hit) for k, found in zip(batch.column(0).to_pylist(), own.all_matches(batch.column(1).to_pylist()), strict=True) for hit in found]
                 columns = list(zip(*hits, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, *[pa.int64()] * 4), strict=True)], names=[key, item_key, "edits", "start", "end"])
 
