@@ -15,8 +15,8 @@ from tessera.functions.nested import events
 from tessera.operators.placeholders import bounded
 from tessera.operators.rules import render_line
 
-#: Rows that a task of a product writes, about.
-ROWS_OF_A_TASK = 1_000_000
+#: A tile of a product, at most about: places that lead to a walk, and lines below each of them.
+LEADS, LINES = 1024, 1024
 
 _PLACEHOLDER = re.compile(r"\bpgmrc?:[A-Za-z_][A-Za-z0-9_]*")
 _IDENTIFIER = re.compile(r"\borkg[prc]:[A-Za-z0-9_]+")
@@ -160,17 +160,19 @@ def class_lines(properties: DataFrame, order: str, keep: Callable[[DataFrame], D
     alone. So each walk over templates is sized once, from its end; a
     property's place in its template is a running sum of these sizes, and its
     place below a path the path's place plus that. A template's properties of
-    one walk are ordered at once; their product with all that leads to them is
-    a join that any number of tasks share. Orders are unique in a template.
+    one walk are ordered at once; their product with all places that lead to
+    them is joined in tiles, dealt to any number of tasks however hot the walk
+    is. A task's rows have few different lines, in order, so files of them
+    stay small. Orders are unique in a template.
     """
     own = keep(properties.select("template", F.col(order).alias("_order"), "property", "target"))
     widths = keep(own.groupBy("template").agg(F.count(F.lit(1)).alias("width")))
     edges = own.where(F.col("target").isNotNull()).groupBy("template", "target").agg(F.count(F.lit(1)).alias("n"))
     edges = keep(edges.join(widths.select(F.col("template").alias("target"), "width"), "target").select(F.col("template").alias("last"), "target", "n", "width"))
-    walks = [keep(widths.select(F.array("template").alias("walk"), F.col("template").alias("last"), F.lit(1).cast("long").alias("n"), "width"))]
+    walks = [keep(widths.select(F.array("template").alias("walk"), F.col("template").alias("last"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("paths"), "width"))]
     while not walks[-1].isEmpty():
-        into = walks[-1].select("walk", "last").join(edges, "last").where(~F.array_contains("walk", F.col("target")))
-        walks.append(keep(into.select(F.array_append("walk", F.col("target")).alias("walk"), F.col("target").alias("last"), "n", "width")))
+        into = walks[-1].select("walk", "last", "paths").join(edges, "last").where(~F.array_contains("walk", F.col("target")))
+        walks.append(keep(into.select(F.array_append("walk", F.col("target")).alias("walk"), F.col("target").alias("last"), "n", (F.col("paths") * F.col("n")).alias("paths"), "width")))
     placed, below = [], None  # from the longest walks on
     for depth in range(len(walks) - 1, 0, -1):
         level = walks[depth - 1]
@@ -184,22 +186,38 @@ def class_lines(properties: DataFrame, order: str, keep: Callable[[DataFrame], D
         running = Window.partitionBy("walk").orderBy("_order", "property").rowsBetween(Window.unboundedPreceding, 0)
         line = F.concat(F.repeat(F.lit("  "), F.lit(depth - 1)), F.lit("- "), F.col("property"))
         place = F.sum(F.col("under") + 1).over(running) - F.col("under")
-        placed.append(keep(held.select("walk", place.alias("place"), line.alias("line"), F.when(F.col("under") > 0, F.array_append("walk", F.col("target"))).alias("next"))))
+        block = F.floor((F.count(F.lit(1)).over(running) - 1) / LINES)
+        placed.append(keep(held.select("walk", block.alias("block"), place.alias("place"), line.alias("line"), F.when(F.col("under") > 0, F.col("target")).alias("target"))))
         below = keep(sizes.select("walk", "last", "n", "size"))
     if not placed:
         return own.select("template", F.lit(0).cast("long").alias("place"), F.lit("").alias("line")).where(F.lit(False))
     placed.reverse()
-    rows = placed[0].select(F.element_at("walk", 1).alias("template"), "place", "line", "next")
-    found = rows.drop("next")
-    for depth, level in enumerate(placed[1:], 2):
-        lead = rows.where(F.col("next").isNotNull()).select("template", F.col("place").alias("_at"), F.col("next").alias("walk"))
-        many = lead.join(walks[depth - 1].select("walk", "width"), "walk").agg(F.sum("width").alias("n")).first()["n"] or 0
-        lead = lead.repartition(max(1, -(-many // ROWS_OF_A_TASK)), "template", "_at")
-        rows = lead.join(bounded(level), "walk").select("template", (F.col("_at") + F.col("place")).alias("place"), "line", "next")
-        found = found.unionByName(rows.drop("next"))
+    found = placed[0].select(F.element_at("walk", 1).alias("template"), "place", "line")
+    lead = placed[0]
+    for depth, (level, reached) in enumerate(zip(placed[1:], walks[1:], strict=False), 2):
+        lead = lead.where(F.col("target").isNotNull()).select(F.array_append("walk", F.col("target")).alias("walk"), F.col("place").alias("_at"))
+        found = found.unionByName(_below(lead, level, reached).select(F.element_at("walk", 1).alias("template"), "place", "line"))
+        if depth < len(placed):
+            lead = _below(lead, level.where(F.col("target").isNotNull()), reached)
     return found
 
 
+def _below(lead: DataFrame, level: DataFrame, walks: DataFrame) -> DataFrame:
+    """(walk, place, line, target): a walk's lines below each place that leads to it.
+
+    Places are dealt to parts by hash, lines cut into blocks in order; both are
+    copied for each tile that they are in, so once for about a thousand rows.
+    The join by sorted tiles streams its rows, lines inside places.
+    """
+    parts, blocks = F.ceil(F.col("paths") / LEADS), F.ceil(F.col("width") / LINES)
+    tasks = -(-(walks.agg(F.sum(F.col("paths") * F.col("width"))).first()[0] or 0) // (LEADS * LINES))
+    known, tile = bounded(walks.select("walk", parts.alias("parts"), blocks.alias("blocks"))), ["walk", "part", "block"]
+    left = lead.join(known, "walk").select("walk", "_at", F.pmod(F.xxhash64("_at"), "parts").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    right = level.join(known, "walk").select("walk", "block", "place", "line", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    rows = left.repartition(max(1, tasks), *tile).join(right.repartition(max(1, tasks), *tile).hint("merge"), tile)
+    return rows.select("walk", (F.col("_at") + F.col("place")).alias("place"), "line", "target")
+
+
 def price(prompt: Column, completion: Column, model: Column, prices: Mapping[str, tuple[float, float]]) -> Column:
     """Dollars of a call by a list without a tier for cached tokens, to 8 places; null for a model that isn't listed. Prices are for a million tokens."""
     out = F.lit(None).cast("double")
