@@ -15,8 +15,8 @@ from tessera.functions.nested import events
 from tessera.operators.placeholders import bounded
 from tessera.operators.rules import render_line
 
-#: A tile of a product, at most about: places that lead to a walk, and lines below each of them.
-LEADS, LINES = 1024, 1024
+#: A tile of a product, at most about: places that lead to a walk, and lines below each of them; places that are written out together; walks whose tiles share a task.
+LEADS, LINES, TOGETHER, SHARED = 800, 128, 8, 32
 
 _PLACEHOLDER = re.compile(r"\bpgmrc?:[A-Za-z_][A-Za-z0-9_]*")
 _IDENTIFIER = re.compile(r"\borkg[prc]:[A-Za-z0-9_]+")
@@ -205,16 +205,24 @@ def class_lines(properties: DataFrame, order: str, keep: Callable[[DataFrame], D
 def _below(lead: DataFrame, level: DataFrame, walks: DataFrame) -> DataFrame:
     """(walk, place, line, target): a walk's lines below each place that leads to it.
 
-    Places are dealt to parts by hash, lines cut into blocks in order; both are
-    copied for each tile that they are in, so once for about a thousand rows.
-    The join by sorted tiles streams its rows, lines inside places.
+    Places are dealt to parts by hash, lines cut into blocks in order. A tile,
+    a part and a block, is shuffled as two arrays, and its rows are written
+    out from a few places at a time, so memory is bounded. Walks with as many
+    and as wide paths have much the same places: their tiles of a part and
+    block are in one task, side by side, where equal places compress.
     """
-    parts, blocks = F.ceil(F.col("paths") / LEADS), F.ceil(F.col("width") / LINES)
-    tasks = -(-(walks.agg(F.sum(F.col("paths") * F.col("width"))).first()[0] or 0) // (LEADS * LINES))
-    known, tile = bounded(walks.select("walk", parts.alias("parts"), blocks.alias("blocks"))), ["walk", "part", "block"]
-    left = lead.join(known, "walk").select("walk", "_at", F.pmod(F.xxhash64("_at"), "parts").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    right = level.join(known, "walk").select("walk", "block", "place", "line", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    rows = left.repartition(max(1, tasks), *tile).join(right.repartition(max(1, tasks), *tile).hint("merge"), tile)
+    alike = ["paths", "width"]
+    shares = walks.groupBy(*alike).agg(F.count(F.lit(1)).alias("share"), F.sum(F.col("paths") * F.col("width")).alias("rows"))
+    tasks = max(1, -(-2 * (shares.agg(F.sum("rows")).first()[0] or 0) // (LEADS * LINES * SHARED)))
+    bundle = F.xxhash64(*alike, F.pmod(F.xxhash64("walk"), F.ceil(F.col("share") / SHARED)))
+    known = walks.join(bounded(shares), alike).select("walk", F.ceil(F.col("paths") / LEADS).alias("parts"), bundle.alias("bundle"))
+    leads = lead.join(bounded(known), "walk").groupBy("walk", "bundle", "parts", F.pmod(F.xxhash64("_at"), "parts").alias("part")).agg(F.array_sort(F.collect_list("_at")).alias("leads"))
+    lines = level.groupBy("walk", "block").agg(F.array_sort(F.collect_list(F.struct("place", "line", "target"))).alias("lines"))
+    dealt = F.pmod(F.pmod("bundle", F.lit(tasks)) + F.col("block") * F.col("parts") + F.col("part"), F.lit(tasks)).cast("int")
+    few = F.transform(F.sequence(F.lit(1), F.size("leads"), F.lit(TOGETHER)), lambda i: F.slice("leads", i, TOGETHER))
+    tiles = leads.join(lines, "walk").repartitionById(tasks, dealt).select("walk", "bundle", "part", "block", "lines", F.posexplode(few).alias("nth", "few"))
+    tiles = tiles.sortWithinPartitions("bundle", "part", "block", "nth", "walk")
+    rows = tiles.select("walk", F.explode("few").alias("_at"), "lines").select("walk", "_at", F.inline("lines"))
     return rows.select("walk", (F.col("_at") + F.col("place")).alias("place"), "line", "target")
 
 
